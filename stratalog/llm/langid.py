@@ -133,14 +133,21 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search over its logarithm."""
-    if not len(y):
+    """The temperature of least log loss, by golden-section search over its logarithm.
+
+    Targets are (n + 1) / (n + 2) for the right class of n rows and share the rest among the others, so that rows without
+    an error don't call for certainty.
+    """
+    n, k = logits.shape if len(y) else (0, 0)
+    if not n or k < 2:
         return 1.0
+    target = np.full((n, k), 1 / (n + 2) / (k - 1))
+    target[np.arange(n), y] = (n + 1) / (n + 2)
 
     def loss(t: float) -> float:
         z = logits / np.exp(t)
         m = z.max(1)
-        return float((m + np.log(np.exp(z - m[:, None]).sum(1)) - z[np.arange(len(y)), y]).mean())
+        return float((m + np.log(np.exp(z - m[:, None]).sum(1)) - (z * target).sum(1)).mean())
 
     a, b, r = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(60):
