@@ -32,4 +32,4 @@ def shard_key(oid: Column) -> Column:
 
 def is_binary(data: Column, window: int = 8192) -> Column:
     """True where a NUL byte lies in the first window bytes."""
-    return F.coalesce(F.locate("00", F.regexp_replace(F.hex(F.substring(data.cast("binary"), 1, window)), "(..)", "$1 ")) > 0, F.lit(False))
+    return F.coalesce(F.contains(F.substring(data.cast("binary"), 1, window), F.lit(b"\0")), F.lit(False))
