@@ -64,7 +64,7 @@ class GitReader(DataSourceReader):
         if self.table != "object_index":
             ids = repo.loose_ids()
             out += [Range(-1, 0, 0, tuple(ids[k : k + self.per_task])) for k in range(0, len(ids), self.per_task)]
-        return out
+        return out or [Range(-1, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         repo = self.repo()
