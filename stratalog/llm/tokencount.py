@@ -89,10 +89,12 @@ class Encoder:
         first = np.cumsum(n) - n
         hit = odd[code]
         hit[first] = [parts[c] == "" for c in code[first]]
-        return code, n, first, parts, np.logical_or.reduceat(hit, first) if self.by_spaces else np.ones(len(n), bool)
+        return code, n, first, parts, np.logical_or.reduceat(hit, first)
 
     def counts(self, col: pa.Array) -> np.ndarray:
         """Token counts; NULL counts 0. A single space before anything but white space always begins a pre-token, so each distinct piece is counted once."""
+        if not self.by_spaces:
+            return np.array([self.pretokens(t or "") for t in col.to_pylist()], np.int64)
         out = np.zeros(len(col), np.int64)
         for start, part in slices(col):
             code, n, first, parts, once = self._apart(part)
@@ -113,6 +115,9 @@ class Encoder:
 
     def encode(self, col: pa.Array) -> Iterator[bytes]:
         """Ids of each text, cut at spaces in the same way; NULL gives no ids."""
+        if not self.by_spaces:
+            yield from (self.ids(t or "") for t in col.to_pylist())
+            return
         for _, part in slices(col, 24_000_000):
             code, n, first, parts, once = self._apart(part)
             ids = np.array(self.full._core_bpe.encode_ordinary(" " + " ".join(p if p and not p[0].isspace() else "-" for p in parts)), self.dtype)
