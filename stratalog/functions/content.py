@@ -33,3 +33,10 @@ def shard_key(oid: Column) -> Column:
 def is_binary(data: Column, window: int = 8192) -> Column:
     """True where a NUL byte lies in the first window bytes."""
     return F.coalesce(F.contains(F.substring(data.cast("binary"), 1, window), F.lit(b"\0")), F.lit(False))
+
+
+def guess_type(data: Column) -> Column:
+    """The kind of object that a bare content looks like; a blob if nothing speaks against it."""
+    d = data.cast("binary")
+    starts = lambda w: F.startswith(d, F.lit(w.encode()))
+    return F.when(starts("tree "), "tree").when(starts("parent ") | starts("author "), "commit").when(starts("tag "), "tag").otherwise("blob")

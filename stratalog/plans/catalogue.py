@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import headers, lines, modes
-from ..functions.content import blob_oid, from_hex, is_absent, is_binary, shard_key, to_hex
+from ..functions.content import blob_oid, from_hex, guess_type, is_absent, is_binary, shard_key, to_hex
 from ..operators import dedup, graph, linediff, moves, treediff
 from ..operators.scan import apply_scanner
 from ..runtime import shared_dir, table
@@ -229,6 +229,14 @@ def q_added_files(spark, d):
     return h.select(lines.label(F.col("commit"), F.col("path"), F.col("start_line"), lines.end_line(F.col("start_line"), n), n).alias("label"), "start_line", lines.end_line(F.col("start_line"), n).alias("end_line"))
 
 
+_BARE = ["tree 1", "tree", "blob x", "parent 1", "author A", "tag v", "ta", "", "Author A"]
+
+
+@query("type_guess", "SELECT d, CASE WHEN starts_with(d, 'tree ') THEN 'tree' WHEN starts_with(d, 'parent ') OR starts_with(d, 'author ') THEN 'commit' WHEN starts_with(d, 'tag ') THEN 'tag' ELSE 'blob' END AS kind FROM (VALUES " + ", ".join(f"('{x}')" for x in _BARE) + ") t(d)")
+def q_type_guess(spark, d):
+    return spark.createDataFrame([(x,) for x in _BARE], "d string").select("d", guess_type(F.col("d")).alias("kind"))
+
+
 _CASES = [("deletion", "x\n", None), ("same", "x\n", "x\n"), ("large", None, "x" * 60), ("binary", "a", "b\0c"), ("added", None, "a\nb\n"), ("empty", None, ""), ("old large", "y" * 60, "z"), ("old binary", "\0", "n"), ("changed", "a\nb\nc", "a\nx\nc"), ("large binary old", "\0" + "y" * 60, "z")]
 _ANSWERS = [("large", 1, False, "[File too large to diff: new=60 bytes]"), ("binary", 1, True, "b?c"), ("added", 1, False, "a|b"), ("old large", 1, False, "[File too large to diff: old=60 new=1 bytes]"), ("old binary", 1, True, "n"), ("changed", 2, False, "x"), ("large binary old", 1, False, "[File too large to diff: old=61 new=1 bytes]")]
 

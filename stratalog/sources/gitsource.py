@@ -1,4 +1,4 @@
-"""Spark data source "gitrepo": option path, and option table with one of refs, object_index, objects, commits, tree_entries, tags."""
+"""Spark data source "gitrepo": option path, and option table with one of refs, object_index, objects, commits, tree_entries, tags, commit_graph, multi_pack_index."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from ..functions.headers import HeaderError, commit_header, parse_author, parse_commit, tag_target
 from .gitfiles import CorruptError, Repository, tree_entries
+from .gitgraph import commit_graph, multi_pack_index
 
 SCHEMAS = {
     "refs": "ref_name string, oid string, source string",
@@ -18,6 +19,8 @@ SCHEMAS = {
     "commits": "oid string, tree_oid string, parents array<string>, committer_ts long, author_name string, author_email string, author_ts long",
     "tree_entries": "tree_oid string, name string, mode int, oid string",
     "tags": "oid string, target string",
+    "commit_graph": "oid string, tree_oid string, parents array<string>, committer_ts long, generation long",
+    "multi_pack_index": "oid string, pack string, offset long",
 }
 
 
@@ -53,7 +56,7 @@ class GitReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        if self.table == "refs":
+        if self.table in ("refs", "commit_graph", "multi_pack_index"):
             return [Range(-3, 0, 0)]
         if self.wanted is not None:
             return [Range(-2, 0, 0, tuple(dict.fromkeys(self.wanted)))]
@@ -68,9 +71,16 @@ class GitReader(DataSourceReader):
 
     def read(self, partition: Range) -> Iterator[tuple]:
         repo = self.repo()
-        if partition.pack == -3:
+        if self.table == "refs":
             yield from repo.refs()
             return
+        if self.table == "commit_graph":
+            yield from commit_graph(repo.objects)
+            return
+        if self.table == "multi_pack_index":
+            if m := multi_pack_index(repo.objects):
+                yield from ((o, m.packs[p], int(at)) for o, p, at in zip(m.ids, m.pack.tolist(), m.offset.tolist()))
+            return
         for oid, kind, data, pack, offset in self._objects(repo, partition):
             if self.table == "object_index":
                 i = data

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import first_wins
+from ..operators.seen import SeenTable
 
 
 def first_seen(stream: DataFrame, key: str = "blob") -> DataFrame:
@@ -23,20 +24,11 @@ def scan_new(stream: DataFrame, seen_path: str, checkpoint: str, process: Callab
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        new = first_wins(df, key, *rank)
-        try:
-            before = spark.read.option("basePath", seen_path).parquet(seen_path).where(f"batch <> {n}").select(key)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            before = None
-        if before is not None:
-            new = new.join(before, key, "left_anti")
-        new = new.persist()
+        seen = SeenTable(df.sparkSession, seen_path, key)
+        new = seen.unseen(first_wins(df, key, *rank), besides=n).persist()
         try:
             process(new, n)
-            new.select(key).write.mode("overwrite").parquet(f"{seen_path}/batch={n}")
+            seen.add(new, n)
         finally:
             new.unpersist()
 

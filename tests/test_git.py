@@ -9,7 +9,7 @@ import zlib
 import pytest
 
 from stratalog.plans.scanner import HistoryScanner
-from stratalog.sources import gitfiles
+from stratalog.sources import gitfiles, gitgraph
 from stratalog.sources.gitsource import load
 
 pytestmark = pytest.mark.skipif(not shutil.which("git"), reason="git makes the fixtures")
@@ -222,6 +222,47 @@ def test_delta_limits_and_damage(big, tmp_path):
             repo.packed(0, int(repo.index(0).offsets[i]))
 
 
+def test_summaries_that_git_writes(spark, big, tmp_path):
+    copy = Repo(tmp_path / "copy")
+    shutil.rmtree(copy.path)
+    shutil.copytree(big.path, copy.path)
+    first = copy.git("rev-parse", "HEAD").decode().strip()
+    copy.git("checkout", "-q", "-f", "main")
+    for k in range(3):
+        copy.git("checkout", "-q", "-f", "-b", f"o{k}", "main~4")
+        copy.commit({f"o{k}": f"{k}\n"})
+    copy.git("checkout", "-q", "-f", "main")
+    assert load(spark, copy.path, "commit_graph").count() == 0 and load(spark, copy.path, "multi_pack_index").count() == 0
+
+    def same():
+        got = {r.oid: (r.tree_oid, r.parents, r.committer_ts) for r in load(spark, copy.path, "commit_graph").collect()}
+        want = {r.oid: (r.tree_oid, r.parents, r.committer_ts) for r in load(spark, copy.path, "commits").collect()}
+        assert first in got and got == want
+
+    copy.git("commit-graph", "write", "--reachable")
+    same()
+    os.remove(os.path.join(copy.path, ".git/objects/info/commit-graph"))
+    copy.git("commit-graph", "write", "--reachable", "--split=no-merge")
+    tree = copy.git("rev-parse", "HEAD^{tree}").decode().strip()
+    octopus = copy.git("commit-tree", tree, "-p", "main", "-p", "o0", "-p", "o1", "-p", "o2", "-m", "octopus").decode().strip()
+    copy.git("update-ref", "refs/heads/main", octopus)
+    copy.git("commit-graph", "write", "--reachable", "--split=no-merge")
+    assert len(gitgraph.graph_files(os.path.join(copy.path, ".git/objects"))) == 2
+    same()
+    copy.git("multi-pack-index", "write")
+    repo = gitfiles.Repository(copy.path)
+    for r in load(spark, copy.path, "multi_pack_index").collect():
+        p = [os.path.basename(x)[:-5] for x in repo.packs].index(r.pack[:-4])
+        assert int(repo.index(p).offsets[repo.index(p).find(r.oid)]) == r.offset
+    at = os.path.join(copy.path, ".git/objects/pack/multi-pack-index")
+    os.chmod(at, 0o644)
+    with open(at, "r+b") as f:
+        f.seek(40)
+        f.write(b"zz")
+    with pytest.raises(gitfiles.CorruptError):
+        gitgraph.multi_pack_index(repo.objects)
+
+
 def test_tree_parser():
     h = bytes(range(20))
     ok = b"100644 a\0" + h + b"40000 d\0" + h

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.content import blob_oid
 from stratalog.operators import dedup
+from stratalog.operators.seen import SeenTable
 from stratalog.streaming.incremental import first_seen, scan_new
 
 
@@ -56,3 +57,13 @@ def test_dedup_pieces(spark):
     at = dedup.locate(spark.createDataFrame([("o",), ("q",)], "blob string"), dedup.first_pack(index))
     assert {(r.blob, r.offset) for r in at.collect()} == {("o", 90), ("q", None)}
     assert [(r.offset, r.position, r.next_offset) for r in dedup.reverse_index(index).where("pack_id = 1").orderBy("offset").collect()] == [(12, 0, 50), (50, 1, None)]
+
+
+def test_seen_table(spark, tmp_path):
+    seen = SeenTable(spark, str(tmp_path / "seen"))
+    rows = spark.createDataFrame([("a",), ("b",)], "blob string")
+    assert seen.read() is None and seen.unseen(rows).count() == 2
+    for _ in range(2):
+        seen.add(rows.where("blob = 'a'"), 1)
+    assert [r.blob for r in seen.read().collect()] == ["a"] and [r.blob for r in seen.unseen(rows).collect()] == ["b"]
+    assert seen.unseen(rows, besides=1).count() == 2
