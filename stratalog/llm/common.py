@@ -1,45 +1,22 @@
-"""Shared folder, written intermediate tables, components, and word streams for the operators of this subpackage."""
+"""Components, word streams and lean workers for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
+import ctypes
+import functools
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut, shared_dir
+
 WORD = re.compile(r"\w+")
 _WORD_OR_SPACE = re.compile(r"\w+| ")
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A local session without one gets its own; a cluster must name it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if not re.fullmatch(r"local(\[.*\])?", sc.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if sc.applicationId not in _own:
-        _own[sc.applicationId] = path = tempfile.mkdtemp(prefix="stratalog-")
-        atexit.register(shutil.rmtree, path, True)
-    return "file://" + _own[sc.applicationId]
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def labels_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -81,7 +58,7 @@ def components(edges: DataFrame, one_task: int = 4_000_000) -> DataFrame:
     """
     e = cut(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
     if e.count() <= one_task:
-        return e.coalesce(1).mapInArrow(_union_task, "id long, root long")
+        return e.coalesce(1).mapInArrow(lean(_union_task), "id long, root long")
     before = None
     while True:
         both = e.select("a", "b").union(e.select("b", "a"))
@@ -98,10 +75,32 @@ def components(edges: DataFrame, one_task: int = 4_000_000) -> DataFrame:
     return e.select(F.col("b").alias("id"), F.col("a").alias("root")).union(e.select(F.col("a").alias("id"), F.col("a").alias("root"))).distinct()
 
 
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # not this libc: memory is given back when it will
+        return None
+
+
+def lean(run: Callable) -> Callable:
+    """run for mapInArrow, with freed memory given back after each batch: workers live on from task to task, beside an executor's heap."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+            if _libc() is not None:
+                _libc().malloc_trim(0)
+
+    return trimmed
+
+
 class Memo(dict):
     """Results by string, forgotten all at once when there are too many; forgetting costs time only."""
 
-    def __init__(self, make: Callable, most: int = 500_000):
+    def __init__(self, make: Callable, most: int = 200_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -125,7 +124,7 @@ def chunks(texts: list, most: int = 3_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def slices(col: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
+def slices(col: pa.Array, most: int = 3_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Pieces of a string column of about most bytes each, one row at least, with the place of their first row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
@@ -173,3 +172,6 @@ def word_codes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     each = size[code]
     count = np.add.reduceat(each, np.cumsum(n) - n) if len(n) else np.zeros(0, np.int64)
     return idx[spread(start[code], each)], count, names
+
+
+__all__ = ["Memo", "chunks", "components", "cut", "labels_of", "lean", "pieces", "shared_dir", "slices", "spread", "strings", "word_codes", "words"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, lean, shared_dir
 
 BROADCAST_BYTES = 64 << 20
 HOT = 20_000
@@ -145,7 +145,7 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = known.join(small, ["len", "hash"])
 
     def settle(df: DataFrame, *by: str) -> DataFrame:
-        return df.repartition(*by).sortWithinPartitions(*by, "doc_id").mapInArrow(_owners(folder, budget), "doc_id long, owner_id long, len int, hash long")
+        return df.repartition(*by).sortWithinPartitions(*by, "doc_id").mapInArrow(lean(_owners(folder, budget)), "doc_id long, owner_id long, len int, hash long")
 
     found = found.select("len", "hash", "n", "doc_id", data.alias("text"))
     if top <= hot:
@@ -168,7 +168,7 @@ def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             finally:
                 spill.close()
 
-        part = cut(salted.repartition("len", "hash", "salt").sortWithinPartitions("len", "hash", "salt", "doc_id").mapInArrow(split, "doc_id long, owner_id long, len int, hash long, text binary"), "salted")
+        part = cut(salted.repartition("len", "hash", "salt").sortWithinPartitions("len", "hash", "salt", "doc_id").mapInArrow(lean(split), "doc_id long, owner_id long, len int, hash long, text binary"), "salted")
         heads = part.where("text IS NOT NULL").select("len", "hash", "doc_id", "text").distinct()
         upper = settle(heads, "len", "hash").select("len", "hash", F.col("doc_id").alias("part_id"), "owner_id").distinct()
         settled = part.select("len", "hash", "doc_id", F.col("owner_id").alias("part_id")).join(upper, ["len", "hash", "part_id"]).select("doc_id", "owner_id")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, word_codes
+from .common import cut, lean, slices, word_codes
 
 STATES = 6
 ROUNDS = 2
@@ -30,7 +30,7 @@ def word_totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 hit = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(hit)), pa.array(n[hit].astype(np.int64))], names=["word", "n"])
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(docs[text_col].alias("text")).mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -110,7 +110,7 @@ def expected_counts(model: Model, obs: np.ndarray, n: np.ndarray) -> tuple[np.nd
 
 def _runs(model: Model, col: pa.Array, most: int = 1_200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Symbol sequences of whole texts, about most symbols at a time, one text at least."""
-    for start, part in slices(col, 16_000_000):
+    for start, part in slices(col, 6_000_000):
         obs, n = model.symbols(part)
         ends = np.cumsum(n)
         i = 0
@@ -146,7 +146,7 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, min_share
             hit = np.flatnonzero(rows.any(1))
             yield pa.RecordBatch.from_arrays([pa.array((hit - 1 - states).astype(np.int32)), *(pa.array(rows[hit, i]) for i in range(states))], names=["symbol", *(f"c{i}" for i in range(states))])
 
-        got = texts.mapInArrow(run, schema).groupBy("symbol").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(states))).toPandas()
+        got = texts.mapInArrow(lean(run), schema).groupBy("symbol").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(states))).toPandas()
         rows = np.zeros((1 + states + len(model.emit), states))
         rows[got.symbol.to_numpy() + 1 + states] = got.iloc[:, 1:].to_numpy()
         s, a, e = rows[0] + smooth, rows[1 : states + 1] + smooth, rows[states + 1 :] + smooth / states
@@ -173,4 +173,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             null = ~b.column(1).is_valid().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, mask=null), pa.array(ll, mask=null), pa.array(ll / np.maximum(size, 1), mask=size == 0)], names=["doc_id", "n_words", "log_likelihood", "per_word"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_words long, log_likelihood double, per_word double")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_words long, log_likelihood double, per_word double")

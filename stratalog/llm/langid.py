@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut
+from .common import lean, slices
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -53,10 +53,10 @@ def document_frequency(docs: DataFrame, bits: int = BITS, orders: tuple[int, ...
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, seen = np.zeros(1 << bits, np.int64), 0, np.zeros(1 << bits, bool)
         for b in batches:
-            texts = [t.replace("\0", " ") for t in b.column(0).to_pylist() if t is not None]
-            for i, j in chunks(texts):
-                ends = np.cumsum(lengths(texts[i:j]))
-                grams = [h for h, _ in ngrams(texts[i:j], orders, bits)]
+            for _, part in slices(b.column(0).drop_null(), 1_500_000):
+                texts = [t.replace("\0", " ") for t in part.to_pylist()]
+                ends = np.cumsum(lengths(texts))
+                grams = [h for h, _ in ngrams(texts, orders, bits)]
                 start = 0
                 for k, end in enumerate(ends):
                     for o, g in zip(orders, grams):
@@ -66,11 +66,11 @@ def document_frequency(docs: DataFrame, bits: int = BITS, orders: tuple[int, ...
                     df[hit] += 1
                     seen[hit] = False
                     start = end
-                n += j - i
+                n += len(texts)
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], n))], names=["bucket", "df"])
 
-    return docs.mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
+    return docs.mapInArrow(lean(run), "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
 
 
 @dataclass
@@ -180,7 +180,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, bits: int
             f = [features(t, bits, orders) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in f], pa.list_(pa.int32())), pa.array([x[1] for x in f], pa.list_(pa.float32()))], names=["label", "h", "b", "x"])
 
-    got = near.mapInArrow(turn, "label string, h long, b array<int>, x array<float>").toPandas().sort_values(["label", "h"])
+    got = near.mapInArrow(lean(turn), "label string, h long, b array<int>, x array<float>").toPandas().sort_values(["label", "h"])
     got = got[got.groupby("label").cumcount() < rows_per_language]
     y = np.array([languages.index(x) for x in got.label])
     rows = [(np.asarray(b), np.asarray(x, np.float64) * idf[np.asarray(b)] * SCALE) for b, x in zip(got.b, got.x)]
@@ -190,14 +190,16 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, bits: int
     return Model(languages, (w * idf[:, None] * SCALE).astype(np.float32), bias, calibrate(z, y[held]), bits, orders)
 
 
-def _judge(model: Model, texts: list, min_confidence: float) -> tuple[list, list, list]:
-    lang, conf, ok = [None] * len(texts), [0.0] * len(texts), [False] * len(texts)
-    at = [i for i, t in enumerate(texts) if t and not t.isspace()]
-    own = [texts[i] for i in at]
-    for i, j in chunks(own):
-        p = model.probabilities(own[i:j])
-        for k, c, q in zip(at[i:j], p.argmax(1), p.max(1)):
-            lang[k], conf[k], ok[k] = model.languages[c], float(q), bool(q >= min_confidence)
+def _judge(model: Model, col: pa.Array, min_confidence: float) -> tuple[list, list, list]:
+    lang, conf, ok = [None] * len(col), [0.0] * len(col), [False] * len(col)
+    for start, part in slices(col, 1_500_000):
+        texts = part.to_pylist()
+        at = [i for i, t in enumerate(texts) if t and not t.isspace()]
+        if not at:
+            continue
+        p = model.probabilities([texts[i] for i in at])
+        for i, c, q in zip(at, p.argmax(1), p.max(1)):
+            lang[start + i], conf[start + i], ok[start + i] = model.languages[c], float(q), bool(q >= min_confidence)
     return lang, conf, ok
 
 
@@ -214,10 +216,10 @@ def identify(docs: DataFrame, model: Model, min_confidence: float = MIN_CONFIDEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, conf, ok = _judge(shared.value, b.column(1).to_pylist(), min_confidence)
+            lang, conf, ok = _judge(shared.value, b.column(1), min_confidence)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(conf, pa.float64()), pa.array(ok, pa.bool_())], names=["doc_id", "language", "confidence", "accepted"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, language string, confidence double, accepted boolean")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, language string, confidence double, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, min_confidence: float = MIN_CONFIDENCE, text_col: str = "text") -> DataFrame:
@@ -226,6 +228,6 @@ def keep_identified(docs: DataFrame, model: Model, min_confidence: float = MIN_C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_judge(shared.value, b.column(at).to_pylist(), min_confidence)[2], pa.bool_()))
+            yield b.filter(pa.array(_judge(shared.value, b.column(at), min_confidence)[2], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

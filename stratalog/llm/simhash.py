@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, labels_of, slices, spread, word_codes
+from .common import components, cut, labels_of, lean, slices, spread, word_codes
 
 #: A fingerprint is BLOCKS blocks of 15 bits, in two longs.
 BLOCKS, WIDTH = 8, 15
@@ -161,8 +161,8 @@ def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, forest: bool = Fal
     """
     if threshold >= 2 * BLOCKS:
         raise ValueError(f"anchors guarantee thresholds below {2 * BLOCKS}")
-    spread = prints.mapInArrow(_spread, "anchor int, home boolean, lo long, hi long, id long")
-    return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold, forest), "a long, b long, distance int")
+    spread = prints.mapInArrow(lean(_spread), "anchor int, home boolean, lo long, hi long, id long")
+    return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_compare(threshold, forest)), "a long, b long, distance int")
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +174,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             f, has = fingerprints(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(has)), pa.array(f[has, 0]), pa.array(f[has, 1])], names=["doc_id", "lo", "hi"])
 
-    return src.mapInArrow(run, "doc_id long, lo long, hi long")
+    return src.mapInArrow(lean(run), "doc_id long, lo long, hi long")
 
 
 def near_groups(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .tokencount import PATTERN, VOCABULARY, encoder
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -88,7 +89,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
         if ids:
             yield shard()
 
-    return src.mapInArrow(run, "doc_ids array<long>, n_tokens array<long>, token_bytes int, data binary")
+    return src.mapInArrow(lean(run), "doc_ids array<long>, n_tokens array<long>, token_bytes int, data binary")
 
 
 def save_shards(shards: DataFrame, folder: str) -> DataFrame:
@@ -108,4 +109,4 @@ def save_shards(shards: DataFrame, folder: str) -> DataFrame:
                 store.move(f"{root}/{name}.{xxhash.xxh32_hexdigest(data)}.part", f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), b.column("doc_ids"), b.column("n_tokens")], names=["file", "doc_ids", "n_tokens"])
 
-    return shards.select("doc_ids", "n_tokens", F.col("data")).mapInArrow(run, "file string, doc_ids array<long>, n_tokens array<long>")
+    return shards.select("doc_ids", "n_tokens", F.col("data")).mapInArrow(lean(run), "file string, doc_ids array<long>, n_tokens array<long>")

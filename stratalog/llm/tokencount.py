@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, pieces, slices, spread
+from .common import Memo, lean, pieces, slices, spread
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -118,7 +118,7 @@ class Encoder:
         if not self.by_spaces:
             yield from (self.ids(t or "") for t in col.to_pylist())
             return
-        for _, part in slices(col, 24_000_000):
+        for _, part in slices(col, 6_000_000):
             code, n, first, parts, once = self._apart(part)
             ids = np.array(self.full._core_bpe.encode_ordinary(" " + " ".join(p if p and not p[0].isspace() else "-" for p in parts)), self.dtype)
             at = np.flatnonzero(self.spaced[ids])
@@ -153,4 +153,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
             n = pc.if_else(b.column(1).is_valid(), pa.array(enc.counts(b.column(1))), pa.scalar(None, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), n], names=["doc_id", "n_tokens"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long")
+    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long")

@@ -8,6 +8,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: term -> (weight, strict). Terms are lower-case ASCII; inside, anything may separate their words.
 VOCABULARY: dict[str, tuple[float, bool]] = {
     "adult-x": (5.0, True),
@@ -86,7 +88,7 @@ def url_filter(pages: DataFrame, vocabulary: dict[str, tuple[float, bool]] = VOC
                 names=[id_col, "url", "strict_hits", "soft_hits", "soft_terms", "weight", "rejected"],
             )
 
-    return src.mapInArrow(run, f"`{id_col}` {kind}, url string, strict_hits int, soft_hits int, soft_terms int, weight double, rejected boolean")
+    return src.mapInArrow(lean(run), f"`{id_col}` {kind}, url string, strict_hits int, soft_hits int, soft_terms int, weight double, rejected boolean")
 
 
 def oracle(vocabulary: dict[str, tuple[float, bool]] = VOCABULARY, min_soft: int = MIN_SOFT) -> str:
