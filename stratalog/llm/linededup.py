@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, chunks, components, cut
+from .common import chunks, components, cut, lean, slices
 
 SHINGLE = 6
 THRESHOLD = 0.8
 #: Lines with Jaccard 0.8 share one of 7 bands of 4 with probability 0.975, with 0.9 almost surely.
 BANDS, ROWS = 7, 4
 BROADCAST_ROWS = 8_000_000
+#: Lines of a bucket that are compared at once.
+BLOCK = 48
 
 _r = np.random.default_rng(23)
 _MUL = (_r.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -30,14 +32,47 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def shingles(line: str) -> frozenset[str]:
+def shingles(line: str) -> set[str]:
     """All runs of SHINGLE characters; a shorter line is one shingle."""
-    return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def numbers(line: str) -> np.ndarray:
+    """The line's shingles as different numbers in order. Those of characters below 1,024 are packed exactly into 60 bits; others, and lines shorter than a shingle, are 63-bit hashes."""
+    if len(line) < SHINGLE:
+        return np.array([-(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) >> 1) - 1], np.int64)
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    n = len(code) - SHINGLE + 1
+    out = np.zeros(n, np.int64)
+    for k in range(SHINGLE):
+        out = out << 10 | code[k : k + n]
+    if code.max() >= 1024:
+        wide = np.zeros(n, bool)
+        h = np.zeros(n, np.uint64)
+        for k in range(SHINGLE):
+            wide |= code[k : k + n] >= 1024
+            h = (h ^ code[k : k + n].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out[wide] = -(h[wide] >> np.uint64(1)).astype(np.int64) - 1
+    return np.unique(out)
+
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two lines' numbers."""
+    c = np.concatenate((a, b))
+    c.sort()
+    both = np.count_nonzero(c[1:] == c[:-1])
+    return both / (len(c) - both)
 
-def jaccard(a: frozenset, b: frozenset) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
+
+def _block(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of the pairs with Jaccard of threshold at least: products of incidence rows count what two lines share."""
+    size = np.array([len(x) for x in a + b])
+    known, at = np.unique(np.concatenate(a + b), return_inverse=True)
+    rows = np.zeros((len(size), len(known)), np.float32)
+    rows[np.repeat(np.arange(len(size)), size), at] = 1
+    both = (rows[: len(a)] @ rows[len(a) :].T).astype(np.float64)
+    return np.nonzero(both >= threshold * (size[: len(a), None] + size[len(a) :] - both))
 
 
 def bands(lines: list[str]) -> np.ndarray:
@@ -81,10 +116,9 @@ _BAND_NAMES = [f"b{i}" for i in range(BANDS)]
 
 def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, j in chunks(texts, 8_000_000):
+        for i, part in slices(b.column(1), 4_000_000):
             doc, no, hs, new, seen = [], [], [], [], {}
-            for d, t in zip(ids[i:j], texts[i:j]):
+            for d, t in zip(b.column(0).slice(i, len(part)).to_pylist(), part.to_pylist()):
                 for k, s in _lines(t):
                     doc.append(d)
                     no.append(k)
@@ -132,17 +166,33 @@ def verify(lines: dict[int, str], threshold: float) -> dict[int, int]:
             up[i] = i = up[up[i]]
         return i
 
-    sets = Memo(lambda i: shingles(lines[i]), 20_000)
+    def join(i: int, j: int) -> None:
+        a, b = root(i), root(j)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+
+    sets = {i: numbers(lines[i]) for i in ids}
     buckets = defaultdict(list)
     for i, keys in zip(ids, bands([lines[i] for i in ids]).tolist()):
         for k in keys:
             buckets[k].append(i)
+    done = set()
     for members in buckets.values():
-        for n, i in enumerate(members):
-            for j in members[:n]:
-                a, b = root(i), root(j)
-                if a != b and jaccard(sets[i], sets[j]) >= threshold:
-                    up[max(a, b)] = min(a, b)
+        if len(members) < 2 or (own := tuple(members)) in done:
+            continue
+        done.add(own)
+        if len(members) < 16:
+            for n, i in enumerate(members):
+                for j in members[:n]:
+                    if root(i) != root(j) and jaccard(sets[i], sets[j]) >= threshold:
+                        join(i, j)
+            continue
+        parts = [members[k : k + BLOCK] for k in range(0, len(members), BLOCK)]
+        for n, p in enumerate(parts):
+            for q in parts[: n + 1]:
+                if len({root(i) for i in p + q}) > 1:
+                    for x, y in zip(*_block([sets[i] for i in p], [sets[i] for i in q], threshold)):
+                        join(p[x], q[y])
     return {i: root(i) for i in ids}
 
 
@@ -173,9 +223,8 @@ def _texts(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if wanted is None else wanted.value
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in chunks(texts, 8_000_000):
-                found = {line_hash(s): s for t in texts[i:j] for _, s in _lines(t)}
+            for _, part in slices(b.column(0), 4_000_000):
+                found = {line_hash(s): s for t in part.to_pylist() for _, s in _lines(t)}
                 h = np.fromiter(found, np.int64, len(found))
                 take = np.ones(len(h), bool) if known is None else known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
                 yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array([s for s, k in zip(found.values(), take) if k], pa.string())], names=["lh", "line"])
@@ -196,17 +245,17 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     """
     spark = docs.sparkSession
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = cut(src.mapInArrow(_list_lines, "lh long, doc_id long, line_no int, " + ", ".join(f"{c} long" for c in _BAND_NAMES)), "lines")
+    lines = cut(src.mapInArrow(lean(_list_lines), "lh long, doc_id long, line_no int, " + ", ".join(f"{c} long" for c in _BAND_NAMES)), "lines")
     keyed = lines.where("b0 IS NOT NULL").select(F.explode(F.array(*_BAND_NAMES)).alias("key"), "lh")
-    group = cut(components(keyed.repartition("key").mapInArrow(_meet, "a long, b long")).select(F.col("id").alias("lh"), F.col("root").alias("group")), "groups")
+    group = cut(components(keyed.repartition("key").mapInArrow(lean(_meet), "a long, b long")).select(F.col("id").alias("lh"), F.col("root").alias("group")), "groups")
     n = group.count()
     if 0 < n <= broadcast_rows:
         known = np.sort(group.select("lh").toPandas()["lh"].to_numpy())
         wanted = spark.sparkContext.broadcast(known)
-        texts = src.select("text").mapInArrow(_texts(wanted), "lh long, line string")
+        texts = src.select("text").mapInArrow(lean(_texts(wanted)), "lh long, line string")
     else:
-        texts = src.select("text").mapInArrow(_texts(None), "lh long, line string") if n else spark.createDataFrame([], "lh long, line string")
-    joined = cut(texts.join(group, "lh").repartition("group").sortWithinPartitions("group", "lh").mapInArrow(_verify(threshold), "lh long, root long"), "joined")
+        texts = src.select("text").mapInArrow(lean(_texts(None)), "lh long, line string") if n else spark.createDataFrame([], "lh long, line string")
+    joined = cut(texts.join(group, "lh").repartition("group").sortWithinPartitions("group", "lh").mapInArrow(lean(_verify(threshold)), "lh long, root long"), "joined")
     own = lines.select("lh", "doc_id", "line_no").join(joined, "lh", "left").select(F.coalesce("root", "lh").alias("root"), "doc_id", "line_no")
     own = cut(own, "own")
     kept = own.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("k")).where("n > 1").select("root", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.line_no").alias("kept_line_no"))
