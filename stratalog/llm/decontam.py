@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, word_codes, words
+from .common import cut, lean, slices, word_codes, words
 
 #: A tile has at least this many words; a seed has exactly as many.
 MIN_MATCH = 5
@@ -20,6 +20,7 @@ MIN_MATCH = 5
 MIN_COVERAGE = 0.5
 BROADCAST_BYTES = 32 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def hashes(names: list[str]) -> np.ndarray:
@@ -27,11 +28,14 @@ def hashes(names: list[str]) -> np.ndarray:
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """Karp-Rabin hashes of all k neighbours."""
-    out = np.zeros(max(0, len(h) - k + 1), np.uint64)
-    for i in range(k):
-        out = out * _BASE + h[i : i + len(out)]
-    return out
+    """Karp-Rabin hashes of all k neighbours, from running sums: the base is odd, so it has an inverse modulo 2^64."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    down = np.cumprod(np.append(np.uint64(1), np.full(len(h) - 1, _INVERSE)), dtype=np.uint64)
+    up = np.cumprod(np.append(np.uint64(1), np.full(len(h) - 1, _BASE)), dtype=np.uint64)
+    sums = np.append(np.uint64(0), np.cumsum(h * down, dtype=np.uint64))
+    return (sums[k:] - sums[:-k]) * up[k - 1 :]
 
 
 def _longest(text: np.ndarray, item: np.ndarray, free: np.ndarray, open_: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -171,7 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverag
                     out.append((ids[r], items.ids[i], c, len(found)))
                 yield _batch(out)
 
-        return src.mapInArrow(run, SCHEMA)
+        return src.mapInArrow(lean(run), SCHEMA)
 
     rowed = cut(src.withColumn("row", F.monotonically_increasing_id()), "rows")
 
@@ -190,8 +194,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverag
 
         return run
 
-    left = rowed.select("row", "text").mapInArrow(seeds("row", "text"), "id long, seed long")
-    right = tests.select("item_id", "item_text").mapInArrow(seeds("item_id", "item_text"), "id long, seed long").withColumnRenamed("id", "item_id")
+    left = rowed.select("row", "text").mapInArrow(lean(seeds("row", "text")), "id long, seed long")
+    right = tests.select("item_id", "item_text").mapInArrow(lean(seeds("item_id", "item_text")), "id long, seed long").withColumnRenamed("id", "item_id")
     pairs = left.join(right, "seed").select(F.col("id").alias("row"), "item_id").distinct()
     both = rowed.join(pairs, "row").join(tests, "item_id").select("row", "doc_id", "text", "item_id", "item_text")
 
@@ -203,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverag
                     out.append((d, i, c, len(found)))
             yield _batch(out)
 
-    return both.mapInArrow(tile, SCHEMA)
+    return both.mapInArrow(lean(tile), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
