@@ -14,12 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when it runs from a source tree; on a cluster it is shipped with --py-files."""
+    """Lets Python workers import this package when it runs from a source tree; on a cluster it is shipped with --py-files.
+
+    Arrow batches are held to 8 MB unless the session says otherwise, as each is in memory several times on both sides.
+    """
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    if spark.conf.get(_BATCH, None) == _DEFAULT:
+        spark.conf.set(_BATCH, "8m")
     return spark
 
 
