@@ -118,7 +118,7 @@ class Encoder:
         if not self.by_spaces:
             yield from (self.ids(t or "") for t in col.to_pylist())
             return
-        for _, part in slices(col, 6_000_000):
+        for _, part in slices(col, 4_500_000):
             code, n, first, parts, once = self._apart(part)
             ids = np.array(self.full._core_bpe.encode_ordinary(" " + " ".join(p if p and not p[0].isspace() else "-" for p in parts)), self.dtype)
             at = np.flatnonzero(self.spaced[ids])
