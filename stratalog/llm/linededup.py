@@ -54,7 +54,8 @@ def numbers(line: str) -> np.ndarray:
             h = (h ^ code[k : k + n].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         out[wide] = -(h[wide] >> np.uint64(1)).astype(np.int64) - 1
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -68,9 +69,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _block(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Places in a and in b of the pairs with Jaccard of threshold at least: products of incidence rows count what two lines share."""
     size = np.array([len(x) for x in a + b])
-    known, at = np.unique(np.concatenate(a + b), return_inverse=True)
-    rows = np.zeros((len(size), len(known)), np.float32)
-    rows[np.repeat(np.arange(len(size)), size), at] = 1
+    every = np.concatenate(a + b)
+    order = np.argsort(every, kind="stable")
+    new = np.append(True, np.diff(every[order]) != 0)
+    at = np.cumsum(new) - 1
+    shared = np.bincount(at) > 1  # what one line has alone doesn't count
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    rows = np.zeros((len(size), int(shared.sum())), np.float32)
+    rows[np.repeat(np.arange(len(size)), size)[order[keep]], column[at[keep]]] = 1
     both = (rows[: len(a)] @ rows[len(a) :].T).astype(np.float64)
     return np.nonzero(both >= threshold * (size[: len(a), None] + size[len(a) :] - both))
 
@@ -156,8 +163,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pair[0, s : s + 200_000]), pa.array(pair[1, s : s + 200_000])], names=["a", "b"])
 
 
-def verify(lines: dict[int, str], threshold: float) -> dict[int, int]:
-    """The smallest hash of each line's component of pairs that share a band and have Jaccard of threshold at least. Pairs already in one component aren't compared again."""
+def verify(lines: dict[int, str], threshold: float, keys: np.ndarray | None = None) -> dict[int, int]:
+    """keys: bands() of the lines in order of their hashes. The smallest hash of each line's component of pairs that share a band and have Jaccard of threshold at least. Pairs already in one component aren't compared again."""
     ids = sorted(lines)
     up = {i: i for i in ids}
 
@@ -173,8 +180,8 @@ def verify(lines: dict[int, str], threshold: float) -> dict[int, int]:
 
     sets = {i: numbers(lines[i]) for i in ids}
     buckets = defaultdict(list)
-    for i, keys in zip(ids, bands([lines[i] for i in ids]).tolist()):
-        for k in keys:
+    for i, own in zip(ids, (bands([lines[i] for i in ids]) if keys is None else keys).tolist()):
+        for k in own:
             buckets[k].append(i)
     done = set()
     for members in buckets.values():
@@ -198,20 +205,29 @@ def verify(lines: dict[int, str], threshold: float) -> dict[int, int]:
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, {}
+        at, own, ready, n = None, {}, [], 0
 
         def settle() -> pa.RecordBatch:
-            pairs = [(i, r) for i, r in verify(own, threshold).items() if i != r]
+            """Several components, whose keys are made in one go."""
+            keys = bands([c[i] for c in ready for i in sorted(c)])
+            ends = np.cumsum([len(c) for c in ready])
+            pairs = [(i, r) for c, e in zip(ready, ends) for i, r in verify(c, threshold, keys[e - len(c) : e]).items() if i != r]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["lh", "root"])
 
         for b in batches:
             for g, h, t in zip(*(b.column(c).to_pylist() for c in ("group", "lh", "line"))):
                 if g != at:
                     if own:
+                        ready.append(own)
+                        n += len(own)
+                    if n > 2000:
                         yield settle()
+                        ready, n = [], 0
                     at, own = g, {}
                 own[h] = t
         if own:
+            ready.append(own)
+        if ready:
             yield settle()
 
     return run
