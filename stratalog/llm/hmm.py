@@ -110,7 +110,7 @@ def expected_counts(model: Model, obs: np.ndarray, n: np.ndarray) -> tuple[np.nd
 
 def _runs(model: Model, col: pa.Array, most: int = 1_200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Symbol sequences of whole texts, about most symbols at a time, one text at least."""
-    for start, part in slices(col, 6_000_000):
+    for start, part in slices(col, 9_000_000):
         obs, n = model.symbols(part)
         ends = np.cumsum(n)
         i = 0
