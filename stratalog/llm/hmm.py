@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import math
+import os
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, slices, word_codes
+from .common import cut, lean, shared_dir, slices, word_codes
 
 STATES = 6
 ROUNDS = 2
-#: A word is a symbol of its own from this share of all words in the corpus, so there are at most 1 / MIN_SHARE; all others are symbol 0.
-MIN_SHARE = 2e-5
+#: A word that occurs as often in the corpus is a symbol of its own; all others are symbol 0.
+MIN_COUNT = 2
 SMOOTH = 0.1
+#: Symbols in a piece of the emission table, about.
+PIECE = 30_000
 
 
 def word_totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -33,25 +41,95 @@ def word_totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(docs[text_col].alias("text")).mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def hashes(names: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in names), np.uint64, len(names)).view(np.int64)
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int]  # word -> symbol; 0 is every other word
     start: np.ndarray  # states
     move: np.ndarray  # states x states
     emit: np.ndarray  # symbols x states
+    rare: int = 1  # words that share symbol 0
 
     def symbols(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         code, n, names = word_codes(part)
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in names), np.int32, len(names))[code], n
 
+    def local(self, part: pa.Array) -> tuple[Model, np.ndarray, np.ndarray]:
+        return self, *self.symbols(part)
 
-def initial(vocabulary: dict[str, int], share: np.ndarray, states: int, seed: int = 11) -> Model:
-    """Symbol shares of the corpus, each state's disturbed by its own factors."""
-    r = np.random.default_rng(seed)
-    emit = share[:, None] * r.uniform(0.2, 1.8, (len(share), states))
-    move = r.uniform(0.5, 1.5, (states, states))
-    return Model(vocabulary, np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+
+@dataclass
+class Table:
+    """A model of any number of symbols. Words' hashes and expected counts are files in the shared folder, a pair for each piece of the hashes' range, and are mapped: a task reads what its own words need."""
+
+    folder: str
+    pieces: int  # a power of two
+    start: np.ndarray
+    move: np.ndarray
+    other: np.ndarray  # counts of symbol 0
+    sums: np.ndarray  # of all counts, with their smoothing
+    smooth: float  # added to each count
+    rare: int
+    round: int = 0
+    maps: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("maps", "vocabulary", "emit")} | {"maps": {}}
+
+    def piece(self, p: int) -> tuple[np.ndarray, np.ndarray] | None:
+        if p not in self.maps:
+            there = os.path.exists(f"{self.folder}/{p}.npy")
+            self.maps[p] = (np.load(f"{self.folder}/{p}.npy", mmap_mode="r"), np.load(f"{self.folder}/{p}-{self.round}.npy", mmap_mode="r")) if there else None
+        return self.maps[p]
+
+    def emissions(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are symbols, and what the states emit of each."""
+        known, rows, p = np.zeros(len(h), bool), np.zeros((len(h), len(self.start))), h & (self.pieces - 1)
+        for k in np.unique(p):
+            if (maps := self.piece(int(k))) is None:
+                continue
+            at = np.flatnonzero(p == k)
+            i = np.minimum(np.searchsorted(maps[0], h[at]), len(maps[0]) - 1)
+            ok = maps[0][i] == h[at]
+            known[at[ok]], rows[at[ok]] = True, maps[1][i[ok]]
+        return known, (rows + self.smooth) / self.sums
+
+    def of(self, h: np.ndarray) -> Model:
+        """The model of these symbols, in their order after 0."""
+        return Model({}, self.start, self.move, np.concatenate([((self.other + self.smooth) / self.sums)[None], self.emissions(h)[1]]), self.rare)
+
+    def encode(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the texts' own symbols, all texts' symbols as places among these from 1, and each text's number of words."""
+        code, n, names = word_codes(part)
+        h = hashes(names)
+        known = self.emissions(h)[0]
+        return h[known], np.where(known, np.cumsum(known), 0).astype(np.int32)[code], n
+
+    def local(self, part: pa.Array) -> tuple[Model, np.ndarray, np.ndarray]:
+        h, obs, n = self.encode(part)
+        return self.of(h), obs, n
+
+    @cached_property
+    def vocabulary(self) -> dict[str, int]:
+        """All words, on the driver: for small tables."""
+        t = ds.dataset(f"{self.folder}/words", schema=pa.schema([("word", pa.string()), ("n", pa.int64())])).to_table()
+        return {w: i + 1 for i, (_, w) in enumerate(sorted((-n, w) for n, w in zip(t["n"].to_pylist(), t["word"].to_pylist())))}
+
+    @cached_property
+    def emit(self) -> np.ndarray:
+        return self.of(hashes(list(self.vocabulary))).emit
+
+
+def factors(h: np.ndarray, states: int) -> np.ndarray:
+    """Factors between 0.2 and 1.8 that disturb a word's share, from its hash and the state alone."""
+    x = h.view(np.uint64)[:, None] + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return 0.2 + 1.6 * ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
 
 
 def forward(model: Model, obs: np.ndarray, n: np.ndarray, keep: bool = False):
@@ -108,59 +186,163 @@ def expected_counts(model: Model, obs: np.ndarray, n: np.ndarray) -> tuple[np.nd
     return start, move * model.move, emit, float(ll.sum())
 
 
-def _runs(model: Model, col: pa.Array, most: int = 1_200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _parts(obs: np.ndarray, n: np.ndarray, most: int = 1_200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Symbol sequences of whole texts, about most symbols at a time, one text at least."""
+    ends = np.cumsum(n)
+    i = 0
+    while i < len(n):
+        base = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield i, obs[base : ends[j - 1]], n[i:j]
+        i = j
+
+
+def _runs(model: Model | Table, col: pa.Array, most: int = 1_200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for start, _, obs, n in _locals(model, col, most):
+        yield start, obs, n
+
+
+def _locals(model: Model | Table, col: pa.Array, most: int = 1_200_000) -> Iterator[tuple[int, Model, np.ndarray, np.ndarray]]:
+    """Pieces of the column: the place of the first text, the model of the piece's symbols, and the sequences."""
     for start, part in slices(col, 9_000_000):
-        obs, n = model.symbols(part)
-        ends = np.cumsum(n)
-        i = 0
-        while i < len(n):
-            base = ends[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(ends, base + most, "right")))
-            yield start + i, obs[base : ends[j - 1]], n[i:j]
-            i = j
-
-
-def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, min_share: float = MIN_SHARE, smooth: float = SMOOTH, text_col: str = "text") -> Model:
-    """Vocabulary, symbol shares and every round's counts come from all documents. Each task adds up its own counts; tasks' sums meet in a shuffle by symbol, and at most 1 / min_share symbols reach the driver."""
+        m, obs, n = model.local(part)
+        for i, o, k in _parts(obs, n, most):
+            yield start + i, m, o, k
+
+
+def _added(h: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts added up by hash."""
+    keys, inv = np.unique(np.concatenate(h), return_inverse=True)
+    c = np.concatenate(c)
+    return keys, np.stack([np.bincount(inv, weights=c[:, i], minlength=len(keys)) for i in range(c.shape[1])], axis=1)
+
+
+def _save(path: str, a: np.ndarray) -> None:
+    """Whole or not at all: a task may run twice."""
+    with open(own := f"{path}-{uuid.uuid4().hex}", "wb") as f:
+        np.save(f, a)
+    os.replace(own, path)
+
+
+def _rows(piece: np.ndarray, h: np.ndarray, c: np.ndarray, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(h), most):
+        x = slice(i, i + most)
+        yield pa.RecordBatch.from_arrays([pa.array(piece[x].astype(np.int64)), pa.array(h[x].astype(np.int64)), *(pa.array(c[x, k]) for k in range(c.shape[1]))], names=["piece", "h", *(f"c{k}" for k in range(c.shape[1]))])
+
+
+def _folder(docs: DataFrame) -> str:
+    spark = docs.sparkSession
+    root = shared_dir(spark)
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError("the emission table is mapped: spark.checkpoint.dir must be a mounted folder (file://)")
+    path = f"{root.removeprefix('file:').replace('//', '/', 1) if root.startswith('file:') else root}/{spark.sparkContext.applicationId}/hmm-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, min_share: float = 0.0, smooth: float = SMOOTH, text_col: str = "text", min_count: int = MIN_COUNT) -> Table:
+    """Vocabulary and every round's counts come from all documents.
+
+    A word is a symbol of its own if it occurs min_count times (and has min_share of all words). Texts are encoded once;
+    in a round each task adds up its own counts, which meet in a shuffle by piece of the table. Only sums over all
+    symbols reach the driver. Two words with the same 64-bit hash would be one symbol.
+    """
     spark = docs.sparkSession
+    folder = _folder(docs)
     texts = docs.select(docs[text_col].alias("text"))
     totals = cut(word_totals(texts), "words")
-    total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common = totals.where(F.col("n") >= max(2, min_share * total)).orderBy(F.desc("n"), "word").toPandas()
-    vocabulary = {w: i + 1 for i, w in enumerate(common.word)}
-    n = np.concatenate([[total - common.n.sum()], common.n.to_numpy()]).astype(float) + smooth
-    model = initial(vocabulary, n / n.sum(), states)
-    schema = "symbol int, " + ", ".join(f"c{i} double" for i in range(states))
-    for _ in range(rounds):
+    total, distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    totals.where(F.col("n") >= max(min_count, 2, min_share * total)).write.parquet(f"file://{folder}/words")
+    own = spark.read.schema("word string, n long").parquet(f"file://{folder}/words")
+    symbols, covered = own.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    r = np.random.default_rng(11)
+    move = r.uniform(0.5, 1.5, (states, states))
+    pieces = 1 << max(0, math.ceil(math.log2(max(1, symbols / PIECE))))
+    model = Table(folder, pieces, np.full(states, 1 / states), move / move.sum(1, keepdims=True), float(total - covered) * r.uniform(0.2, 1.8, states), np.ones(states), smooth / states, distinct - symbols + 1)
+    counted = ", ".join(f"c{i} double" for i in range(states))
+    keyed = f"piece long, h long, {counted}"
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = hashes(b.column(0).to_pylist())
+            yield from _rows(h & (pieces - 1), h, b.column(1).to_numpy()[:, None] * factors(h, states))
+
+    def gather(at: int):
+        def run(group: pa.Table) -> pa.Table:
+            h, c = _added([group["h"].to_numpy()], [np.stack([group[f"c{i}"].to_numpy() for i in range(states)], axis=1)])
+            p = group["piece"][0].as_py()
+            if p >= 0:
+                if not at:
+                    _save(f"{folder}/{p}.npy", h)
+                _save(f"{folder}/{p}-{at}.npy", c)
+                h, c = np.array([states + 3]), c.sum(0)[None]
+            return pa.table([pa.array(h), *(pa.array(c[:, i]) for i in range(states))], names=["k", *(f"c{i}" for i in range(states))])
+
+        return run
+
+    def gathered(rows: DataFrame, at: int) -> np.ndarray:
+        """By row: starts, moves, symbol 0, log-likelihood, all own symbols."""
+        out = np.zeros((states + 4, states))
+        for x in rows.groupBy("piece").applyInArrow(gather(at), f"k long, {counted}").collect():
+            out[x.k] += x[1:]
+        return out
+
+    model.sums = gathered(own.mapInArrow(lean(begin), keyed), 0)[states + 3] + model.other + model.smooth * (symbols + 1)
+    if not rounds:
+        return model
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = first.value
+        for b in batches:
+            for _, part in slices(b.column(0), 9_000_000):
+                h, obs, n = m.encode(part)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (h, obs, n.astype(np.int32))], names=["h", "obs", "n"])
+
+    first = spark.sparkContext.broadcast(model)
+    coded = cut(texts.mapInArrow(lean(encode), "h array<long>, obs array<int>, n array<int>"), "coded")
+    for at in range(1, rounds + 1):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            s, a, e = np.zeros(states), np.zeros((states, states)), np.zeros_like(m.emit)
+            few, hs, cs = np.zeros((states + 3, states)), [], []
             for b in batches:
-                for _, obs, n in _runs(m, b.column(0)):
-                    x, y, z, _ = expected_counts(m, obs, n)
-                    s, a, e = s + x, a + y, e + z
-            rows = np.concatenate([s[None], a, e])
-            hit = np.flatnonzero(rows.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array((hit - 1 - states).astype(np.int32)), *(pa.array(rows[hit, i]) for i in range(states))], names=["symbol", *(f"c{i}" for i in range(states))])
-
-        got = texts.mapInArrow(lean(run), schema).groupBy("symbol").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(states))).toPandas()
-        rows = np.zeros((1 + states + len(model.emit), states))
-        rows[got.symbol.to_numpy() + 1 + states] = got.iloc[:, 1:].to_numpy()
-        s, a, e = rows[0] + smooth, rows[1 : states + 1] + smooth, rows[states + 1 :] + smooth / states
-        model = Model(vocabulary, s / s.sum(), a / a.sum(1, keepdims=True), e / e.sum(0))
+                for i in range(len(b)):
+                    h, obs, n = (b.column(k)[i].values.to_numpy() for k in range(3))
+                    part = m.of(h)
+                    for _, o, k in _parts(obs, n):
+                        x, y, z, ll = expected_counts(part, o, k)
+                        few[0] += x
+                        few[1 : states + 1] += y
+                        few[states + 1] += z[0]
+                        few[states + 2, 0] += ll
+                        hs.append(h)
+                        cs.append(z[1:])
+                    if sum(map(len, hs)) > 600_000:
+                        hs, cs = ([x] for x in _added(hs, cs))
+                        if len(hs[0]) > 300_000:
+                            yield from _rows(hs[0] & (pieces - 1), hs[0], cs[0])
+                            hs, cs = [], []
+            k = np.arange(states + 3)
+            yield from _rows(np.full(len(k), -1), k, few)
+            if hs:
+                h, c = _added(hs, cs)
+                yield from _rows(h & (pieces - 1), h, c)
+
+        got = gathered(coded.mapInArrow(lean(run), keyed), at)
+        s, a = got[0] + smooth, got[1 : states + 1] + smooth
+        model = Table(folder, pieces, s / s.sum(), a / a.sum(1, keepdims=True), got[states + 1], got[states + 1] + got[states + 3] + (symbols + 1) * smooth / states, smooth / states, model.rare, at)
         shared.unpersist()
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model | Table, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_likelihood, per_word), a row for each input row: the natural logarithm of the probability of the whole symbol sequence, and its share per word.
 
     A NULL text has NULL in all three; a text without words has 0, 0 and NULL. Ids may be NULL or repeat; other columns
-    don't matter; texts of any length are scored whole; an empty table gives an empty result. The model is broadcast:
-    its size is bounded by 1 / min_share symbols. No shuffle.
+    don't matter; texts of any length are scored whole; an empty table gives an empty result. A word without a symbol of
+    its own has symbol 0's probability divided by the number of words that share it. Tasks map the emission table and
+    read the rows of their own words. No shuffle.
     """
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -168,8 +350,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ll, size = np.zeros(len(b)), np.zeros(len(b), np.int64)
-            for i, obs, n in _runs(shared.value, b.column(1)):
-                ll[i : i + len(n)], size[i : i + len(n)] = forward(shared.value, obs, n), n
+            for i, m, obs, n in _locals(shared.value, b.column(1)):
+                rare = np.bincount(np.repeat(np.arange(len(n)), n)[obs == 0], minlength=len(n))
+                ll[i : i + len(n)], size[i : i + len(n)] = forward(m, obs, n) - rare * math.log(m.rare), n
             null = ~b.column(1).is_valid().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, mask=null), pa.array(ll, mask=null), pa.array(ll / np.maximum(size, 1), mask=size == 0)], names=["doc_id", "n_words", "log_likelihood", "per_word"])
 

@@ -147,3 +147,13 @@ def test_runs_cover_all_rows():
     col = pa.array(["w1 w2", None, "", "w3 " * 10, "w1"])
     seen = [(i, n.tolist()) for i, _, n in hmm._runs(m, col, most=3)]
     assert sum(len(n) for _, n in seen) == 5 and [x for _, n in seen for x in n] == [2, 0, 0, 10, 1]
+
+
+def test_words_by_count_and_rare_words_share_a_symbol(spark):
+    texts = [f"often often twice{k} twice{k} " for k in range(40_000)] + ["once%d" % k for k in range(1000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = hmm.train(df, rounds=1)
+    assert len(m.vocabulary) == 40_001 and not any(w.startswith("once") for w in m.vocabulary)
+    assert m.rare == 1001 and np.allclose(m.emit.sum(0), 1)
+    got = {x.doc_id: x.per_word for x in hmm.score(df, m).where("doc_id % 20000 = 1 OR doc_id = 40500").collect()}
+    assert got[40500] < got[1] - 2  # 1,000 words seen once don't outdo common ones
