@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from .common import cut, lean, shared_dir, slices, word_codes
 
 STATES = 6
-ROUNDS = 2
+#: Rounds end when one gains less log-likelihood per word, at any size.
+TOLERANCE = 1e-3
+#: Characters of distinct texts, and of one text, from which the states begin; rounds then cover all documents.
+START_CHARS, START_TEXT = 1_000_000, 20_000
 #: A word that occurs as often in the corpus is a symbol of its own; all others are symbol 0.
 MIN_COUNT = 2
 SMOOTH = 0.1
@@ -230,6 +233,54 @@ def _rows(piece: np.ndarray, h: np.ndarray, c: np.ndarray, most: int = 100_000)
         yield pa.RecordBatch.from_arrays([pa.array(piece[x].astype(np.int64)), pa.array(h[x].astype(np.int64)), *(pa.array(c[x, k]) for k in range(c.shape[1]))], names=["piece", "h", *(f"c{k}" for k in range(c.shape[1]))])
 
 
+def begun(texts: list[str], states: int, smooth: float, seeds: tuple[int, ...] = (11, 12, 13), tolerance: float = 1e-4, tried: int = 15, least: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """States from some texts, trained until they settle, from the best of some random beginnings: starts, moves, hashes of words seen twice (sorted), each one's shares of the states, and those of all other words."""
+    code, n, names = word_codes(pa.array(texts, pa.string()))
+    times = np.bincount(code, minlength=len(names))
+    own = times >= 2
+    obs = np.where(own, np.cumsum(own), 0)[code]
+    share = np.concatenate([[times[~own].sum()], times[own]]) + smooth
+
+    def step(m: Model) -> tuple[float, np.ndarray, Model]:
+        s, a, e, ll = expected_counts(m, obs, n)
+        s, a, e = s + smooth, a + smooth, e + smooth / states
+        return ll, e, Model({}, s / s.sum(), a / a.sum(1, keepdims=True), e / e.sum(0))
+
+    def tries(seed: int) -> tuple[float, np.ndarray, Model]:
+        r = np.random.default_rng(seed)
+        # far from flat, else rounds gain next to nothing until the states part
+        emit = share[:, None] * (r.gamma(0.5, 1, (len(share), states)) + 1e-3)
+        move = r.uniform(0.5, 1.5, (states, states))
+        got = -math.inf, emit, Model({}, np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        for _ in range(tried if len(obs) else 0):
+            got = step(got[2])
+        return got
+
+    before, emit, m = max(map(tries, seeds), key=lambda x: x[0])
+    k = tried
+    while len(obs):
+        ll, emit, m = step(m)
+        k += 1
+        if k >= least and (ll - before) / len(obs) < tolerance:
+            break
+        before = ll
+    h = hashes([x for x, o in zip(names, own) if o])
+    shares = emit / emit.sum(1, keepdims=True)
+    order = np.argsort(h)
+    return m.start, m.move, h[order], shares[1:][order], shares[0]
+
+
+def _some(texts: DataFrame) -> list[str]:
+    """Distinct texts with the smallest hashes, START_CHARS together and one at least, each cut at START_TEXT."""
+    keyed = texts.where("length(text) > 0").select(F.xxhash64("text").alias("h"), F.substring("text", 1, START_TEXT).alias("text"))
+    sizes = keyed.select("h", F.length("text").alias("n")).distinct().orderBy("h", "n").limit(20_000).collect()
+    if not sizes:
+        return []
+    ends = np.cumsum([x.n for x in sizes])
+    last = sizes[min(len(sizes) - 1, int(np.searchsorted(ends, START_CHARS)))].h
+    return [x.text for x in sorted(keyed.where(F.col("h") <= last).dropDuplicates(["h"]).collect())]
+
+
 def _folder(docs: DataFrame) -> str:
     spark = docs.sparkSession
     root = shared_dir(spark)
@@ -240,12 +291,13 @@ def _folder(docs: DataFrame) -> str:
     return path
 
 
-def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, min_share: float = 0.0, smooth: float = SMOOTH, text_col: str = "text", min_count: int = MIN_COUNT) -> Table:
+def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, min_share: float = 0.0, smooth: float = SMOOTH, text_col: str = "text", min_count: int = MIN_COUNT, tolerance: float = TOLERANCE) -> Table:
     """Vocabulary and every round's counts come from all documents.
 
     A word is a symbol of its own if it occurs min_count times (and has min_share of all words). Texts are encoded once;
     in a round each task adds up its own counts, which meet in a shuffle by piece of the table. Only sums over all
-    symbols reach the driver. Two words with the same 64-bit hash would be one symbol.
+    symbols reach the driver. States begin from some texts, and rounds over all documents follow until one gains less than
+    tolerance in log-likelihood per word; with rounds, from nearly flat states, just as many. Two words with the same 64-bit hash would be one symbol.
     """
     spark = docs.sparkSession
     folder = _folder(docs)
@@ -257,15 +309,26 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, min_share
     symbols, covered = own.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     r = np.random.default_rng(11)
     move = r.uniform(0.5, 1.5, (states, states))
+    start, move, rare_shares = np.full(states, 1 / states), move / move.sum(1, keepdims=True), r.uniform(0.2, 1.8, states)
+    known, shares = np.zeros(0, np.int64), np.zeros((0, states))
+    if rounds is None:
+        start, move, known, shares, rare_shares = begun(_some(texts), states, smooth)
+    warm = spark.sparkContext.broadcast((known, shares, rare_shares))
     pieces = 1 << max(0, math.ceil(math.log2(max(1, symbols / PIECE))))
-    model = Table(folder, pieces, np.full(states, 1 / states), move / move.sum(1, keepdims=True), float(total - covered) * r.uniform(0.2, 1.8, states), np.ones(states), smooth / states, distinct - symbols + 1)
+    model = Table(folder, pieces, start, move, float(total - covered) * rare_shares, np.ones(states), smooth / states, distinct - symbols + 1)
     counted = ", ".join(f"c{i} double" for i in range(states))
     keyed = f"piece long, h long, {counted}"
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = hashes(b.column(0).to_pylist())
-            yield from _rows(h & (pieces - 1), h, b.column(1).to_numpy()[:, None] * factors(h, states))
+            if rounds is None:
+                known, shares, rest = warm.value
+                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                by = np.where((known[i] == h)[:, None], shares[i], rest) if len(known) else np.tile(rest, (len(h), 1))
+            else:
+                by = factors(h, states)
+            yield from _rows(h & (pieces - 1), h, b.column(1).to_numpy()[:, None] * by)
 
     def gather(at: int):
         def run(group: pa.Table) -> pa.Table:
@@ -288,7 +351,7 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, min_share
         return out
 
     model.sums = gathered(own.mapInArrow(lean(begin), keyed), 0)[states + 3] + model.other + model.smooth * (symbols + 1)
-    if not rounds:
+    if rounds == 0 or not total:
         return model
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +363,9 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, min_share
 
     first = spark.sparkContext.broadcast(model)
     coded = cut(texts.mapInArrow(lean(encode), "h array<long>, obs array<int>, n array<int>"), "coded")
-    for at in range(1, rounds + 1):
+    at, before, more = 0, -math.inf, True
+    while more:
+        at += 1
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,6 +398,12 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, min_share
         s, a = got[0] + smooth, got[1 : states + 1] + smooth
         model = Table(folder, pieces, s / s.sum(), a / a.sum(1, keepdims=True), got[states + 1], got[states + 1] + got[states + 3] + (symbols + 1) * smooth / states, smooth / states, model.rare, at)
         shared.unpersist()
+        for p in range(pieces):  # the round before is of no more use
+            if os.path.exists(old := f"{folder}/{p}-{at - 1}.npy"):
+                os.remove(old)
+        spark.sparkContext._jvm.System.gc()  # lets Spark drop the round's shuffle files
+        more = at < rounds if rounds is not None else (got[states + 2, 0] - before) / total >= tolerance
+        before = got[states + 2, 0]
     return model
 
 

@@ -157,3 +157,12 @@ def test_words_by_count_and_rare_words_share_a_symbol(spark):
     assert m.rare == 1001 and np.allclose(m.emit.sum(0), 1)
     got = {x.doc_id: x.per_word for x in hmm.score(df, m).where("doc_id % 20000 = 1 OR doc_id = 40500").collect()}
     assert got[40500] < got[1] - 2  # 1,000 words seen once don't outdo common ones
+
+
+def test_training_goes_on_until_rounds_gain_little(spark):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"{'ab'[(k + s) % 2]}{r.integers(20)}" for k in range(60)) for s in r.integers(0, 2, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = hmm.train(df, states=2)
+    got = hmm.score(df, m).agg({"log_likelihood": "sum"}).first()[0] / (400 * 60)
+    assert got > -math.log(20) - 0.05  # word order counts: shares alone give -log(40)
