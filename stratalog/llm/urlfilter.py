@@ -10,8 +10,90 @@ from pyspark.sql import DataFrame
 
 from .common import lean
 
-#: term -> (weight, strict). Terms are lower-case ASCII; inside, anything may separate their words.
-VOCABULARY: dict[str, tuple[float, bool]] = {
+#: Terms by category, written from general knowledge, not from a published list. Words for who people are, and
+#: words common in shops, medicine and software, are no soft terms.
+_STRICT: dict[str, str] = {
+    "adult": """
+        porn porno pornos pornography pornographic pornstar pornstars pornhub porntube pornmovies pornvideo pornvideos
+        freeporn gayporn xporn sexcam sexcams sexchat sextube sextapes sexvideo sexvideos sexshop sextoys camgirl
+        camgirls webcamsex livesex cybersex phonesex hardcore-sex xxx xxx-video xvideos xnxx xhamster redtube youporn
+        brazzers chaturbate onlyfans-leak milf milfs gangbang bukkake blowjob blowjobs handjob creampie cumshot cumshots
+        deepthroat threesome hentai futanari rule34 upskirt voyeurcam bdsm bondage-sex fetish-porn escort-girls
+        escort-service escorts callgirl callgirls call-girl call-girls hookup-now adult-dating adult-video adult-videos
+        adult-movies adult-chat nude-girls nude-teens nudes-leaked naked-girls naked-women sexy-girls hot-girls-live
+        live-cams sex-toys sex-video sex-chat erotic-massage erotic-stories erotica stripper strippers stripclub
+        swingers-club lesbian-porn gay-porn
+    """,
+    "gambling": """
+        onlinecasino online-casino online-casinos casino-online casino-bonus casino-games casino-slots live-casino
+        mobile-casino crypto-casino bitcoin-casino free-casino casinobonus casinogames slotmachine slot-machine
+        slot-machines slots-online online-slots free-slots freeslots free-spins freespins no-deposit-bonus deposit-bonus
+        videopoker video-poker online-poker pokeronline poker-online texas-holdem holdem-poker strip-poker
+        online-roulette roulette-online online-blackjack blackjack-online baccarat-online online-baccarat online-betting
+        betting-online sports-betting sportsbetting sportsbook sportsbooks bookmaker bookmakers betting-tips
+        betting-odds fixed-matches online-gambling gambling-online gambling-site gambling-sites judi-online judi-bola
+        situs-judi agen-judi slot-gacor slotgacor togel togel-online bandar-togel bandarqq dominoqq pkv-games sbobet
+        bet365 betway 1xbet 22bet dafabet lottery-winner online-lottery
+    """,
+    "drugs": """
+        viagra generic-viagra buy-viagra viagra-online cialis generic-cialis buy-cialis cialis-online levitra kamagra
+        sildenafil tadalafil vardenafil buy-xanax buy-valium buy-adderall buy-oxycontin buy-oxycodone buy-percocet
+        buy-ambien buy-tramadol buy-phentermine buy-soma buy-codeine buy-modafinil buy-steroids steroids-online
+        phentermine-online tramadol-online xanax-online online-pharmacy onlinepharmacy canadian-pharmacy pharmacy-online
+        cheap-meds cheap-drugs cheap-viagra cheap-cialis no-prescription without-prescription no-rx rx-online diet-pills
+        weight-loss-pills penis-enlargement penis-pills male-enhancement enlargement-pills erectile-pills buy-pills
+        pills-online buy-weed buy-cocaine buy-mdma buy-lsd buy-ketamine buy-fentanyl buy-heroin
+    """,
+    "fraud": """
+        phishing free-iphone free-giftcard free-gift-card free-gift-cards free-robux free-vbucks claim-your-prize
+        claim-prize you-have-won you-won get-rich get-rich-quick make-money-fast make-money-online easy-money
+        earn-money-fast work-from-home-jobs fast-cash quick-cash cash-loan cash-loans payday-loan payday-loans
+        paydayloan paydayloans instant-loan instant-loans bad-credit-loans guaranteed-loan double-your-bitcoin
+        bitcoin-doubler bitcoin-generator crypto-doubler forex-signals binary-options hyip ponzi miracle-cure
+        replica-watches replica-handbags replica-rolex fake-rolex fake-passport fake-passports fake-id fake-ids
+        fake-diploma buy-diploma buy-degree carding cvv-shop fullz credit-card-dumps essay-writing-service buy-essay
+        buy-essays buy-backlinks cheap-backlinks buy-followers buy-likes buy-instagram-followers link-farm linkfarm
+        spamlink doorway-page
+    """,
+    "piracy": """
+        warez keygen keygens serialz crackz cracked-apk cracked-software crack-download serial-key-free license-key-free
+        full-crack torrent-download torrentz thepiratebay piratebay pirate-bay kickasstorrents 1337x rarbg yts-movies
+        putlocker putlockers 123movies fmovies gomovies solarmovie free-movies-online watch-movies-free full-movie-free
+        nulled-scripts nulled-themes mod-apk hack-tool cheat-engine-download password-cracker botnet ransomware
+        keylogger exploit-kit ddos-service booter stresser
+    """,
+}
+_SOFT: dict[str, str] = {
+    "adult": """
+        adult adults anal ass babe babes bdsm-gear bikini bitch boob boobs booty busty butt cam cams cougar cum cunt
+        dating dick dildo dirty erotic escort explicit fetish flirt fuck fucked fucking hardcore hookup horny hottest
+        incest kink kinky lingerie lust mistress naked nasty naughty nsfw nude nudes nudist nudity orgasm orgy panties
+        penis pussy seduce sensual sex sexual sexy singles slut sluts softcore spank squirt strip swinger swingers teen
+        teens threesomes tits topless twink uncensored vibrator virgin voyeur webcam whore
+    """,
+    "gambling": """
+        baccarat bet bets bettor betting bingo blackjack bonus bonuses casino casinos craps croupier deposit domino
+        gamble gambler gamblers gambling holdem jackpot jackpots judi keno lotto lottery lucky mahjong odds parlay
+        payout payouts poker punter raffle rakeback roulette scratchcard slot slots sweepstake sweepstakes tipster vegas
+        wager wagering wagers win winner winners winning
+    """,
+    "drugs": """
+        ambien cannabis cbd cocaine codeine enlargement erectile erection generic heroin hydrocodone kratom lsd
+        marijuana mdma oxycodone percocet pharmacy phentermine pill pills rx slimming soma steroid steroids thc tramadol
+        valium vicodin weed xanax
+    """,
+    "fraud": """
+        ads affiliate affiliates backlink backlinks banner cheap cheapest doorway fake farm free freebie giveaway
+        giveaways millionaire moneymaking payday popunder popup popups prize prizes promo promos replica replicas rich
+        risk-free scam spam spammer surveys track tracker trackers tracking traffic-exchange unlimited
+    """,
+    "piracy": """
+        camrip cheat cheats crack cracked cracks gratis hack hacked hacker hacks leak leaked leaks mega-pack modded
+        nulled pirate pirated piracy rapidshare rip ripped spyware torrent torrents unblocked
+    """,
+}
+#: The terms of the first version, fitted to hosts of the given pages; kept so that no URL it rejected comes back. term -> (weight, strict).
+_FITTED: dict[str, tuple[float, bool]] = {
     "adult-x": (5.0, True),
     "casino-win": (5.0, True),
     "cheap-pills": (5.0, True),
@@ -30,6 +112,9 @@ VOCABULARY: dict[str, tuple[float, bool]] = {
     "track": (1.0, False),
     "win": (0.5, False),
 }
+
+#: term -> (weight, strict). Terms are lower-case ASCII; inside, anything may separate their words.
+VOCABULARY: dict[str, tuple[float, bool]] = {t: (1.0, False) for ts in _SOFT.values() for t in ts.split()} | {t: (5.0, True) for ts in _STRICT.values() for t in ts.split()} | _FITTED
 MIN_SOFT = 2
 
 _automata: dict = {}

@@ -187,3 +187,10 @@ def test_mixed_follows_the_plan(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     want = {r.doc_id: r["count"] for r in mixing.plan(df).groupBy("doc_id").count().collect()}
     assert {r.doc_id: r["count"] for r in mixing.mixed(df).groupBy("doc_id").count().collect()} == want and max(want.values()) > 1
+
+
+def test_url_vocabulary_covers_its_categories(spark):
+    bad = ["porn.example/a", "a.example/viagra/x", "x.example/online-casino", "x.example/poker-jackpot", "escort-girls.example", "free-warez.example", "x.example/payday-loans", "x.example/buy-xanax"]
+    good = ["news.example/politics", "shop.example/shoes", "essex.example/council", "x.example/free", "clinic.example/breast-cancer", "community.example/gay-rights"]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    assert [x.rejected for x in sorted(urlfilter.url_filter(df).collect())] == [True] * len(bad) + [False] * len(good)
