@@ -62,53 +62,103 @@ def _key(*parts) -> Column:
     return F.xxhash64(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
-def plan(docs: DataFrame, budget: int | None = None, target: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, epoch, block, place): which documents are read in which epoch of their source, and in what order.
+#: Sources up to which their schedule is broadcast, a row of about 100 bytes each.
+BROADCAST_SOURCES = 100_000
 
-    A source's budget is its weight times budget (all tokens by default). Its whole epochs take every document; the last
-    one takes whole blocks in permuted order until the budget is reached, and of the block in which that happens the
-    documents up to the first that fills it, in permuted order. A block is a hash range of about block_tokens tokens;
-    (block, place) order an epoch. Running sums cover blocks first and then one block's documents, so no task holds
-    a source. Sources with a NULL name are one source; rows with a NULL id and no two alike can't be told apart and
-    share an order; rows that repeat are read each; texts without words count 0 tokens and go with whole epochs and blocks;
-    other columns don't matter; an empty table gives an empty result.
+
+def running(df: DataFrame, by: list[str], order: list[str], value: str, tag: str) -> DataFrame:
+    """df with sofar, the sum of value over the rows before it among those of its key, in this order; keys aren't NULL.
+
+    Rows are cut into ranges of (key, order), ties by chance, so that no task holds a key: sums of ranges come first, then those within.
     """
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), n_tokens(docs[text_col]).alias("tokens"))
-    rows = cut(src, "tokens")
-    by = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).orderBy("source").collect()
+    tie = "__tie"
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*by, *order, tie)
+    parted = cut(ranged.withColumn("__part", F.spark_partition_id()), tag)
+    sums = parted.groupBy(*by, "__part").agg(F.sum(value).alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    heads = sums.select(*by, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.sum(value).over(Window.partitionBy(*by, "__part").orderBy(*order, tie).rowsBetween(Window.unboundedPreceding, -1))
+    out = parted.withColumn("__within", F.coalesce(within, F.lit(0))).join(heads, [*by, "__part"])
+    return out.withColumn("sofar", F.col("__before") + F.col("__within")).drop(tie, "__part", "__before", "__within")
+
+
+def _placed(df: DataFrame, seed: int) -> DataFrame:
+    """Rows (doc_id, epoch, blocks, ...) with the block that they fall into in their epoch, and their place there."""
+    bin_ = F.pmod(_key(seed + 1, F.col("epoch"), F.col("doc_id")), F.col("blocks"))
+    return df.withColumn("place", _key(seed, F.col("epoch"), F.col("doc_id"))).withColumn("block", _key(seed + 2, F.col("epoch"), bin_))
+
+
+def _schedule(rows: DataFrame, budget: int | None, target: float, max_repeats: float, block_tokens: int, seed: int) -> DataFrame:
+    """For each source (name, number src): whole epochs (full), what is left of its budget (rest), blocks, and the block of the last epoch in which the budget is reached (edge) with the tokens before it."""
+    by = rows.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy("source").collect()
     total = sum(r["tokens"] for r in by)
     budget = total if budget is None else budget
     _, w = weights([r["tokens"] for r in by], budget, target, max_repeats)
     shares = []
-    for r, x in zip(by, w):
+    for k, (r, x) in enumerate(zip(by, w)):
         own = x * budget
         full = int(own // r["tokens"]) if r["tokens"] else 0
-        shares.append((r["source"], full, own - full * r["tokens"], max(1, round(r["tokens"] / block_tokens))))
-    spec = docs.sparkSession.createDataFrame(shares or [(None, 0, 0.0, 1)], "name string, full int, rest double, blocks long")
-    e = rows.join(F.broadcast(spec), rows["source"].eqNullSafe(spec["name"])).drop("name")
-    copies = e.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-    last = e.where("rest > 0").withColumn("epoch", F.col("full"))
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("place", _key(seed, F.col("epoch"), F.col("doc_id"))).withColumn("bin", F.pmod(_key(seed + 1, F.col("epoch"), F.col("doc_id")), F.col("blocks"))).withColumn("block", _key(seed + 2, F.col("epoch"), F.col("bin")))
-
-    copies, last = placed(copies), placed(last)
-    sums = last.groupBy("source", "rest", "block").agg(F.sum("tokens").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    sums = cut(sums.withColumn("before", F.coalesce(before, F.lit(0))).where("before < rest").select(F.col("source").alias("name"), F.col("block").alias("at"), "size", "before"), "blocks")
-    taken = last.join(sums, last["source"].eqNullSafe(sums["name"]) & (last["block"] == sums["at"])).drop("name", "at")
-    whole = taken.where("before + size <= rest")
-    within = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    edge = taken.where("before + size > rest").withColumn("sofar", F.col("before") + F.coalesce(within, F.lit(0))).where("sofar < rest")
-    cols = ["doc_id", "source", "epoch", "block", "place"]
-    return copies.select(cols).union(whole.select(cols)).union(edge.select(cols))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 1_000_000, **how) -> DataFrame:
-    """docs as the plan reads them: a row for each time, all columns as they are. Rows without an id stay once."""
-    times = cut(plan(docs, id_col=id_col, **how).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "times")
-    same = docs.groupBy(docs[id_col].cast("long").alias("__id")).agg(F.count("*").alias("__k")).where("__k > 1")
-    times = times.join(same, "__id", "left").select("__id", F.greatest(F.lit(1), F.floor(F.col("__n") / F.coalesce("__k", F.lit(1)))).cast("int").alias("__n"))
-    out = docs.join(F.broadcast(times) if times.count() <= broadcast_rows else times, docs[id_col].cast("long") == times["__id"])
-    out = out.withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*(docs[c] for c in docs.columns))
-    return out.union(docs.where(docs[id_col].isNull()))
+        shares.append((r["source"], k, full, own - full * r["tokens"], max(1, round(r["tokens"] / block_tokens))))
+    spark, fields = rows.sparkSession, "name string, src int, full int, rest double, blocks long"
+    spec = spark.createDataFrame(shares, fields)
+    last = _placed(_with(rows, spec, len(shares)).where("rest > 0").withColumn("epoch", F.col("full")), seed)
+    sums = last.groupBy("src", "rest", "block").agg(F.sum("tokens").alias("size"))
+    over = running(sums, ["src"], ["block"], "size", "blocks").where("sofar + size > rest OR sofar >= rest")
+    edges = {r["src"]: r for r in over.groupBy("src").agg(F.min(F.struct("block", "sofar")).alias("e")).select("src", "e.block", "e.sofar").collect()}
+    rows = [(*s, edges[s[1]]["block"] if s[1] in edges else None, float(edges[s[1]]["sofar"]) if s[1] in edges else 0.0) for s in shares]
+    return spark.createDataFrame(rows, f"{fields}, edge long, spent double")
+
+
+def _with(df: DataFrame, spec: DataFrame, sources: int) -> DataFrame:
+    spec = F.broadcast(spec) if sources <= BROADCAST_SOURCES else spec
+    return df.join(spec, df["source"].eqNullSafe(spec["name"])).drop("name")
+
+
+def _read(df: DataFrame, spec: DataFrame, seed: int) -> DataFrame:
+    """df (doc_id, source, tokens, ...) as often as it is read, with epoch, block and place: one pass, and one over the blocks in which budgets end."""
+    times = F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)
+    e = _with(df, spec, spec.count()).withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
+    e = _placed(e, seed)
+    last = F.col("epoch") == F.col("full")
+    cols = [*df.columns, "epoch", "block", "place"]
+    whole = e.where(~last | F.col("edge").isNull() | (F.col("block") < F.col("edge")))
+    edge = running(e.where(last & (F.col("block") == F.col("edge"))), ["src"], ["place", "doc_id"], "tokens", "edges")
+    return whole.select(cols).union(edge.where("spent + sofar < rest").select(cols))
+
+
+def _light(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), n_tokens(docs[text_col]).alias("tokens")]
+
+
+def plan(docs: DataFrame, budget: int | None = None, target: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, epoch, block, place): which documents are read in which epoch of their source, and in what order.
+
+    A source's budget is its weight times budget (all tokens by default). Its whole epochs take every document; the last
+    one takes whole blocks in permuted order until the budget is reached, and of the block in which that happens the
+    documents up to the first that fills it, in permuted order. A block is a hash range of about block_tokens tokens;
+    (block, place) order an epoch. Running sums cover blocks first and then one block's documents, each cut into ranges,
+    so no task holds a source, nor an id that many rows share. Sources are counted on the driver, a number each.
+    Sources with a NULL name are one source; rows with a NULL id or an id that repeats are read each, and those alike share
+    a place, in any order; texts without words count 0 tokens and go with whole epochs and blocks; texts of any length are
+    counted whole; other columns don't matter; an empty table gives an empty result.
+    """
+    rows = cut(docs.select(*_light(docs, id_col, text_col, source_col)), "tokens")
+    return _read(rows, _schedule(rows, budget, target, max_repeats, block_tokens, seed), seed).select("doc_id", "source", "epoch", "block", "place")
+
+
+def mixed(docs: DataFrame, budget: int | None = None, target: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_plan: bool = False) -> DataFrame:
+    """docs as the plan reads them: the plan's rows with all columns of docs as they are, in order of epoch, block and place (with_plan: these three as well).
+
+    Rows are placed by expressions and the schedule alone, so docs is joined with nothing that grows with it; one shuffle
+    puts rows in order, in ranges, and each file written from the result holds its range in order. So copies of one document,
+    which are in different epochs, are far apart. Rows without an id, and rows that repeat an id in one source or several,
+    are read as any other, and count in the budget. Texts of any length stay whole; a NULL text counts no tokens;
+    columns keep their names whatever they are; an empty table gives an empty result.
+    """
+    light = _light(docs, id_col, text_col, source_col)
+    rows = cut(docs.select(*light), "tokens")
+    spec = _schedule(rows, budget, target, max_repeats, block_tokens, seed)
+    whole = docs.select(*light, F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("__doc"))
+    order = ["epoch", "block", "place", "__tie"]
+    out = _read(whole, spec, seed).withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return out.select("__doc.*", *(order[:3] if with_plan else []))

@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -189,6 +190,35 @@ def test_mixed_follows_the_plan(spark):
     assert {r.doc_id: r["count"] for r in mixing.mixed(df).groupBy("doc_id").count().collect()} == want and max(want.values()) > 1
 
 
+def test_mixed_is_the_plan_for_repeated_ids_and_in_its_order(spark):
+    r = random.Random(5)
+    rows = [(r.choice([None, 1, 2, 3, *range(10, 60)]), " ".join("w" for _ in range(r.randrange(9))), s, k) for k, s in enumerate(["big"] * 300 + ["small"] * 25 + [None] * 12)]
+    rows += [(1, "x y z", "big", 1000 + k) for k in range(150)] + [(1, "x y z", "small", 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, epoch int").repartition(5)
+    for block in (8, 1 << 20):
+        want = Counter((x.doc_id, x.source, x.epoch, x.block, x.place) for x in mixing.plan(df, block_tokens=block).collect())
+        got = mixing.mixed(df, block_tokens=block, with_plan=True).toDF("doc_id", "text", "source", "own", "epoch", "block", "place").collect()
+        assert Counter((x.doc_id, x.source, x.epoch, x.block, x.place) for x in got) == want
+        assert [(x.epoch, x.block, x.place) for x in got] == sorted((x.epoch, x.block, x.place) for x in got)
+        small = [x.own for x in got if x.source == "small"]
+        assert max(Counter(small).values()) > 1 and all(a != b for a, b in zip(small, small[1:]))  # no copy next to its like
+        assert set(Counter(Counter((x.own, x.epoch) for x in got).values())) == {1}  # a row once an epoch at most
+        tokens = sum(len(t.split(" ")) if t else 0 for _, t, _, _ in rows)
+        assert abs(sum(len(x.text.split(" ")) if x.text else 0 for x in got) - tokens) < 30
+
+
+def test_running_sums_of_a_hot_key(spark):
+    rows = [(k % 2, 7, k) for k in range(3000)] + [(0, k % 5, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "src int, place int, n long").repartition(6)
+    got = sorted(mixing.running(df, ["src"], ["place"], "n", "sums").collect(), key=lambda x: (x.src, x.place, x.sofar))
+    for s in (0, 1):
+        total = 0
+        for x in sorted((x for x in got if x.src == s), key=lambda x: (x.place, x.sofar, x.n)):
+            assert x.sofar == total
+            total += x.n
+    assert Counter((x.src, x.place, x.n) for x in got) == Counter(rows)
+
+
 def test_url_vocabulary_covers_its_categories(spark):
     bad = ["porn.example/a", "a.example/viagra/x", "x.example/online-casino", "x.example/poker-jackpot", "escort-girls.example", "free-warez.example", "x.example/payday-loans", "x.example/buy-xanax"]
     good = ["news.example/politics", "shop.example/shoes", "essex.example/council", "x.example/free", "clinic.example/breast-cancer", "community.example/gay-rights"]
