@@ -49,10 +49,10 @@ def _union_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(ids[lab[i : i + 100_000]])], names=["id", "root"])
 
 
-def components(edges: DataFrame, one_task: int = 4_000_000) -> DataFrame:
+def components(edges: DataFrame, one_task: int = 1_500_000) -> DataFrame:
     """(id, root) for every node of edges (a, b): root is the smallest id of its component.
 
-    Up to one_task edges are joined in one task (under 0.2 GB); beyond that the stars of larger and smaller
+    Up to one_task edges are joined in one task (some 0.2 GB); beyond that the stars of larger and smaller
     neighbours alternate until nothing moves, each round written to the shared folder.
     Loops are ignored; an empty table gives an empty result.
     """
@@ -75,6 +75,26 @@ def components(edges: DataFrame, one_task: int = 4_000_000) -> DataFrame:
     return e.select(F.col("b").alias("id"), F.col("a").alias("root")).union(e.select(F.col("a").alias("id"), F.col("a").alias("root"))).distinct()
 
 
+#: Bits of a sieve at most: 32 MB, whatever goes into it.
+SIEVE_BITS = 28
+
+
+def sieve_of(df: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of a column of longs (its low bits, about 16 bits a value, up to 2^SIEVE_BITS in all), or-ed together by Spark; the driver gets 32 MB at most."""
+    bits = min(SIEVE_BITS, max(10, int(df.count() * 16).bit_length()))
+    place = F.col(column).bitwiseAND((1 << bits) - 1)
+    got = df.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def sieved(sieve: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be in the column: all that are, and some others."""
+    v = values.view(np.uint64)
+    return sieve[(v >> np.uint64(6)) & np.uint64(len(sieve) - 1)] >> (v & np.uint64(63)) & np.uint64(1) > 0
+
+
 @functools.cache
 def _libc():
     try:
@@ -174,4 +194,4 @@ def word_codes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return idx[spread(start[code], each)], count, names
 
 
-__all__ = ["Memo", "chunks", "components", "cut", "labels_of", "lean", "pieces", "shared_dir", "slices", "spread", "strings", "word_codes", "words"]
+__all__ = ["Memo", "chunks", "components", "cut", "labels_of", "lean", "pieces", "shared_dir", "sieve_of", "sieved", "slices", "spread", "strings", "word_codes", "words"]

@@ -4,9 +4,11 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,7 +90,7 @@ def brute_leaks(docs, items, least=5, coverage=0.5):
         for i, b in items:
             if d is not None and t is not None and i is not None and b is not None and decontam.words(b):
                 w = decontam.words(b)
-                c = sum(k for k, _, _ in brute_tiles(decontam.words(t), w, least)) / len(w)
+                c = sum(k for k, _, _ in brute_tiles(decontam.words(t), w, min(least, len(w)))) / len(w)
                 if c >= coverage and c > 0:
                     out.append((d, i, round(c, 9)))
     return sorted(out)
@@ -116,6 +118,27 @@ def test_leaks_against_brute_force_on_both_paths(spark):
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {d for d, _ in docs} - {x[0] for x in want}
 
 
+def test_short_items_and_repetition(spark):
+    items = [(1, "what is two plus"), (2, "who wrote hamlet"), (3, "yes"), (4, "a b a b a b a b a b a b"), (5, "z " * 200), (6, "")]
+    docs = [(1, "so, what is two plus? then who wrote Hamlet"), (2, "who wrote the hamlet is two plus what"), (3, "a b " * 400), (4, "b a " * 4), (5, "z " * 130), (6, "z " * 90), (7, "yes or no"), (8, "")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, items)
+    assert {(1, 1), (1, 2), (3, 4), (5, 5), (7, 3)} <= {x[:2] for x in want} and (6, 5, 0.45) not in want
+    for how in ({}, {"broadcast_bytes": 0}):
+        assert sorted((g.doc_id, g.item_id, round(g.coverage, 9)) for g in decontam.leaks(df, bench, **how).collect()) == want
+
+
+def test_repetitive_texts_take_time_by_length():
+    w = decontam.hashes(["a", "b", "c"])
+    began = time.monotonic()
+    for text, item in ((w[np.zeros(1_000_000, int)], w[np.zeros(1000, int)]), (w[np.arange(1_000_000) % 2], w[np.arange(1000) % 2]), (w[np.arange(300_000) % 3], w[np.arange(1000) // 250 % 3])):
+        got = decontam.tiles(text, item)
+        assert got == [] or sum(k for k, _, _ in got) <= 1000
+    items = decontam.Items.of([(k, "a " * (500 + k)) for k in range(3)], 5)
+    assert [(r, i, c) for r, i, c, _ in items.scan(pa.array(["a " * 1_000_000, "b " * 50]), 0.5)] == [(0, k, 1.0) for k in range(3)]
+    assert time.monotonic() - began < 60
+
+
 def test_leaks_find_every_copied_item(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = bench.select("item_id", "text").collect()
