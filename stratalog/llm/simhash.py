@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from .common import components, cut, labels_of, lean, slices, spread, word_codes
 #: A fingerprint is BLOCKS blocks of 15 bits, in two longs.
 BLOCKS, WIDTH = 8, 15
 THRESHOLD = 15
+#: Of an anchor, beyond which it is split.
+COMPARISONS = 4_000_000_000
 
 
 def _hash16(word: str) -> bytes:
@@ -88,81 +91,131 @@ def replicas(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         yield row, anchor.astype(np.int64) + (k << WIDTH), anchor == home[part[row]]
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows each anchor gets, and how many of them are at home there."""
+    all_, own = np.zeros(BLOCKS << WIDTH, np.int64), np.zeros(BLOCKS << WIDTH, np.int64)
     for b in batches:
-        lo, hi, i = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "id"))
-        for row, anchor, home in replicas(lo, hi):
-            for s in range(0, len(row), 200_000):
-                r = row[s : s + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[s : s + 200_000].astype(np.int32)), pa.array(home[s : s + 200_000]), pa.array(lo[r]), pa.array(hi[r]), pa.array(i[r])], names=["anchor", "home", "lo", "hi", "id"])
+        for _, anchor, home in replicas(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))):
+            all_ += np.bincount(anchor, minlength=len(all_))
+            own += np.bincount(anchor[home], minlength=len(own))
+    hit = np.flatnonzero(all_)
+    yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(all_[hit]), pa.array(own[hit])], names=["anchor", "rows", "homes"])
 
 
-def close_pairs(lo: np.ndarray, hi: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows x, y of one anchor with x at home there and at most threshold different bits."""
+def _spread(splits):
+    """Rows at their anchors. An anchor that is split is a grid: those at home are told apart in one direction and stand in all cells of the other, all rows as visitors the other way round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = splits.value
+        for b in batches:
+            lo, hi, i = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "id"))
+            salt = (np.bitwise_xor(lo, hi) * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(40)
+
+            def out(row: np.ndarray, anchor: np.ndarray, home: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for s in range(0, len(row), 200_000):
+                    x = slice(s, s + 200_000)
+                    r = row[x]
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[x].astype(np.int32)), pa.array(cell[x].astype(np.int32)), pa.array(home[x]), pa.array(lo[r]), pa.array(hi[r]), pa.array(i[r])], names=["anchor", "cell", "home", "lo", "hi", "id"])
+
+            for row, anchor, home in replicas(lo, hi):
+                s = split[anchor]
+                one = s == 1
+                yield from out(row[one], anchor[one], home[one], np.zeros(int(one.sum()), np.int64))
+                for k in np.flatnonzero(~one):
+                    n, r = int(s[k]), np.full(int(s[k]), row[k])
+                    mine = int(salt[row[k]] % np.uint64(n))
+                    cells, a = np.arange(n), np.full(n, anchor[k])
+                    yield from out(r, a, np.zeros(n, bool), cells * n + mine)
+                    if home[k]:
+                        yield from out(r, a, np.ones(n, bool), mine * n + cells)
+
+    return run
+
+
+def close_pairs(lo: np.ndarray, hi: np.ndarray, home: np.ndarray, threshold: int, at_once: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows x, y of one anchor with x at home there and at most threshold different bits, of about at_once comparisons at a time."""
     own = np.flatnonzero(home)
-    a, b = [], []
-    step = max(1, 2_000_000 // max(1, len(lo)))
+    step = max(1, at_once // max(1, len(lo)))
     for s in range(0, len(own), step):
         x = own[s : s + step]
         i, j = np.nonzero(np.bitwise_count(lo[x][:, None] ^ lo[None]) <= threshold)
         d = np.bitwise_count(lo[x[i]] ^ lo[j]) + np.bitwise_count(hi[x[i]] ^ hi[j])
         ok = (d <= threshold) & (x[i] != j)
-        a.append(x[i[ok]])
-        b.append(j[ok])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield x[i[ok]], j[ok]
+
+
+def tree_of(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each node with the smallest of its component; pairs are united as they come and not kept."""
+    lab = np.arange(n)
+    for x, y in pairs:
+        a, b = lab[x], lab[y]
+        differ = a != b
+        if differ.any():
+            two = np.unique(np.minimum(a, b)[differ] * np.int64(n) + np.maximum(a, b)[differ])
+            lab = labels_of(two // n, two % n, n)[lab]
+    y = np.flatnonzero(lab != np.arange(n))
+    return lab[y], y
 
 
 def _compare(threshold: int, forest: bool):
-    """Rows come grouped by anchor within the task. forest: of each anchor's pairs only a tree for each component."""
+    """Rows come grouped by anchor and cell within the task. forest: of each group's pairs only a tree for each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep: list[list[np.ndarray]] = []
 
-        def settle(lo, hi, i, home) -> pa.RecordBatch | None:
-            x, y = close_pairs(lo, hi, home, threshold)
-            if not len(x):
-                return None
-            if forest:
-                lab = labels_of(x, y, len(lo))
-                y = np.flatnonzero(lab != np.arange(len(lo)))
-                x = lab[y]
-            d = np.bitwise_count(lo[x] ^ lo[y]) + np.bitwise_count(hi[x] ^ hi[y])
-            return pa.RecordBatch.from_arrays([pa.array(i[x]), pa.array(i[y]), pa.array(d.astype(np.int32))], names=["a", "b", "distance"])
+        def settle(lo, hi, i, home) -> Iterator[pa.RecordBatch]:
+            pairs = close_pairs(lo, hi, home, threshold)
+            for x, y in [tree_of(pairs, len(lo))] if forest else pairs:
+                if len(x):
+                    d = np.bitwise_count(lo[x] ^ lo[y]) + np.bitwise_count(hi[x] ^ hi[y])
+                    new = i[x] != i[y]  # a row meets itself where an anchor is split
+                    yield pa.RecordBatch.from_arrays([pa.array(i[x][new]), pa.array(i[y][new]), pa.array(d[new].astype(np.int32))], names=["a", "b", "distance"])
 
         def whole(last: bool) -> Iterator[pa.RecordBatch]:
             if not keep:
                 return
-            anchor, home, lo, hi, i = (np.concatenate(c) for c in zip(*keep))
+            anchor, cell, home, lo, hi, i = (np.concatenate(c) for c in zip(*keep))
             keep.clear()
-            cuts = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]])
+            cuts = np.concatenate([[0], np.flatnonzero((anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])) + 1, [len(anchor)]])
             done = len(cuts) - 1 if last else len(cuts) - 2
             for s, e in zip(cuts[:done], cuts[1 : done + 1]):
-                if e - s > 1 and home[s:e].any() and (r := settle(lo[s:e], hi[s:e], i[s:e], home[s:e])) is not None:
-                    yield r
+                if e - s > 1 and home[s:e].any():
+                    yield from settle(lo[s:e], hi[s:e], i[s:e], home[s:e])
             if not last:
                 s = cuts[done]
-                keep.append([anchor[s:], home[s:], lo[s:], hi[s:], i[s:]])
+                keep.append([anchor[s:], cell[s:], home[s:], lo[s:], hi[s:], i[s:]])
 
         for b in batches:
-            keep.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "home", "lo", "hi", "id")])
-            yield from whole(False)
+            keep.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "cell", "home", "lo", "hi", "id")])
+            if anchor_ends(keep):
+                yield from whole(False)
         yield from whole(True)
 
     return run
 
 
-def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, forest: bool = False) -> DataFrame:
-    """(a, b, distance) for rows (id, lo, hi) with at most threshold different bits, each pair from one to several times, in either order.
+def anchor_ends(keep: list[list[np.ndarray]]) -> bool:
+    """Whether the last batch goes beyond the group that the first one begins with, so that something can be settled."""
+    return keep[0][0][0] != keep[-1][0][-1] or keep[0][1][0] != keep[-1][1][-1]
+
+
+def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, forest: bool = False, comparisons: int = COMPARISONS) -> DataFrame:
+    """(a, b, distance) for rows (id, lo, hi) with different ids, with at most threshold different bits, each pair from one to several times, in either order.
 
     With at most 15 differences over 8 blocks, some block has at most one. There, the two rows' codewords are at most
     the covering radius plus one away: x is home at its codeword, y is replicated to all codewords within that distance,
-    so the two meet and nothing is missed. Each anchor's rows are compared in pieces, so a hot anchor costs time, not memory
-    beyond its rows of 32 bytes. forest: only enough pairs to keep the components.
+    so the two meet and nothing is missed. Rows of an anchor are counted first (two numbers an anchor): one with more
+    than comparisons of them is split into a grid of cells, so a hot anchor is no single task. A cell's pairs are
+    found and united in pieces, so memory is its rows of 33 bytes. forest: only enough pairs to keep the components.
     """
     if threshold >= 2 * BLOCKS:
         raise ValueError(f"anchors guarantee thresholds below {2 * BLOCKS}")
-    spread = prints.mapInArrow(lean(_spread), "anchor int, home boolean, lo long, hi long, id long")
-    return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_compare(threshold, forest)), "a long, b long, distance int")
+    split = np.ones(BLOCKS << WIDTH, np.int64)
+    for r in prints.select("lo", "hi").mapInArrow(lean(_load), "anchor int, rows long, homes long").groupBy("anchor").agg((F.sum("rows").cast("double") * F.sum("homes")).alias("w")).where(F.col("w") > comparisons).collect():
+        split[r["anchor"]] = math.ceil(math.sqrt(r["w"] / comparisons))
+    splits = prints.sparkSession.sparkContext.broadcast(split)
+    spread = prints.select("id", "lo", "hi").mapInArrow(lean(_spread(splits)), "anchor int, cell int, home boolean, lo long, hi long, id long")
+    return spread.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(lean(_compare(threshold, forest)), "a long, b long, distance int")
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,8 +235,8 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_
 
     A group is a component of pairs at Hamming distance of at most threshold; equal fingerprints are at distance 0.
     Equal fingerprints are first reduced to one, so a hot group of copies costs one row. Rows with a NULL id, NULL text
-    or no words are in no group; rows that repeat an id are one document; other columns don't matter; an empty table
-    gives an empty result.
+    or no words are in no group; rows that repeat an id are one document; texts of any length are read whole; other columns
+    don't matter; an empty table gives an empty result.
     """
     prints = cut(fingerprint_table(docs, id_col, text_col), "prints")
     same = cut(prints.groupBy("lo", "hi").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "same")

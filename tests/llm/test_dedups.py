@@ -1,6 +1,7 @@
 """Exact dedup, SimHash, line dedup, and the components that they share."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -132,6 +133,29 @@ def test_near_pairs_miss_nothing(spark):
         simhash.near_pairs(df, threshold=16)
 
 
+def test_a_hot_anchor_is_split_and_misses_nothing(spark):
+    r = random.Random(8)
+    base = r.getrandbits(120)
+    prints = list({base ^ sum(1 << b for b in r.sample(range(120), r.randrange(16))) for _ in range(150)} | {r.getrandbits(120) for _ in range(150)})
+    want = {(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 15}
+    df = spark.createDataFrame([(k, x & (1 << 60) - 1, x >> 60) for k, x in enumerate(prints)], "id long, lo long, hi long").repartition(3)
+    got = simhash.near_pairs(df, comparisons=50).collect()
+    assert {(max(x.a, x.b), min(x.a, x.b)) for x in got} == want and all(x.a != x.b for x in got)
+    assert roots({(x.a, x.b) for x in simhash.near_pairs(df, forest=True, comparisons=50).collect()}) == roots(want)
+
+
+def test_a_dense_anchor_keeps_no_pairs():
+    r = np.random.default_rng(9)
+    n = 16_000
+    lo = np.bitwise_xor(r.integers(0, 1 << 60), np.int64(1) << r.integers(0, 60, n)) ^ (np.int64(1) << r.integers(0, 60, n))
+    hi = np.full(n, 5) ^ (np.int64(1) << r.integers(0, 60, n))
+    tracemalloc.start()
+    x, y = simhash.tree_of(simhash.close_pairs(lo, hi, np.ones(n, bool), 15), n)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6 and len(y) == n - 1 and not x.any()
+
+
 def test_groups_and_drop(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
