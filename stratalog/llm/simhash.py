@@ -132,7 +132,7 @@ def _spread(splits):
     return run
 
 
-def close_pairs(lo: np.ndarray, hi: np.ndarray, home: np.ndarray, threshold: int, at_once: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(lo: np.ndarray, hi: np.ndarray, home: np.ndarray, threshold: int, at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows x, y of one anchor with x at home there and at most threshold different bits, of about at_once comparisons at a time."""
     own = np.flatnonzero(home)
     step = max(1, at_once // max(1, len(lo)))
