@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import logging
 import math
 import os
 import uuid
@@ -11,13 +13,15 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lean, shared_dir, slices, word_codes
 
+log = logging.getLogger(__name__)
+
 STATES = 6
 #: Rounds end when one gains less log-likelihood per word, at any size.
 TOLERANCE = 1e-3
@@ -61,8 +65,8 @@ class Model:
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in names), np.int32, len(names))[code], n
 
-    def local(self, part: pa.Array) -> tuple[Model, np.ndarray, np.ndarray]:
-        return self, *self.symbols(part)
+    def local(self, part: pa.Array) -> tuple[np.ndarray, Model, np.ndarray, np.ndarray]:
+        return np.zeros(len(self.emit) - 1, np.int64), self, *self.symbols(part)
 
 
 @dataclass
@@ -78,10 +82,12 @@ class Table:
     smooth: float  # added to each count
     rare: int
     round: int = 0
+    texts: DataFrame | None = field(default=None, repr=False)
+    least: float = MIN_COUNT
     maps: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("maps", "vocabulary", "emit")} | {"maps": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("maps", "vocabulary", "emit", "texts")} | {"maps": {}, "texts": None}
 
     def piece(self, p: int) -> tuple[np.ndarray, np.ndarray] | None:
         if p not in self.maps:
@@ -105,22 +111,21 @@ class Table:
         """The model of these symbols, in their order after 0."""
         return Model({}, self.start, self.move, np.concatenate([((self.other + self.smooth) / self.sums)[None], self.emissions(h)[1]]), self.rare)
 
-    def encode(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the texts' own symbols, all texts' symbols as places among these from 1, and each text's number of words."""
-        code, n, names = word_codes(part)
-        h = hashes(names)
-        known = self.emissions(h)[0]
-        return h[known], np.where(known, np.cumsum(known), 0).astype(np.int32)[code], n
+    def known(self, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, Model, np.ndarray]:
+        """Of words with these hashes, those that are symbols, their model, and the codes as places among these from 1, or 0."""
+        ok, emit = self.emissions(h)
+        other = ((self.other + self.smooth) / self.sums)[None]
+        return h[ok], Model({}, self.start, self.move, np.concatenate([other, emit[ok]]), self.rare), np.where(ok, np.cumsum(ok), 0)[code]
 
-    def local(self, part: pa.Array) -> tuple[Model, np.ndarray, np.ndarray]:
-        h, obs, n = self.encode(part)
-        return self.of(h), obs, n
+    def local(self, part: pa.Array) -> tuple[np.ndarray, Model, np.ndarray, np.ndarray]:
+        code, n, names = word_codes(part)
+        return *self.known(hashes(names), code), n
 
     @cached_property
     def vocabulary(self) -> dict[str, int]:
         """All words, on the driver: for small tables."""
-        t = ds.dataset(f"{self.folder}/words", schema=pa.schema([("word", pa.string()), ("n", pa.int64())])).to_table()
-        return {w: i + 1 for i, (_, w) in enumerate(sorted((-n, w) for n, w in zip(t["n"].to_pylist(), t["word"].to_pylist())))}
+        rows = word_totals(self.texts, self.texts.columns[0]).where(F.col("n") >= self.least).collect()
+        return {w: i + 1 for i, (_, w) in enumerate(sorted((-r["n"], r["word"]) for r in rows))}
 
     @cached_property
     def emit(self) -> np.ndarray:
@@ -135,61 +140,121 @@ def factors(h: np.ndarray, states: int) -> np.ndarray:
     return 0.2 + 1.6 * ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
 
 
-def forward(model: Model, obs: np.ndarray, n: np.ndarray, keep: bool = False):
-    """Log-likelihood of each sequence (n symbols each, one after the other in obs), all advanced together, longest first.
-
-    keep: also the scaled forward values, scales and emissions, ordered by time, for backward().
-    """
-    order = np.argsort(-n, kind="stable")
-    size = n[order]
-    at = (np.cumsum(n) - n)[order]
-    steps = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(steps), "left")  # sequences longer than t
-    ll = np.zeros(len(n))
-    kept = []
-    a = None
-    for t in range(steps):
-        k = live[t]
-        o = obs[at[:k] + t]
-        a = model.emit[o] * (model.start if t == 0 else a[:k] @ model.move)
-        c = a.sum(1)
-        a /= c[:, None]
-        ll[:k] += np.log(c)
-        if keep:
-            kept.append((a, c, o))
+#: Symbols whose forward values are held at once; sequences beyond are gone through again from checkpoints.
+HELD = 900_000
+#: Symbols that advance together, about.
+TOGETHER = 500_000
+#: Steps after which forward values are scaled, if no sequence ends before.
+SCALED = 8
+#: Sequences of more words are gathered from several pieces of a task, so that many advance together.
+LONG = 2048
+
+
+class Lanes:
+    """Sequences (n symbols each, one after the other in obs) side by side: a column for each symbol, ordered by time, the longest sequences first."""
+
+    def __init__(self, model: Model, obs: np.ndarray, n: np.ndarray, held: int = HELD):
+        self.order = np.argsort(-n, kind="stable")
+        size = n[self.order].astype(np.int64)
+        self.at = (np.cumsum(n, dtype=np.int64) - n)[self.order]
+        self.steps = int(size[0]) if len(size) else 0
+        self.live = np.searchsorted(-size, -np.arange(self.steps), "left")  # sequences longer than t
+        self.off = np.append(0, np.cumsum(self.live))
+        self.obs, self.count = obs, len(n)
+        self.start, self.move = model.start[:, None], model.move
+        self.emit = np.ascontiguousarray(model.emit.T)
+        self.scaled = np.arange(self.steps) % SCALED == SCALED - 1
+        self.scaled |= np.append(self.live[1:], 0)[: self.steps] < self.live
+        # stretches of time of about held symbols
+        self.cuts, t = [0], 0
+        while t < self.steps:
+            t = max(t + 1, int(np.searchsorted(self.off, self.off[t] + held, "right")) - 1)
+            self.cuts.append(t)
+            self.scaled[t - 1] = True
+
+    def symbols(self, t0: int, t1: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of a stretch, and the lane of each."""
+        live = self.live[t0:t1]
+        lane = np.arange(self.off[t1] - self.off[t0]) - np.repeat(self.off[t0:t1] - self.off[t0], live)
+        return self.obs[self.at[lane] + np.repeat(np.arange(t0, t1), live)], lane
+
+    def forward(self, t0: int, t1: int, before: np.ndarray | None, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward values of a stretch and the scales, from the values just before it."""
+        a, c = np.empty_like(e), np.ones(e.shape[1])
+        turn = np.ascontiguousarray(self.move.T)
+        base = int(self.off[t0])
+        for s, k, scale in zip((self.off[t0:t1] - base).tolist(), self.live[t0:t1].tolist(), self.scaled[t0:t1].tolist()):
+            x = a[:, s : s + k]
+            if before is None:
+                np.multiply(e[:, s : s + k], self.start, out=x)
+            else:
+                np.multiply(turn @ before[:, :k], e[:, s : s + k], out=x)
+            if scale:
+                y = c[s : s + k]
+                np.add.reduce(x, axis=0, out=y)
+                np.divide(x, y, out=x)
+            before = x
+        return a, c
+
+    def likelihoods(self) -> tuple[np.ndarray, list[np.ndarray | None]]:
+        """Log-likelihood of each lane, and the forward values before each stretch."""
+        ll, before, starts = np.zeros(self.count), None, []
+        for t0, t1 in zip(self.cuts, self.cuts[1:]):
+            starts.append(before)
+            o, lane = self.symbols(t0, t1)
+            a, c = self.forward(t0, t1, before, self.emit.take(o, axis=1))
+            before = a[:, a.shape[1] - int(self.live[t1 - 1]) :].copy()
+            ll += np.bincount(lane, weights=np.log(c), minlength=self.count)
+        return ll, starts
+
+
+def forward(model: Model, obs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each sequence (n symbols each, one after the other in obs), all advanced together, by the scaled forward recursion."""
+    lanes = Lanes(model, obs, n)
     out = np.zeros(len(n))
-    out[order] = ll
-    return (out, kept) if keep else out
+    out[lanes.order] = lanes.likelihoods()[0]
+    return out
 
 
-def expected_counts(model: Model, obs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions given the sequences, and their log-likelihood."""
+def expected_counts(model: Model, obs: np.ndarray, n: np.ndarray, held: int = HELD) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions given the sequences, and their log-likelihood. Memory is that of held symbols, whatever the sequences' length."""
+    lanes = Lanes(model, obs, n, held)
     states = len(model.start)
-    ll, kept = forward(model, obs, n, keep=True)
-    start, move = np.zeros(states), np.zeros((states, states))
-    gammas, syms, beta = [], [], None
-    for t in range(len(kept) - 1, -1, -1):
-        a, c, o = kept[t]
+    start, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(model.emit)))
+    one = len(lanes.cuts) == 2  # a single stretch: its forward values are made once
+    total, starts = (0.0, [None]) if one else (lambda x: (float(x[0].sum()), x[1]))(lanes.likelihoods())
+    after: np.ndarray | None = None  # what the following step hands back
+    for t0, t1, before in zip(lanes.cuts[-2::-1], lanes.cuts[:0:-1], starts[::-1]):
+        o, _ = lanes.symbols(t0, t1)
+        e = lanes.emit.take(o, axis=1)
+        a, c = lanes.forward(t0, t1, before, e)
+        if one:
+            total = float(np.log(c).sum())
         b = np.ones_like(a)
-        if beta is not None and len(beta):
-            b[: len(beta)] = beta @ model.move.T
-            move += a[: len(beta)].T @ beta
-        g = a * b
-        gammas.append(g)
-        syms.append(o)
-        if t == 0:
-            start = g.sum(0)
-        beta = model.emit[o] * b / c[:, None]
-        kept[t] = None
-    emit = np.zeros_like(model.emit)
-    if gammas:
-        g, s = np.concatenate(gammas), np.concatenate(syms)
+        live = lanes.live[t0:t1]
+        if after is not None:
+            k = after.shape[1]
+            moves += a[:, a.shape[1] - int(live[-1]) :][:, :k] @ after.T
+        for s, k, scale in zip((lanes.off[t0:t1] - lanes.off[t0]).tolist()[::-1], live.tolist()[::-1], lanes.scaled[t0:t1].tolist()[::-1]):
+            if after is not None:
+                np.matmul(model.move, after, out=b[:, s : s + after.shape[1]])
+            after = e[:, s : s + k]
+            after *= b[:, s : s + k]
+            if scale:
+                after /= c[s : s + k]
+        first = int(live[0])
+        later = np.arange(first, a.shape[1])
+        moves += a[:, later - np.repeat(live[:-1], live[1:])] @ e[:, first:].T
+        a *= b
+        if t0 == 0:
+            start = a[:, :first].sum(1)
+        after = after.copy()
         for i in range(states):
-            emit[:, i] = np.bincount(s, weights=g[:, i], minlength=len(emit))
-    return start, move * model.move, emit, float(ll.sum())
+            emit[i] += np.bincount(o, weights=a[i], minlength=emit.shape[1])
+    return start, moves * model.move, np.ascontiguousarray(emit.T), total
 
 
-def _parts(obs: np.ndarray, n: np.ndarray, most: int = 1_200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _parts(obs: np.ndarray, n: np.ndarray, most: int = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Symbol sequences of whole texts, about most symbols at a time, one text at least."""
     ends = np.cumsum(n)
     i = 0
@@ -200,17 +265,59 @@ def _parts(obs: np.ndarray, n: np.ndarray, most: int = 1_200_000) -> Iterator[tu
         i = j
 
 
-def _runs(model: Model | Table, col: pa.Array, most: int = 1_200_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for start, _, obs, n in _locals(model, col, most):
-        yield start, obs, n
-
-
-def _locals(model: Model | Table, col: pa.Array, most: int = 1_200_000) -> Iterator[tuple[int, Model, np.ndarray, np.ndarray]]:
-    """Pieces of the column: the place of the first text, the model of the piece's symbols, and the sequences."""
+def _runs(model: Model | Table, col: pa.Array, most: int = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for start, part in slices(col, 9_000_000):
-        m, obs, n = model.local(part)
+        _, _, obs, n = model.local(part)
         for i, o, k in _parts(obs, n, most):
-            yield start + i, m, o, k
+            yield start + i, o, k
+
+
+@dataclass
+class Group:
+    """Sequences with the symbols that they use: emissions by symbol (0 is any other word), hashes of the others, and what names each sequence."""
+
+    h: np.ndarray
+    model: Model
+    obs: np.ndarray
+    n: np.ndarray
+    names: pa.Array | None
+
+    def take(self, which: np.ndarray) -> Group:
+        """Some of the sequences, with their symbols only."""
+        obs = self.obs[np.repeat(which, self.n)]
+        used = np.zeros(len(self.model.emit), bool)
+        used[obs] = used[0] = True
+        m = self.model
+        return Group(self.h[used[1:]], Model({}, m.start, m.move, m.emit[used], m.rare), (np.cumsum(used) - 1)[obs], self.n[which], None if self.names is None else self.names.filter(pa.array(which)))
+
+
+def _joined(groups: list[Group]) -> Group:
+    """Symbols stay apart, except 0."""
+    if len(groups) == 1:
+        return groups[0]
+    m = groups[0].model
+    base = np.cumsum([0, *(len(g.h) for g in groups)])
+    obs = np.concatenate([np.where(g.obs > 0, g.obs + b, 0) for g, b in zip(groups, base)])
+    emit = np.concatenate([m.emit[:1], *(g.model.emit[1:] for g in groups)])
+    return Group(np.concatenate([g.h for g in groups]), Model({}, m.start, m.move, emit, m.rare), obs, np.concatenate([g.n for g in groups]), None if groups[0].names is None else pa.concat_arrays([g.names for g in groups]))
+
+
+def _side_by_side(groups: Iterator[Group], most: int = TOGETHER) -> Iterator[Group]:
+    """The same sequences, about most symbols at a time, long ones with long ones of other groups."""
+    wait, size = [], 0
+    for g in groups:
+        long = g.n > LONG
+        if long.any():
+            wait.append(g.take(long))
+            size += int(wait[-1].n.sum())
+            g = g.take(~long)
+        for i, obs, n in _parts(g.obs, g.n, most):
+            yield Group(g.h, g.model, obs, n, None if g.names is None else g.names.slice(i, len(n)))
+        if size > most:
+            yield _joined(wait)
+            wait, size = [], 0
+    if wait:
+        yield _joined(wait)
 
 
 def _added(h: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -227,10 +334,17 @@ def _save(path: str, a: np.ndarray) -> None:
     os.replace(own, path)
 
 
-def _rows(piece: np.ndarray, h: np.ndarray, c: np.ndarray, most: int = 100_000) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(h), most):
-        x = slice(i, i + most)
-        yield pa.RecordBatch.from_arrays([pa.array(piece[x].astype(np.int64)), pa.array(h[x].astype(np.int64)), *(pa.array(c[x, k]) for k in range(c.shape[1]))], names=["piece", "h", *(f"c{k}" for k in range(c.shape[1]))])
+#: Sums over all symbols leave a task for one of so many groups, so that none takes them all.
+FEW = 32
+
+
+def _blobs(piece: np.ndarray, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """Hashes and counts as bytes, a row for each piece."""
+    o = np.argsort(piece, kind="stable")
+    piece, h, c = piece[o], h[o], c[o]
+    cuts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(piece) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(piece))
+    return pa.RecordBatch.from_arrays([pa.array(piece[cuts].astype(np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], names=["piece", "h", "c"])
 
 
 def begun(texts: list[str], states: int, smooth: float, seeds: tuple[int, ...] = (11, 12, 13), tolerance: float = 1e-4, tried: int = 15, least: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -291,21 +405,77 @@ def _folder(docs: DataFrame) -> str:
     return path
 
 
+def encoded(docs: DataFrame, text_col: str = "text", id_col: str | None = None) -> DataFrame:
+    """All texts, tokenised once and written: a row for each piece of a task, with the hashes and numbers (c) of its words, the texts' words as places among these, each text's number of words, and which are NULL; names are the ids, if wanted."""
+    src = docs.select(docs[text_col].alias("text"), *([docs[id_col].alias("name")] if id_col else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, part in slices(b.column(0), 9_000_000):
+                code, n, names = word_codes(part)
+                c = np.bincount(code, minlength=len(names)).astype(np.int64)
+                cols = [hashes(names)[c > 0], c[c > 0], (np.cumsum(c > 0) - 1)[code].astype(np.int32), n.astype(np.int32), ~part.is_valid().to_numpy(zero_copy_only=False)]
+                lists = [pa.array([x]) for x in cols]
+                if id_col:
+                    own = b.column(1).slice(start, len(part))
+                    lists.append(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
+                yield pa.RecordBatch.from_arrays(lists, names=["h", "c", "obs", "n", "null", *(["names"] if id_col else [])])
+
+    kind = f", names array<{src.schema['name'].dataType.simpleString()}>" if id_col else ""
+    return cut(src.mapInArrow(lean(run), f"h array<long>, c array<long>, obs array<int>, n array<int>, null array<boolean>{kind}"), "coded")
+
+
+def _hash_totals(coded: DataFrame) -> DataFrame:
+    """(h, n) over all documents; counted in tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, cs = [], []
+
+        def out() -> pa.RecordBatch:
+            h, c = _added(hs, cs)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.rint(c[:, 0]).astype(np.int64))], names=["h", "n"])
+
+        for b in batches:
+            for i in range(len(b)):
+                hs.append(b.column(0)[i].values.to_numpy())
+                cs.append(b.column(1)[i].values.to_numpy()[:, None])
+            if sum(map(len, hs)) > 1_000_000:
+                yield out()
+                hs, cs = [], []
+        if hs:
+            yield out()
+
+    return coded.select("h", "c").mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _coded_groups(batches: Iterator[pa.RecordBatch], m: Table, named: bool = False) -> Iterator[Group]:
+    """Columns h, obs, n and, if named, names and null."""
+    for b in batches:
+        for i in range(len(b)):
+            h, obs, n = (b.column(k)[i].values.to_numpy() for k in range(3))
+            names = pa.StructArray.from_arrays([b.column(3)[i].values, b.column(4)[i].values], names=["name", "null"]) if named else None
+            yield Group(*m.known(h, obs), n, names)
+
+
 def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, min_share: float = 0.0, smooth: float = SMOOTH, text_col: str = "text", min_count: int = MIN_COUNT, tolerance: float = TOLERANCE) -> Table:
-    """Vocabulary and every round's counts come from all documents.
+    """Vocabulary and every round's counts come from all documents; see fit(). NULL and empty texts add nothing; of repeated rows each counts; texts of any length are read whole, in memory that doesn't grow with them; other columns don't matter; an empty table gives a model without words."""
+    return fit(encoded(docs, text_col), docs.select(docs[text_col].alias("text")), states, rounds, min_share, smooth, min_count, tolerance)
+
+
+def fit(coded: DataFrame, texts: DataFrame, states: int = STATES, rounds: int | None = None, min_share: float = 0.0, smooth: float = SMOOTH, min_count: int = MIN_COUNT, tolerance: float = TOLERANCE) -> Table:
+    """A model of encoded(texts).
 
     A word is a symbol of its own if it occurs min_count times (and has min_share of all words). Texts are encoded once;
     in a round each task adds up its own counts, which meet in a shuffle by piece of the table. Only sums over all
     symbols reach the driver. States begin from some texts, and rounds over all documents follow until one gains less than
     tolerance in log-likelihood per word; with rounds, from nearly flat states, just as many. Two words with the same 64-bit hash would be one symbol.
     """
-    spark = docs.sparkSession
-    folder = _folder(docs)
-    texts = docs.select(docs[text_col].alias("text"))
-    totals = cut(word_totals(texts), "words")
+    spark = coded.sparkSession
+    folder = _folder(coded)
+    totals = cut(_hash_totals(coded), "words")
     total, distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    totals.where(F.col("n") >= max(min_count, 2, min_share * total)).write.parquet(f"file://{folder}/words")
-    own = spark.read.schema("word string, n long").parquet(f"file://{folder}/words")
+    least = max(min_count, 2, min_share * total)
+    own = totals.where(F.col("n") >= least)
     symbols, covered = own.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     r = np.random.default_rng(11)
     move = r.uniform(0.5, 1.5, (states, states))
@@ -315,24 +485,23 @@ def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, min_
         start, move, known, shares, rare_shares = begun(_some(texts), states, smooth)
     warm = spark.sparkContext.broadcast((known, shares, rare_shares))
     pieces = 1 << max(0, math.ceil(math.log2(max(1, symbols / PIECE))))
-    model = Table(folder, pieces, start, move, float(total - covered) * rare_shares, np.ones(states), smooth / states, distinct - symbols + 1)
-    counted = ", ".join(f"c{i} double" for i in range(states))
-    keyed = f"piece long, h long, {counted}"
+    model = Table(folder, pieces, start, move, float(total - covered) * rare_shares, np.ones(states), smooth / states, distinct - symbols + 1, 0, texts, least)
+    keyed = "piece long, h binary, c binary"
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = hashes(b.column(0).to_pylist())
+            h = b.column(0).to_numpy()
             if rounds is None:
                 known, shares, rest = warm.value
                 i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 by = np.where((known[i] == h)[:, None], shares[i], rest) if len(known) else np.tile(rest, (len(h), 1))
             else:
                 by = factors(h, states)
-            yield from _rows(h & (pieces - 1), h, b.column(1).to_numpy()[:, None] * by)
+            yield _blobs(h & (pieces - 1), h, b.column(1).to_numpy()[:, None] * by)
 
     def gather(at: int):
         def run(group: pa.Table) -> pa.Table:
-            h, c = _added([group["h"].to_numpy()], [np.stack([group[f"c{i}"].to_numpy() for i in range(states)], axis=1)])
+            h, c = _added([np.frombuffer(x, np.int64) for x in group["h"].to_pylist()], [np.frombuffer(x).reshape(-1, states) for x in group["c"].to_pylist()])
             p = group["piece"][0].as_py()
             if p >= 0:
                 if not at:
@@ -346,63 +515,50 @@ def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, min_
     def gathered(rows: DataFrame, at: int) -> np.ndarray:
         """By row: starts, moves, symbol 0, log-likelihood, all own symbols."""
         out = np.zeros((states + 4, states))
-        for x in rows.groupBy("piece").applyInArrow(gather(at), f"k long, {counted}").collect():
+        for x in rows.groupBy("piece").applyInArrow(gather(at), "k long, " + ", ".join(f"c{i} double" for i in range(states))).collect():
             out[x.k] += x[1:]
         return out
 
-    model.sums = gathered(own.mapInArrow(lean(begin), keyed), 0)[states + 3] + model.other + model.smooth * (symbols + 1)
+    model.sums = gathered(own.select("h", "n").mapInArrow(lean(begin), keyed), 0)[states + 3] + model.other + model.smooth * (symbols + 1)
     if rounds == 0 or not total:
         return model
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = first.value
-        for b in batches:
-            for _, part in slices(b.column(0), 9_000_000):
-                h, obs, n = m.encode(part)
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (h, obs, n.astype(np.int32))], names=["h", "obs", "n"])
-
-    first = spark.sparkContext.broadcast(model)
-    coded = cut(texts.mapInArrow(lean(encode), "h array<long>, obs array<int>, n array<int>"), "coded")
     at, before, more = 0, -math.inf, True
     while more:
         at += 1
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
             few, hs, cs = np.zeros((states + 3, states)), [], []
-            for b in batches:
-                for i in range(len(b)):
-                    h, obs, n = (b.column(k)[i].values.to_numpy() for k in range(3))
-                    part = m.of(h)
-                    for _, o, k in _parts(obs, n):
-                        x, y, z, ll = expected_counts(part, o, k)
-                        few[0] += x
-                        few[1 : states + 1] += y
-                        few[states + 1] += z[0]
-                        few[states + 2, 0] += ll
-                        hs.append(h)
-                        cs.append(z[1:])
-                    if sum(map(len, hs)) > 600_000:
-                        hs, cs = ([x] for x in _added(hs, cs))
-                        if len(hs[0]) > 300_000:
-                            yield from _rows(hs[0] & (pieces - 1), hs[0], cs[0])
-                            hs, cs = [], []
+            for g in _side_by_side(_coded_groups(batches, shared.value)):
+                x, y, z, ll = expected_counts(g.model, g.obs, g.n)
+                few[0] += x
+                few[1 : states + 1] += y
+                few[states + 1] += z[0]
+                few[states + 2, 0] += ll
+                hs.append(g.h)
+                cs.append(z[1:])
+                if sum(map(len, hs)) > 600_000:
+                    hs, cs = ([x] for x in _added(hs, cs))
+                    if len(hs[0]) > 300_000:
+                        yield _blobs(hs[0] & (pieces - 1), hs[0], cs[0])
+                        hs, cs = [], []
             k = np.arange(states + 3)
-            yield from _rows(np.full(len(k), -1), k, few)
+            yield _blobs(np.full(len(k), -1 - TaskContext.get().partitionId() % FEW), k, few)
             if hs:
                 h, c = _added(hs, cs)
-                yield from _rows(h & (pieces - 1), h, c)
+                yield _blobs(h & (pieces - 1), h, c)
 
-        got = gathered(coded.mapInArrow(lean(run), keyed), at)
+        got = gathered(coded.select("h", "obs", "n").mapInArrow(lean(run), keyed), at)
         s, a = got[0] + smooth, got[1 : states + 1] + smooth
-        model = Table(folder, pieces, s / s.sum(), a / a.sum(1, keepdims=True), got[states + 1], got[states + 1] + got[states + 3] + (symbols + 1) * smooth / states, smooth / states, model.rare, at)
+        model = Table(folder, pieces, s / s.sum(), a / a.sum(1, keepdims=True), got[states + 1], got[states + 1] + got[states + 3] + (symbols + 1) * smooth / states, smooth / states, model.rare, at, texts, least)
         shared.unpersist()
         for p in range(pieces):  # the round before is of no more use
             if os.path.exists(old := f"{folder}/{p}-{at - 1}.npy"):
                 os.remove(old)
-        spark.sparkContext._jvm.System.gc()  # lets Spark drop the round's shuffle files
+        gc.collect()  # this round's frames first, as they hold its shuffle; then Spark drops the files
+        spark.sparkContext._jvm.System.gc()
         more = at < rounds if rounds is not None else (got[states + 2, 0] - before) / total >= tolerance
+        log.info("round %d: %.5f a word", at, got[states + 2, 0] / total)
         before = got[states + 2, 0]
     return model
 
@@ -418,13 +574,37 @@ def score(docs: DataFrame, model: Model | Table, id_col: str = "doc_id", text_co
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Group]:
         for b in batches:
-            ll, size = np.zeros(len(b)), np.zeros(len(b), np.int64)
-            for i, m, obs, n in _locals(shared.value, b.column(1)):
-                rare = np.bincount(np.repeat(np.arange(len(n)), n)[obs == 0], minlength=len(n))
-                ll[i : i + len(n)], size[i : i + len(n)] = forward(m, obs, n) - rare * math.log(m.rare), n
-            null = ~b.column(1).is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, mask=null), pa.array(ll, mask=null), pa.array(ll / np.maximum(size, 1), mask=size == 0)], names=["doc_id", "n_words", "log_likelihood", "per_word"])
-
-    return src.mapInArrow(lean(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_words long, log_likelihood double, per_word double")
+            for start, part in slices(b.column(1), 9_000_000):
+                names = pa.StructArray.from_arrays([b.column(0).slice(start, len(part)), part.is_null()], names=["name", "null"])
+                yield Group(*shared.value.local(part), names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _scores(groups(batches))
+
+    return src.mapInArrow(lean(run), _score_schema(src.schema["doc_id"].dataType.simpleString()))
+
+
+def _score_schema(kind: str) -> str:
+    return f"doc_id {kind}, n_words long, log_likelihood double, per_word double"
+
+
+def _scores(groups: Iterator[Group]) -> Iterator[pa.RecordBatch]:
+    for g in _side_by_side(groups):
+        rare = np.bincount(np.repeat(np.arange(len(g.n)), g.n)[g.obs == 0], minlength=len(g.n))
+        ll, size = forward(g.model, g.obs, g.n) - rare * math.log(g.model.rare), g.n.astype(np.int64)
+        null = g.names.field(1).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([g.names.field(0), pa.array(size, mask=null), pa.array(ll, mask=null), pa.array(ll / np.maximum(size, 1), mask=size == 0)], names=["doc_id", "n_words", "log_likelihood", "per_word"])
+
+
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """score(docs, train(docs)) from one encoding of the texts."""
+    coded = encoded(docs, text_col, id_col)
+    model = fit(coded, docs.select(docs[text_col].alias("text")), **how)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _scores(_coded_groups(batches, shared.value, named=True))
+
+    return coded.select("h", "obs", "n", "names", "null").mapInArrow(lean(run), _score_schema(docs.schema[id_col].dataType.simpleString()))

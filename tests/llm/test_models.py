@@ -109,6 +109,38 @@ def test_forward_and_counts_against_all_paths():
     assert np.allclose(a, start) and np.allclose(b, move) and np.allclose(c, emit) and d == pytest.approx(ll.sum())
 
 
+def test_stretches_and_neighbours_change_nothing():
+    m, r = small(4, 9), np.random.default_rng(6)
+    n = np.array([3, 700, 0, 12, 1, 55, 700])
+    obs = r.integers(0, 9, n.sum())
+    whole = hmm.expected_counts(m, obs, n)
+    for held in (1, 7, 100):
+        for x, y in zip(whole, hmm.expected_counts(m, obs, n, held)):
+            assert np.allclose(x, y, rtol=1e-9)
+    ll = hmm.forward(m, obs, n)
+    groups = [hmm.Group(np.arange(8), m, obs[:703], n[:2], pa.array([0, 1])), hmm.Group(np.arange(8), m, obs[703:], n[2:], pa.array([2, 3, 4, 5, 6]))]
+    hmm_long, hmm.LONG = hmm.LONG, 50
+    try:
+        got = {}
+        total = np.zeros((9, 4))
+        for g in hmm._side_by_side(iter(groups), 60):
+            got |= dict(zip(g.names.to_pylist(), hmm.forward(g.model, g.obs, g.n)))
+            z = hmm.expected_counts(g.model, g.obs, g.n)[2]
+            total[0] += z[0]
+            np.add.at(total, g.h + 1, z[1:])
+    finally:
+        hmm.LONG = hmm_long
+    assert np.allclose([got[i] for i in range(7)], ll) and np.allclose(total, whole[2])
+
+
+def test_scores_from_codes_are_those_from_texts(spark):
+    rows = [(1, None), (2, ""), (3, "a b a c b a"), (None, "a b"), (3, "a b a c b a"), (5, "b a " * 9000), (6, "once a")]
+    df = spark.createDataFrame([(i, t, 1, 2.0) for i, t in rows], "doc_id long, text string, n_words int, h double").repartition(3)
+    one = sorted(map(repr, ((x.doc_id, x.n_words, x.log_likelihood and round(x.log_likelihood, 6)) for x in hmm.train_and_score(df, rounds=2).collect())))
+    two = sorted(map(repr, ((x.doc_id, x.n_words, x.log_likelihood and round(x.log_likelihood, 6)) for x in hmm.score(df, hmm.train(df, rounds=2)).collect())))
+    assert one == two and len(one) == len(rows) and hmm.train_and_score(df.limit(0)).count() == 0
+
+
 def test_long_sequences_stay_finite():
     m = small()
     obs = np.random.default_rng(5).integers(0, 4, 50000).astype(np.int32)
