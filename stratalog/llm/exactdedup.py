@@ -1,7 +1,9 @@
-"""Exact duplicates: within a partition by length and content hash, full byte strings go into Patricia tries whose ends keep the smallest id."""
+"""Exact duplicates: within a partition by length and content hash, full byte strings go into a Patricia trie whose ends keep the smallest id."""
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -12,90 +14,138 @@ from pyspark.sql import functions as F
 from .common import cut, lean, shared_dir
 
 BROADCAST_BYTES = 64 << 20
-HOT = 20_000
+#: Rows and bytes of one (length, hash) beyond which it is settled in salted parts.
+HOT, HOT_BYTES = 20_000, 64 << 20
+#: What a node takes in memory besides its label, about.
+NODE = 400
+
+
+class Node:
+    """An edge with what lies under it. weight: bytes of the whole subtree in memory. An owner of None is no end; ends without an id have NOBODY."""
+
+    __slots__ = ("kids", "label", "owner", "weight")
+
+    def __init__(self, label: bytes, owner, kids: dict):
+        self.label, self.owner, self.kids, self.weight = label, owner, kids, NODE + len(label)
+
+
+NOBODY = (1 << 63) - 1
 
 
 class Trie:
-    """Compressed radix trie over byte strings. An edge is [label, owner or None, children by first byte].
+    """Compressed radix trie over byte strings; all of a partition's strings are in one.
 
-    Beyond budget bytes of labels, the heaviest subtree under the root is written to the store and left out of memory;
-    later strings with its first byte bring it back.
+    Beyond budget bytes, the heaviest subtree of at most half the budget is written to the store, at whatever depth it lies;
+    a number stays in its place. Strings that lead there bring it back. Memory is the budget, and the nodes that the string
+    at hand leads through.
     """
 
     def __init__(self, budget: int = 64 << 20, spill=None):
-        self.kids: dict[int, list] = {}
-        self.empty = None
-        self.budget, self.spill = budget, spill
-        self.size: dict[int, int] = {}
-        self.away: set[int] = set()
-
-    def put(self, key: bytes, value: int) -> int:
-        """The smallest value put with this key so far."""
-        if not key:
-            self.empty = value if self.empty is None else min(self.empty, value)
-            return self.empty
-        if key[0] in self.away:
-            self.kids[key[0]], self.size[key[0]] = self.spill.load(key[0])
-            self.away.discard(key[0])
-        owner = self._put(key, value)
-        if self.spill and sum(self.size.values()) > self.budget:
-            for b in sorted((b for b in self.size if b != key[0]), key=self.size.get, reverse=True) or []:
-                self.spill.save(b, self.kids.pop(b), self.size.pop(b))
-                self.away.add(b)
-                if sum(self.size.values()) <= self.budget:
+        self.root = Node(b"", None, {})
+        self.root.weight = 0
+        self.budget, self.spill, self.last = budget, spill, 0
+
+    @property
+    def weight(self) -> int:
+        return self.root.weight
+
+    def put(self, key: bytes, value: int | None) -> int | None:
+        """The smallest value put with this key so far; None if there was none but None."""
+        value = NOBODY if value is None else value
+        node, path = self.root, [self.root]
+        while key:
+            kid = node.kids.get(key[0])
+            if isinstance(kid, int):
+                kid = node.kids[key[0]] = self._unpacked(self.spill.load(kid)[0])
+                for x in path:
+                    x.weight += kid.weight
+            if kid is None:
+                kid = node.kids[key[0]] = Node(key, None, {})
+                for x in path:
+                    x.weight += kid.weight
+                key = b""
+            elif key.startswith(kid.label):
+                key = key[len(kid.label) :]
+            else:
+                n = len(commonprefix([kid.label, key]))
+                upper = Node(kid.label[:n], None, {kid.label[n]: kid})
+                kid.label, kid.weight = kid.label[n:], kid.weight - n
+                upper.weight += kid.weight
+                node.kids[key[0]] = kid = upper
+                for x in path:
+                    x.weight += NODE
+                key = key[n:]
+            node = kid
+            path.append(node)
+        node.owner = value if node.owner is None else min(node.owner, value)
+        if self.spill and self.weight > self.budget:
+            self._lighten()
+        return None if node.owner == NOBODY else node.owner
+
+    def _lighten(self) -> None:
+        """Spills until a half of the budget is left."""
+        while self.weight > self.budget // 2:
+            path, node, first = [], self.root, 0
+            while path == [] or node.weight > self.budget // 2:
+                heavy = max((b for b, k in node.kids.items() if isinstance(k, Node)), key=lambda b: node.kids[b].weight, default=None)
+                if heavy is None:
                     break
-        return owner
-
-    def _put(self, key: bytes, value: int) -> int:
-        at, top = self.kids, key[0]
-        while True:
-            edge = at.get(key[0])
-            if edge is None:
-                at[key[0]] = [key, value, {}]
-                self.size[top] = self.size.get(top, 0) + len(key)
-                return value
-            label = edge[0]
-            if key.startswith(label):
-                key = key[len(label) :]
-                if not key:
-                    edge[1] = value if edge[1] is None else min(edge[1], value)
-                    return edge[1]
-                at = edge[2]
+                path.append(node)
+                first, node = heavy, node.kids[heavy]
+            self.last += 1
+            self.spill.save(self.last, self._packed(node), node.weight)
+            path[-1].kids[first] = self.last
+            for x in path:
+                x.weight -= node.weight
+
+    @staticmethod
+    def _packed(node: Node) -> list[tuple]:
+        """The subtree as a flat list, parents first: (parent's place, first byte, label and owner, or number of what is away)."""
+        out, todo = [], [(-1, 0, node)]
+        while todo:
+            parent, first, at = todo.pop()
+            if isinstance(at, int):
+                out.append((parent, first, at))
                 continue
-            n = len(commonprefix([label, key]))
-            at[key[0]] = upper = [label[:n], None, {label[n]: [label[n:], edge[1], edge[2]]}]
-            if n == len(key):
-                upper[1] = value
-                return value
-            at, key = upper[2], key[n:]
+            out.append((parent, first, at.label, at.owner))
+            todo.extend((len(out) - 1, b, k) for b, k in at.kids.items())
+        return out
+
+    @staticmethod
+    def _unpacked(rows: list[tuple]) -> Node:
+        made: list[Node | None] = []
+        for parent, first, *rest in rows:
+            made.append(None if len(rest) == 1 else Node(rest[0], rest[1], {}))
+            if parent >= 0:
+                made[parent].kids[first] = rest[0] if len(rest) == 1 else made[-1]
+        for k in range(len(rows) - 1, 0, -1):
+            if made[k] is not None:
+                made[rows[k][0]].weight += made[k].weight
+        return made[0]
 
 
 class Spill:
-    """Subtrees in the shared folder, by first byte, under a name of this task's own."""
+    """Subtrees in the shared folder, by number, under a name of this task's own."""
 
     def __init__(self, folder: str):
-        import uuid
-
         from pyarrow import fs
 
         self.store, root = fs.FileSystem.from_uri(folder)
         self.root = f"{root}/trie-{uuid.uuid4().hex}"
         self.made = False
 
-    def save(self, first: int, edge: list, size: int) -> None:
-        import pickle
-
+    def save(self, number: int, rows: list, size: int) -> None:
         if not self.made:
             self.store.create_dir(self.root, recursive=True)
             self.made = True
-        with self.store.open_output_stream(f"{self.root}/{first}") as f:
-            f.write(pickle.dumps((edge, size)))
-
-    def load(self, first: int):
-        import pickle
+        with self.store.open_output_stream(f"{self.root}/{number}") as f:
+            f.write(pickle.dumps((rows, size)))
 
-        with self.store.open_input_stream(f"{self.root}/{first}") as f:
-            return pickle.loads(f.read())
+    def load(self, number: int):
+        with self.store.open_input_stream(f"{self.root}/{number}") as f:
+            got = pickle.loads(f.read())
+        self.store.delete_file(f"{self.root}/{number}")
+        return got
 
     def close(self) -> None:
         if self.made:
@@ -103,81 +153,77 @@ class Spill:
             self.made = False
 
 
-def _owners(folder: str, budget: int):
+def _owners(folder: str, budget: int, *keys: str, heads: bool = False):
+    """Owners in the order of rows that come sorted by keys and id; one trie for the task's rows, or, salted, for each part, as parts mustn't know of each other.
+
+    heads: also the number of the text within its part, and the text itself with its first row.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spill, key, trie = Spill(folder), None, Trie()
+        spill = Spill(folder)
+        trie, part, seen = Trie(budget, spill), None, {}
         try:
             for b in batches:
-                out = []
-                for n, h, i, t in zip(*(b.column(c).to_pylist() for c in ("len", "hash", "doc_id", "text"))):
-                    if (n, h) != key:
+                out, number, texts = [], [], []
+                for i, t, *key in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", *keys))):
+                    if heads and key != part:
                         spill.close()
-                        key, trie = (n, h), Trie(budget, spill)
-                    out.append(trie.put(t, i))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.int64()), b.column("len"), b.column("hash")], names=["doc_id", "owner_id", "len", "hash"])
+                        trie, part, seen = Trie(budget, spill), key, {}
+                    out.append(o := trie.put(t, i))
+                    if heads:
+                        # rows come by id, so a text's owner never changes; texts with equal keys are told apart by the trie's owner, or are those without any id
+                        k = (o, None if o is not None else t)
+                        texts.append(None if k in seen else t)
+                        number.append(seen.setdefault(k, len(seen)))
+                cols = [b.column("doc_id"), pa.array(out, pa.int64()), *(b.column(c) for c in keys)]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(number, pa.int32()), pa.array(texts, pa.binary())] if heads else [])], names=["doc_id", "owner_id", *keys, *(["number", "text"] if heads else [])])
         finally:
             spill.close()
 
     return run
 
 
-def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20, hash_bits: int = 64, broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
+def exact_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20, hash_bits: int = 64, broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, owner_id) for each row: owner_id is the smallest id among rows with exactly the same text.
 
     A first pass counts (length, hash) without moving any text; only texts whose pair repeats are shuffled by it, sorted
-    by id, and compared in full in tries. So the smallest id comes first and no row is held back. Pairs with more than
-    hot rows are first settled in salted parts, whose owners then meet. The repeated pairs are broadcast up to
-    broadcast_bytes and joined by shuffle beyond.
+    by id, and compared in full in a trie for each partition. So the smallest id comes first and no row is held back. Pairs
+    with more than hot rows or hot_bytes bytes are first settled in salted parts, whose owners then meet. The repeated pairs
+    are broadcast up to broadcast_bytes and joined by shuffle beyond.
     A NULL text equals nothing: its row owns itself. A row without an id never owns another and gets the owner of its
-    text, or NULL where no row with the text has an id. Rows that repeat an id each get a row. The empty text is a text.
-    Other columns don't matter; an empty table gives an empty result. hash_bits below 64 is for tests: more strings meet.
+    text, or NULL where no row with the text has an id. Rows that repeat an id each get a row. The empty text is a text;
+    texts of any length are compared whole, up to one and the budget in a task's memory. Other columns don't matter; an
+    empty table gives an empty result. hash_bits below 64 is for tests: more strings meet.
     """
     spark = docs.sparkSession
-    data = F.encode(F.col("text"), "utf-8")
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     keyed = src.select("doc_id", F.octet_length("text").alias("len"), (F.xxhash64("text") if hash_bits == 64 else F.pmod(F.xxhash64("text"), F.lit(1 << hash_bits))).alias("hash"), "text")
-    known = keyed.where("text IS NOT NULL AND doc_id IS NOT NULL")
+    known = keyed.where("text IS NOT NULL")
     pairs = cut(known.groupBy("len", "hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "pairs")
-    repeated = cut(pairs.where("n > 1").select("len", "hash", "n"), "repeated")
-    many, top = repeated.select(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    small = F.broadcast(repeated) if many * 24 <= broadcast_bytes else repeated
-    folder = shared_dir(spark)
-    found = known.join(small, ["len", "hash"])
-
-    def settle(df: DataFrame, *by: str) -> DataFrame:
-        return df.repartition(*by).sortWithinPartitions(*by, "doc_id").mapInArrow(lean(_owners(folder, budget)), "doc_id long, owner_id long, len int, hash long")
-
-    found = found.select("len", "hash", "n", "doc_id", data.alias("text"))
-    if top <= hot:
-        settled = settle(found, "len", "hash").select("doc_id", "owner_id")
-    else:
-        salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / hot)).cast("int"))
-
-        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            spill, key, trie = Spill(folder), None, Trie()
-            try:
-                for b in batches:
-                    owners, texts = [], []
-                    for n, h, s, i, t in zip(*(b.column(c).to_pylist() for c in ("len", "hash", "salt", "doc_id", "text"))):
-                        if (n, h, s) != key:
-                            spill.close()
-                            key, trie = (n, h, s), Trie(budget, spill)
-                        owners.append(o := trie.put(t, i))
-                        texts.append(t if o == i else None)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(owners, pa.int64()), b.column("len"), b.column("hash"), pa.array(texts, pa.binary())], names=["doc_id", "owner_id", "len", "hash", "text"])
-            finally:
-                spill.close()
-
-        part = cut(salted.repartition("len", "hash", "salt").sortWithinPartitions("len", "hash", "salt", "doc_id").mapInArrow(lean(split), "doc_id long, owner_id long, len int, hash long, text binary"), "salted")
-        heads = part.where("text IS NOT NULL").select("len", "hash", "doc_id", "text").distinct()
-        upper = settle(heads, "len", "hash").select("len", "hash", F.col("doc_id").alias("part_id"), "owner_id").distinct()
-        settled = part.select("len", "hash", "doc_id", F.col("owner_id").alias("part_id")).join(upper, ["len", "hash", "part_id"]).select("doc_id", "owner_id")
+    parts = F.ceil(F.greatest(F.col("n") / hot, F.col("n") * F.col("len") / hot_bytes, F.lit(1.0))).cast("int")
+    repeated = cut(pairs.where("n > 1").select("len", "hash", F.when((F.col("n") > hot) | (F.col("n") * F.col("len") > hot_bytes), parts).otherwise(1).alias("parts")), "repeated")
+    many, top = repeated.select(F.count("*"), F.coalesce(F.max("parts"), F.lit(1))).first()
+    found = known.join(F.broadcast(repeated) if many * 24 <= broadcast_bytes else repeated, ["len", "hash"])
+    found = found.select("len", "hash", "parts", "doc_id", F.encode(F.col("text"), "utf-8").alias("text"))
+    folder, by_id = shared_dir(spark), F.asc_nulls_last("doc_id")
+
+    def settle(df: DataFrame, *more: str) -> DataFrame:
+        fields = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in more)
+        return df.repartition("len", "hash").sortWithinPartitions("len", "hash", by_id).mapInArrow(lean(_owners(folder, budget, *more)), "doc_id long, owner_id long" + fields)
+
+    settled = settle(found.where("parts = 1")).select("doc_id", "owner_id")
+    if top > 1:
+        # a number for the row, not its id, as a hot text may be under one id
+        salted = found.where("parts > 1").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int"))
+        keys = ("len", "hash", "salt")
+        part = cut(salted.repartition(*keys).sortWithinPartitions(*keys, by_id).mapInArrow(lean(_owners(folder, budget, *keys, heads=True)), "doc_id long, owner_id long, len int, hash long, salt int, number int, text binary"), "salted")
+        own = [*keys, "number"]
+        heads = part.where("text IS NOT NULL").select(*own, F.col("owner_id").alias("doc_id"), "text")
+        upper = settle(heads, *own).select(*own, "owner_id")
+        settled = settled.union(part.select("doc_id", *own).join(upper, own).select("doc_id", "owner_id"))
     alone = pairs.where("n = 1").select(F.col("least").alias("doc_id"), F.col("least").alias("owner_id"))
     blank = src.where("text IS NULL").select("doc_id", F.col("doc_id").alias("owner_id"))
-    unnamed = keyed.where("doc_id IS NULL AND text IS NOT NULL")
-    least = known.groupBy("text").agg(F.min("doc_id").alias("owner_id")) if unnamed.limit(1).count() else None
-    out = settled.union(alone).union(blank)
-    return out if least is None else out.union(unnamed.select("doc_id", "text").join(least, "text", "left").select("doc_id", "owner_id"))
+    return settled.union(alone).union(blank)
 
 
 ORACLE = "SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS owner_id FROM documents"

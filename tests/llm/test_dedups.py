@@ -55,7 +55,7 @@ def owners(rows):
 ROWS = [(5, "a"), (3, "a"), (9, "b"), (9, "b"), (4, ""), (2, ""), (7, None), (None, None), (None, "a"), (None, "only"), (-1, "ab"), (11, "abc"), (12, "abd"), (13, "abc"), (14, "é" * 100000), (6, "é" * 100000), (5, "twice")]
 
 
-@pytest.mark.parametrize("how", [{}, {"hash_bits": 0}, {"hot": 2}, {"hash_bits": 0, "hot": 3, "budget": 10}, {"broadcast_bytes": 0}])
+@pytest.mark.parametrize("how", [{}, {"hash_bits": 0}, {"hot": 2}, {"hash_bits": 0, "hot": 3, "budget": 10}, {"broadcast_bytes": 0}, {"hash_bits": 1, "budget": 2000}, {"hot_bytes": 6}])
 def test_owners(spark, how):
     r = random.Random(2)
     rows = ROWS + [(100 + k, "".join(r.choice("ab") for _ in range(r.randrange(6)))) for k in range(300)]
@@ -88,6 +88,32 @@ def test_trie_with_and_without_spill():
         assert store is None or store.saves
 
 
+def test_trie_keeps_to_its_budget_below_any_prefix():
+    r = random.Random(10)
+    keys = [b"common prefix/" + bytes(r.choice(b"abc") for _ in range(r.randrange(1, 60))) for _ in range(3000)] + [b"common prefix/" + b"a" * 50 * n for n in range(60)]
+    for order in (keys, keys[::-1], r.sample(keys, len(keys))):
+        trie, store, most, least = exactdedup.Trie(20_000, Store()), None, 0, {}
+        for n, k in enumerate(order + order[::7]):
+            least[k] = min(least.get(k, n), n)
+            assert trie.put(k, n) == least[k]
+            most = max(most, trie.weight)
+        assert most <= 20_000 + 120 * (exactdedup.NODE + 50) and trie.spill.saves
+    assert trie.put(b"new", None) is None and trie.put(b"new", 4) == 4 and trie.put(b"new", None) == 4
+
+
+def test_deep_tries_spill_and_come_back(tmp_path):
+    spill = exactdedup.Spill(f"file://{tmp_path}")
+    trie = exactdedup.Trie(1 << 30, spill)
+    for n in range(5000):
+        trie.put(b"x" * n, n)
+    rows = trie._packed(trie.root)
+    spill.save(1, rows, trie.weight)
+    back = exactdedup.Trie(1 << 30, spill)
+    back.root = back._unpacked(spill.load(1)[0])
+    assert all(back.put(b"x" * n, 10**6) == n for n in range(5000)) and not list(spill.store.get_file_info(__import__("pyarrow.fs", fromlist=["fs"]).FileSelector(spill.root)))
+    spill.close()
+
+
 def brute_print(text):
     own = set(words(text))
     bits = [0] * 120
