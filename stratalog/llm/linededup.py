@@ -8,16 +8,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, lean, slices
+from .common import chunks, components, cut, lean, sieve_of, sieved, slices
 
 SHINGLE = 6
 THRESHOLD = 0.8
 #: Lines with Jaccard 0.8 share one of 7 bands of 4 with probability 0.975, with 0.9 almost surely.
 BANDS, ROWS = 7, 4
-BROADCAST_ROWS = 8_000_000
+BROADCAST_ROWS = 1_000_000
+#: Nodes of a bucket beyond which it is cut into blocks.
+BUCKET = 4096
 #: Lines of a bucket that are compared at once.
 BLOCK = 48
 
@@ -27,9 +29,16 @@ _ADD = _r.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _BAND = _r.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def line_hash(line: str) -> int:
-    """Signed 64 bits. Two of n different lines share one with a chance of about n^2 / 2^65."""
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+def line_hashes(lines: list[str]) -> np.ndarray:
+    """lines x 2 longs. Two of n different lines share both with a chance of about n^2 / 2^129: none at any size."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), "<i8").reshape(-1, 2)
+
+
+def place_hash(doc: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """A long for a line's place."""
+    x = doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + no.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
 
 
 def shingles(line: str) -> set[str]:
@@ -122,45 +131,30 @@ _BAND_NAMES = [f"b{i}" for i in range(BANDS)]
 
 
 def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All lines; band keys only where a line is new to the task."""
+    seen: set[bytes] = set()
     for b in batches:
         for i, part in slices(b.column(1), 4_000_000):
-            doc, no, hs, new, seen = [], [], [], [], {}
+            doc, no, lines = [], [], []
             for d, t in zip(b.column(0).slice(i, len(part)).to_pylist(), part.to_pylist()):
                 for k, s in _lines(t):
                     doc.append(d)
                     no.append(k)
-                    hs.append(h := line_hash(s))
-                    if h not in seen:
-                        seen[h] = s
-                        new.append(len(hs) - 1)
-            mask = np.ones(len(hs), bool)
+                    lines.append(s)
+            h = line_hashes(lines)
+            new = []
+            for k, x in enumerate(h.view("V16").ravel().tolist() if len(h) else []):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(k)
+            if len(seen) > 400_000:  # forgetting costs rows only
+                seen.clear()
+            mask = np.ones(len(h), bool)
             mask[new] = False
-            keys = np.zeros((len(hs), BANDS), np.int64)
+            keys = np.zeros((len(h), BANDS), np.int64)
             if new:
-                keys[new] = bands(list(seen.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), *(pa.array(np.ascontiguousarray(keys[:, c]), mask=mask) for c in range(BANDS))], names=["lh", "doc_id", "line_no", *_BAND_NAMES])
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each bucket's different lines, tied to the smallest."""
-    keys, hs = [], []
-    for b in batches:
-        keys.append(b.column(0).to_numpy())
-        hs.append(b.column(1).to_numpy())
-    if not keys:
-        return
-    key, h = np.concatenate(keys), np.concatenate(hs)
-    keys.clear()
-    hs.clear()
-    o = np.lexsort((h, key))
-    key, h = key[o], h[o]
-    head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
-    least = h[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    tie = np.flatnonzero(least != h)
-    pair = np.unique(np.stack([least[tie], h[tie]]), axis=1) if len(tie) else np.zeros((2, 0), np.int64)
-    for s in range(0, pair.shape[1], 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0, s : s + 200_000]), pa.array(pair[1, s : s + 200_000])], names=["a", "b"])
+                keys[new] = bands([lines[k] for k in new])
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), *(pa.array(np.ascontiguousarray(keys[:, c]), mask=mask) for c in range(BANDS))], names=["h1", "h2", "doc_id", "line_no", *_BAND_NAMES])
 
 
 def verify(lines: dict[int, str], threshold: float, keys: np.ndarray | None = None) -> dict[int, int]:
@@ -204,20 +198,22 @@ def verify(lines: dict[int, str], threshold: float, keys: np.ndarray | None = No
 
 
 def _verify(threshold: float):
+    """Edges of the lines of each cell: rows come sorted by cell and node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own, ready, n = None, {}, [], 0
 
         def settle() -> pa.RecordBatch:
-            """Several components, whose keys are made in one go."""
+            """Several cells, whose keys are made in one go."""
             keys = bands([c[i] for c in ready for i in sorted(c)])
             ends = np.cumsum([len(c) for c in ready])
             pairs = [(i, r) for c, e in zip(ready, ends) for i, r in verify(c, threshold, keys[e - len(c) : e]).items() if i != r]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["lh", "root"])
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for g, h, t in zip(*(b.column(c).to_pylist() for c in ("group", "lh", "line"))):
+            for *g, h, t in zip(*(b.column(c).to_pylist() for c in ("c1", "c2", "i", "j", "node", "line"))):
                 if g != at:
-                    if own:
+                    if len(own) > 1:
                         ready.append(own)
                         n += len(own)
                     if n > 2000:
@@ -225,7 +221,7 @@ def _verify(threshold: float):
                         ready, n = [], 0
                     at, own = g, {}
                 own[h] = t
-        if own:
+        if len(own) > 1:
             ready.append(own)
         if ready:
             yield settle()
@@ -234,48 +230,79 @@ def _verify(threshold: float):
 
 
 def _texts(wanted):
-    """Lines with a wanted hash (all, if wanted is None), each once a chunk."""
+    """(h1, h2, line) of the lines at wanted places, and of some others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if wanted is None else wanted.value
         for b in batches:
-            for _, part in slices(b.column(0), 4_000_000):
-                found = {line_hash(s): s for t in part.to_pylist() for _, s in _lines(t)}
-                h = np.fromiter(found, np.int64, len(found))
-                take = np.ones(len(h), bool) if known is None else known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array([s for s, k in zip(found.values(), take) if k], pa.string())], names=["lh", "line"])
+            for i, part in slices(b.column(1), 4_000_000):
+                doc, no, lines = [], [], []
+                for d, t in zip(b.column(0).slice(i, len(part)).to_pylist(), part.to_pylist()):
+                    for k, s in _lines(t):
+                        doc.append(d)
+                        no.append(k)
+                        lines.append(s)
+                take = np.flatnonzero(sieved(wanted.value, place_hash(np.array(doc, np.int64), np.array(no, np.int64))))
+                own = [lines[k] for k in take]
+                h = line_hashes(own)
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(own, pa.string())], names=["h1", "h2", "line"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(place_hash(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["place"])
+
+
+def cells_of(keyed: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(c1, c2, i, j, node) for rows (key, node): the lines to be compared, two at least in each cell.
+
+    A bucket is a cell, named by its set of nodes, so that a set that several bands bring together is compared once. A bucket of more than
+    bucket nodes is cut into blocks, and each pair of blocks is a cell: nothing is left out, and no task gets it all.
+    """
+    w = Window.partitionBy("key")
+    sized = keyed.select("key", "node", F.count("*").over(w).alias("n"), F.bit_xor(F.xxhash64("node")).over(w).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).over(w).alias("y")).where("n > 1")
+    small = sized.where(F.col("n") <= bucket).select(F.col("x").alias("c1"), F.col("y").alias("c2"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node").distinct()
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    big = sized.where(F.col("n") > bucket).select("key", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return small.union(big.select(F.col("key").alias("c1"), F.lit(0).cast("long").alias("c2"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"))
+
+
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no) for each line that goes, with the line that stays for it.
 
-    Lines are compared without white space around them; blank ones always stay. Equal lines are one node; nodes that
-    share a band and whose shingle sets have Jaccard of threshold at least are joined; of each component the line with
-    the smallest (doc_id, line_no) stays. Only hashes and band keys are shuffled for all lines; the text of lines that
-    share a band is read a second time, filtered by a broadcast of up to broadcast_rows hashes and by a join beyond, and
-    meets by component. A NULL id or text gives no lines; rows that repeat an id are one document, the first of equal
+    Lines are compared without white space around them; blank ones always stay. Equal lines are one node, by 128 bits;
+    nodes that share a band and whose shingle sets have Jaccard of threshold at least are joined; of each component the
+    line with the smallest (doc_id, line_no) stays. Hashes and band keys are shuffled once a line and task, then once a
+    node; only nodes that share a band have a text moved, that of their first line, found through a sieve of 32 MB at most.
+    Comparison is by bucket, and large buckets by pairs of blocks; union-find joins what was found. Tables of up to broadcast_rows rows
+    are broadcast, others joined by shuffle. A NULL id or text gives no lines; rows that repeat an id are one document, the first of equal
     (doc_id, line_no) lines stays as one; other columns don't matter; very long lines are compared whole; an empty table
     gives an empty result.
     """
     spark = docs.sparkSession
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = cut(src.mapInArrow(lean(_list_lines), "lh long, doc_id long, line_no int, " + ", ".join(f"{c} long" for c in _BAND_NAMES)), "lines")
-    keyed = lines.where("b0 IS NOT NULL").select(F.explode(F.array(*_BAND_NAMES)).alias("key"), "lh")
-    group = cut(components(keyed.repartition("key").mapInArrow(lean(_meet), "a long, b long")).select(F.col("id").alias("lh"), F.col("root").alias("group")), "groups")
-    n = group.count()
-    if 0 < n <= broadcast_rows:
-        known = np.sort(group.select("lh").toPandas()["lh"].to_numpy())
-        wanted = spark.sparkContext.broadcast(known)
-        texts = src.select("text").mapInArrow(lean(_texts(wanted)), "lh long, line string")
-    else:
-        texts = src.select("text").mapInArrow(lean(_texts(None)), "lh long, line string") if n else spark.createDataFrame([], "lh long, line string")
-    joined = cut(texts.join(group, "lh").repartition("group").sortWithinPartitions("group", "lh").mapInArrow(lean(_verify(threshold)), "lh long, root long"), "joined")
-    own = lines.select("lh", "doc_id", "line_no").join(joined, "lh", "left").select(F.coalesce("root", "lh").alias("root"), "doc_id", "line_no")
-    own = cut(own, "own")
-    kept = own.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("k")).where("n > 1").select("root", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.line_no").alias("kept_line_no"))
-    return own.join(kept, "root").where("doc_id <> kept_doc_id OR line_no <> kept_line_no").select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
+
+    def sized(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+    lines = cut(src.mapInArrow(lean(_list_lines), "h1 long, h2 long, doc_id long, line_no int, " + ", ".join(f"{c} long" for c in _BAND_NAMES)), "lines")
+    one = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.max(c).alias(c) for c in _BAND_NAMES))
+    nodes = cut(one.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), *_BAND_NAMES), "nodes")
+    cells = cut(cells_of(nodes.select(F.explode(F.array(*_BAND_NAMES)).alias("key"), "node"), bucket), "cells")
+    own = cut(nodes.join(sized(cells.select("node").distinct()), "node", "left_semi").select("node", "h1", "h2", "doc_id", "line_no"), "candidates")
+    wanted = spark.sparkContext.broadcast(sieve_of(own.select("doc_id", "line_no").mapInArrow(lean(_places), "place long"), "place"))
+    texts = src.mapInArrow(lean(_texts(wanted)), "h1 long, h2 long, line string").join(sized(own.select("node", "h1", "h2")), ["h1", "h2"]).select("node", "line")
+    order = ["c1", "c2", "i", "j"]
+    found = texts.join(cells, "node").repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(lean(_verify(threshold)), "a long, b long")
+    comp = cut(components(found).select(F.col("id").alias("node"), F.col("root")), "joined")
+    near = nodes.join(sized(comp), "node").select("root", "h1", "h2", F.struct("doc_id", "line_no").alias("first"))
+    least = near.groupBy("root").agg(F.min("first").alias("kept"))
+    near = near.join(least, "root").select("h1", "h2", "kept")
+    alone = nodes.where("n > 1").join(sized(comp.select("node")), "node", "left_anti").select("h1", "h2", F.struct("doc_id", "line_no").alias("kept"))
+    kept = cut(near.union(alone).select("h1", "h2", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")), "kept")
+    out = lines.select("h1", "h2", "doc_id", "line_no").join(sized(kept), ["h1", "h2"])
+    return out.where("doc_id <> kept_doc_id OR line_no <> kept_line_no").select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -248,6 +248,27 @@ def test_lines_against_brute_force(spark):
     assert linededup.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_large_buckets_in_blocks_and_chains_of_lines(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    chain = [[word() for _ in range(40)]]
+    for k in range(120):  # each line is like the next, not like those farther on
+        chain.append(list(chain[-1]))
+        chain[-1][k % 40] = word()
+    rows = [(k, " ".join(w)) for k, w in enumerate(chain)] + [(1000 + k, f"{' '.join(chain[0])} {k:04d}") for k in range(300)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    a = {tuple(x) for x in linededup.repeated_lines(df).collect()}
+    b = {tuple(x) for x in linededup.repeated_lines(df, bucket=7, broadcast_rows=0).collect()}
+    assert a == b and len(a) >= 0.97 * (len(rows) - 1) and {x for x in a if x[0] >= 1000} == {(1000 + k, 0, 0, 0) for k in range(300)}
+
+
+def test_equal_lines_in_all_rows(spark):
+    df = spark.createDataFrame([(k, f"the same line in all of them\nown {k} {'xyz' * (k % 7)} {k * 7919}") for k in range(2000)], "doc_id long, text string").repartition(7)
+    got = {tuple(x) for x in linededup.repeated_lines(df).collect()}
+    assert {x for x in got if x[1] == 0} == {(k, 0, 0, 0) for k in range(1, 2000)}
+
+
 def test_lines_on_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     want = brute_lines([(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()])
