@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, slices
+from .common import cut, lean, slices
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -157,23 +157,28 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, bits: int = BITS, orders: tuple[int, ...] = ORDERS, text_col: str = "text", label_col: str = "lang") -> Model:
-    """Document frequencies come from all documents. Weights and temperature are fitted to at most rows_per_language labelled rows of each language, those with the smallest content hashes: four in five for the weights, the fifth for the temperature."""
+    """Document frequencies come from all documents. Weights and temperature are fitted to at most rows_per_language labelled rows of each language, those of different texts with the smallest hashes: four in five for the weights, the fifth for the temperature. Rows without a label or words are no examples; copies of one text are one example; a language is any label; texts of any length are read whole; other columns don't matter; without examples the model has one language without a name."""
     src = docs.select(docs[text_col].alias("text"), docs[label_col].cast("string").alias("label"))
     df = document_frequency(src.select("text"), bits, orders).toPandas()
     idf = np.zeros(1 << bits)
     total = int(df.loc[df.bucket == -1, "df"].sum())
     known = df[df.bucket >= 0]
     idf[known.bucket.to_numpy()] = np.log((1 + total) / (1 + known.df.to_numpy())) + 1
-    labelled = src.where("label IS NOT NULL AND length(trim(text)) > 0")
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    labelled = src.where("label IS NOT NULL AND length(trim(text)) > 0").withColumn("h", F.xxhash64("text"))
+    # copies are one row, so that a hot text neither fills the sample nor keeps others out
+    apart = cut(labelled.select("label", "h").distinct(), "labels")
+    counts = {r["label"]: r["n"] for r in apart.groupBy("label").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([""], np.zeros((1 << bits, 1), np.float32), np.zeros(1), 1.0, bits, orders)
-    h = F.xxhash64("text")
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("label") == lang, F.lit(min(1.0, (2 * rows_per_language + 50) / n))).otherwise(share)
-    near = labelled.where(F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)).select("label", "text", h.alias("h"))
+    # at most twice what is wanted lies below a share of the hashes; the smallest of those are taken, or of all where too few do
+    spread = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2 * rows_per_language + 50) / n))))
+    drawn = apart.where(F.pmod("h", F.lit(1 << 30)) < spread[F.col("label")] * (1 << 30))
+    few = [r["label"] for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect() if r["n"] >= min(rows_per_language, counts[r["label"]])]
+    drawn = drawn.where(F.col("label").isin(few)).union(apart.where(~F.col("label").isin(few)))
+    turn_ = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    wanted = drawn.withColumn("k", turn_).where(F.col("k") <= rows_per_language).select("label", "h")
+    near = labelled.join(F.broadcast(wanted), ["label", "h"]).groupBy("label", "h").agg(F.any_value("text").alias("text")).select("label", "text", "h")
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +186,6 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, bits: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in f], pa.list_(pa.int32())), pa.array([x[1] for x in f], pa.list_(pa.float32()))], names=["label", "h", "b", "x"])
 
     got = near.mapInArrow(lean(turn), "label string, h long, b array<int>, x array<float>").toPandas().sort_values(["label", "h"])
-    got = got[got.groupby("label").cumcount() < rows_per_language]
     y = np.array([languages.index(x) for x in got.label])
     rows = [(np.asarray(b), np.asarray(x, np.float64) * idf[np.asarray(b)] * SCALE) for b, x in zip(got.b, got.x)]
     held = got.groupby("label").cumcount().to_numpy() % 5 == 4

@@ -28,6 +28,64 @@ def test_languages_held_out(spark, docs):
     assert np.mean([x.language == x.lang for x in sure]) > 0.98
 
 
+def brute_ftrl(rows, y, classes, buckets, alpha=0.5, beta=1.0, l1=0.02, l2=0.1, epochs=4, seed=7):
+    """Number by number, as the method is published: w from z and n, then gradients, then z and n. The last bucket is the bias, without penalties."""
+    z = [[0.0] * classes for _ in range(buckets + 1)]
+    n = [[0.0] * classes for _ in range(buckets + 1)]
+
+    def w(b, c):
+        pen, ridge = (0.0, 0.0) if b == buckets else (l1, l2)
+        if abs(z[b][c]) <= pen:
+            return 0.0
+        return -(z[b][c] - math.copysign(pen, z[b][c])) / ((beta + math.sqrt(n[b][c])) / alpha + ridge)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            x = [*zip(rows[r][0].tolist(), rows[r][1].tolist()), (buckets, 1.0)]
+            now = {b: [w(b, c) for c in range(classes)] for b, _ in x}
+            s = [sum(v * now[b][c] for b, v in x) for c in range(classes)]
+            e = [math.exp(t - max(s)) for t in s]
+            for b, v in x:
+                for c in range(classes):
+                    g = v * (e[c] / sum(e) - (c == y[r]))
+                    sigma = (math.sqrt(n[b][c] + g * g) - math.sqrt(n[b][c])) / alpha
+                    z[b][c] += g - sigma * now[b][c]
+                    n[b][c] += g * g
+    return np.array([[w(b, c) for c in range(classes)] for b in range(buckets)]), np.array([w(buckets, c) for c in range(classes)])
+
+
+def test_ftrl_against_brute_force():
+    r = np.random.default_rng(8)
+    rows = [(np.sort(r.choice(40, 6, replace=False)).astype(np.int32), r.random(6)) for _ in range(60)]
+    y = np.array([int(b.sum()) % 3 for b, _ in rows])
+    got, want = langid.ftrl(rows, y, 3, 40), brute_ftrl(rows, y, 3, 40)
+    assert np.allclose(got[0], want[0], atol=1e-12) and np.allclose(got[1], want[1], atol=1e-12)
+    heavy = langid.ftrl(rows, y, 3, 40, l1=0.5)
+    assert np.allclose(heavy[0], brute_ftrl(rows, y, 3, 40, l1=0.5)[0], atol=1e-12) and (heavy[0] == 0).any() and (heavy[0] != 0).any()
+
+
+def test_identify_against_brute_force(spark, docs):
+    """The query's answers from a model, text by text."""
+    model = langid.train(docs, rows_per_language=40)
+    text = {x.doc_id: x.text for x in docs.collect()}
+    for x in langid.identify(docs, model).where("doc_id < 120").collect():
+        b, v = langid.features(text[x.doc_id])
+        z = ((model.weights[b].astype(np.float64) * v[:, None]).sum(0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if text[x.doc_id].strip():
+            assert x.language == model.languages[p.argmax()] and x.confidence == pytest.approx(p.max(), abs=1e-4) and x.accepted == (x.confidence >= langid.MIN_CONFIDENCE)
+
+
+def test_copies_are_one_example(spark):
+    rows = [("la le les des", "fr")] * 3000 + [(f"mot {k} de la liste", "fr") for k in range(40)] + [(f"word {k} of the list", "en") for k in range(6)] * 500 + [("", "en"), (None, "de"), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    model = langid.train(df, rows_per_language=30)
+    assert model.languages == ["en", "fr"]
+    got = langid.identify(spark.createDataFrame([(1, "word 99 of the list"), (2, "mot 99 de la liste")], "doc_id long, text string"), model).collect()
+    assert {x.doc_id: x.language for x in got} == {1: "en", 2: "fr"}
+
+
 def test_document_frequency_counts_all(spark, docs):
     some = docs.where("doc_id < 60").select("text")
     want = {}
