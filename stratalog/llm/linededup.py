@@ -201,30 +201,25 @@ def _verify(threshold: float):
     """Edges of the lines of each cell: rows come sorted by cell and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, ready, n = None, {}, [], 0
+        at, own, pairs = None, {}, []
 
-        def settle() -> pa.RecordBatch:
-            """Several cells, whose keys are made in one go."""
-            keys = bands([c[i] for c in ready for i in sorted(c)])
-            ends = np.cumsum([len(c) for c in ready])
-            pairs = [(i, r) for c, e in zip(ready, ends) for i, r in verify(c, threshold, keys[e - len(c) : e]).items() if i != r]
+        def settle() -> None:
+            if len(own) > 1:  # all of them share a band
+                pairs.extend((i, r) for i, r in verify(own, threshold, np.zeros((len(own), 1), np.int64)).items() if i != r)
+
+        def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
         for b in batches:
             for *g, h, t in zip(*(b.column(c).to_pylist() for c in ("c1", "c2", "i", "j", "node", "line"))):
                 if g != at:
-                    if len(own) > 1:
-                        ready.append(own)
-                        n += len(own)
-                    if n > 2000:
-                        yield settle()
-                        ready, n = [], 0
+                    settle()
                     at, own = g, {}
                 own[h] = t
-        if len(own) > 1:
-            ready.append(own)
-        if ready:
-            yield settle()
+            yield out()
+            pairs.clear()
+        settle()
+        yield out()
 
     return run
 
