@@ -37,3 +37,9 @@ def join_path(prefix: Column, name: Column) -> Column:
 def slashes(path: Column) -> Column:
     """Paths use forward slashes already where Spark runs."""
     return path
+
+
+def shown(path: Column) -> Column:
+    """A path as text: itself where it is valid UTF-8, otherwise its bytes in hexadecimal, quoted, so that different paths stay different."""
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.hex(path.cast("binary")), "(..)", "\\\\x$1"), F.lit('"'))
+    return F.when(F.is_valid_utf8(path), path).otherwise(quoted)

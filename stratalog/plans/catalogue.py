@@ -15,6 +15,8 @@ from ..operators import dedup, graph, linediff, moves, treediff
 from ..operators.scan import apply_scanner
 from ..runtime import shared_dir, table
 from ..streaming.incremental import scan_new
+from .fixture import repository
+from .scanner import HistoryScanner
 from .views import COMMITS_SQL, DIFF_SQL, ENTRIES_SQL, MOVES_SQL, OID, commits, entries, nested, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,10 +42,11 @@ def q_blob_oid(spark, d):
     return _docs(spark, d).select("doc_id", blob_oid(F.col("text")).alias("oid"))
 
 
-@query("oid_hex", f"SELECT doc_id, upper({OID}) AS raw, {OID} AS back, ('0x' || substr({OID}, 1, 16))::UBIGINT::VARCHAR AS shard, false AS absent FROM documents")
+@query("oid_hex", f"""SELECT doc_id, upper({OID}) AS raw, {OID} AS back, ('0x' || substr({OID}, 1, 16))::UBIGINT::VARCHAR AS shard, n_chars % 5 < 2 AS absent FROM documents""")
 def q_oid_hex(spark, d):
     oid = blob_oid(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.hex(from_hex(oid)).alias("raw"), to_hex(from_hex(oid)).alias("back"), shard_key(oid).cast("string").alias("shard"), is_absent(oid).alias("absent"))
+    side = F.when(F.col("n_chars") % 5 > 1, oid).when(F.col("n_chars") % 5 == 1, "0" * 40)  # both ways in which a side is missing
+    return _docs(spark, d).select("doc_id", F.hex(from_hex(oid)).alias("raw"), to_hex(from_hex(oid)).alias("back"), shard_key(oid).cast("string").alias("shard"), is_absent(side).alias("absent"))
 
 
 @query("unique_blobs", f"SELECT oid, doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY doc_id) AS rn FROM (SELECT doc_id, source, {OID} AS oid FROM documents)) WHERE rn = 1")
@@ -243,14 +246,25 @@ _ANSWERS = [("large", 1, False, "[File too large to diff: new=60 bytes]"), ("bin
 
 @query("hunk_decision", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}, {str(c).lower()}, '{t}')" for a, b, c, t in _ANSWERS) + ") t(name, start_line, is_binary, payload)")
 def q_hunk_decision(spark, d):
-    rows = [(name, start, binary, b"\n".join(ls).decode().replace("\0", "?").replace("\n", "|")) for name, o, n in _CASES for start, ls, binary in linediff.added_hunks(o if o is None else o.encode(), n if n is None else n.encode(), most=50)]
-    return spark.createDataFrame(rows, "name string, start_line int, is_binary boolean, payload string")
+    rows = spark.createDataFrame(_CASES, "name string, old string, new string")
+    oid = lambda c: F.when(F.col(c).isNotNull(), blob_oid(F.col(c)))
+    pairs = rows.select(F.lit("c").alias("commit"), F.col("name").alias("path"), oid("old").alias("old_oid"), oid("new").alias("new_oid"))
+    texts = rows.select(F.explode(F.array("old", "new")).alias("t")).where("t IS NOT NULL").distinct()
+    found = linediff.hunks(pairs, texts.select(blob_oid(F.col("t")).alias("oid"), F.lit("blob").alias("type"), F.encode("t", "utf-8").alias("data")), most=50)
+    text = F.replace(F.replace(F.decode("payload", "utf-8"), F.lit("\0"), F.lit("?")), F.lit("\n"), F.lit("|"))
+    return found.select(F.col("path").alias("name"), "start_line", "is_binary", text.alias("payload"))
 
 
-@query("binary_test", "SELECT doc_id, doc_id % 7 = 0 AS bin FROM documents")
+#: Every text with a NUL byte at one of these places, where it is long enough; the last two lie beyond what is looked at.
+_NULS = (0, 100, 8191, 8192, 9000)
+
+
+@query("binary_test", f"SELECT doc_id, p AS place, strlen(text) >= p AND p < 8192 AS bin FROM documents, (VALUES {', '.join(f'({p})' for p in _NULS)}) t(p)")
 def q_binary_test(spark, d):
-    data = F.concat(F.encode("text", "utf-8"), F.when(F.col("doc_id") % 7 == 0, F.lit(b"\0")).otherwise(F.lit(b"")))
-    return _docs(spark, d).select("doc_id", is_binary(data, 1 << 24).alias("bin"))
+    data = F.encode("text", "utf-8")
+    docs = _docs(spark, d).select("doc_id", data.alias("data"), F.explode(F.array(*map(F.lit, _NULS))).alias("place"))
+    nul = F.when(F.length("data") >= F.col("place"), F.concat(F.substring("data", F.lit(1), F.col("place")), F.lit(b"\0"), F.substring("data", F.col("place") + 1, F.length("data")))).otherwise(F.col("data"))
+    return docs.select("doc_id", "place", is_binary(nul).alias("bin"))
 
 
 @query("first_parent", f"WITH {COMMITS_SQL} SELECT c.oid, p.oid AS first_parent, CASE WHEN p.oid IS NOT NULL THEN 't' || p.oid END AS old_tree FROM v_commits c LEFT JOIN v_commits p ON p.oid = coalesce(c.p1, c.p2)")
@@ -307,10 +321,12 @@ def q_reverse_index(spark, d):
     return dedup.reverse_index(_index(spark, d))
 
 
-@query("locate_blobs", f'WITH {_INDEX_SQL}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY pack_id, "offset") AS rn FROM idx WHERE pack_id < 3) WHERE rn = 1) SELECT b.blob, f.pack_id, f."offset" FROM (SELECT DISTINCT oid AS blob FROM idx) b LEFT JOIN f ON f.oid = b.blob')
+@query("locate_blobs", f"""WITH {_INDEX_SQL}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY pack_id, "offset") AS rn FROM idx) WHERE rn = 1),
+    b AS (SELECT DISTINCT oid AS blob FROM idx UNION ALL SELECT DISTINCT sha1('loose ' || doc_id) FROM documents) SELECT b.blob, f.pack_id, f."offset" FROM b LEFT JOIN f ON f.oid = b.blob""")
 def q_locate(spark, d):
     i = _index(spark, d)
-    return dedup.disk_order(dedup.locate(i.select(F.col("oid").alias("blob")).distinct(), dedup.first_pack(i.where("pack_id < 3"))), "blob")
+    loose = _docs(spark, d).select(F.sha1(F.concat(F.lit("loose "), F.col("doc_id").cast("string"))).alias("blob")).distinct()
+    return dedup.disk_order(dedup.locate(i.select(F.col("oid").alias("blob")).distinct().union(loose), dedup.first_pack(i)), "blob")
 
 
 _PEOPLE = [
@@ -361,3 +377,45 @@ def q_stream(spark, d):
     rows = stream.select(blob_oid(F.col("text")).alias("blob"), F.col("doc_id").alias("rank"))
     scan_new(rows, f"{at}/seen", f"{at}/checkpoint", lambda df, n: None).awaitTermination()
     return spark.read.parquet(f"{at}/seen").select("blob")
+
+
+def _scanner(spark: SparkSession, d: str, **how) -> HistoryScanner:
+    """Over a repository with the four versions of the listing, made for the query from the whole table."""
+    return HistoryScanner(spark, repository(entries(spark, d).select("ver", "path", "mode", "text")), **how)
+
+
+def _versions(s: HistoryScanner) -> DataFrame:
+    return s.commits().select(F.col("oid").alias("commit"), F.col("committer_ts").alias("ver"))
+
+
+@query("git_objects", f"SELECT DISTINCT {OID} AS oid, 'blob' AS type, strlen(text) AS size FROM documents")
+def q_git_objects(spark, d):
+    return _scanner(spark, d, verify_crc=True, verify_trailers=True).table("objects").where("type = 'blob'").select("oid", "type", "size")
+
+
+@query("git_commits", f"WITH {ENTRIES_SQL}, v AS (SELECT DISTINCT ver FROM v_entries) SELECT ver::BIGINT AS committer_ts, CASE WHEN ver > 0 THEN 1 ELSE 0 END AS n_parents, 'A U Thor' AS author_name, ver::BIGINT AS author_ts, (SELECT max(ver) FROM v) - ver AS visit_rank FROM v")
+def q_git_commits(spark, d):
+    return _scanner(spark, d).commits().select("committer_ts", F.size("parents").alias("n_parents"), "author_name", "author_ts", "visit_rank")
+
+
+@query("git_changes", f"WITH {DIFF_SQL} SELECT commit::BIGINT AS ver, path, old_oid, new_oid, mode FROM diff")
+def q_git_changes(spark, d):
+    s = _scanner(spark, d)
+    return s.changes().join(F.broadcast(_versions(s)), "commit").select("ver", "path", "old_oid", "new_oid", "mode")
+
+
+@query("git_blobs", f"""WITH {DIFF_SQL}, brought AS (SELECT commit AS ver, path, new_oid AS blob FROM diff WHERE (mode & 61440) IN (32768, 40960) AND new_oid IS NOT NULL AND old_oid IS DISTINCT FROM new_oid),
+    f AS (SELECT *, row_number() OVER (PARTITION BY blob ORDER BY ver DESC, path) AS rn FROM brought), n AS (SELECT DISTINCT oid, strlen(text) AS bytes, sha1(text) AS content FROM v_entries)
+    SELECT blob, ver::BIGINT AS ver, path, bytes, content FROM f JOIN n ON n.oid = blob WHERE rn = 1""")
+def q_git_blobs(spark, d):
+    s = _scanner(spark, d)
+    found = s.blob_data().join(F.broadcast(_versions(s)), "commit")
+    return found.select("blob", "ver", "path", F.octet_length("data").cast("long").alias("bytes"), F.sha1("data").alias("content"))
+
+
+@query("git_hunks", _GREEDY_SQL.rpartition("SELECT old_oid, new_oid, min(k)")[0] + f"""SELECT p.commit::BIGINT AS ver, p.path, h.start_line, h.end_line, h.payload FROM pairs p JOIN (
+      SELECT old_oid, new_oid, min(k)::INTEGER AS start_line, max(k)::INTEGER AS end_line, string_agg(line, chr(10) ORDER BY k) AS payload FROM isl GROUP BY old_oid, new_oid, g) h ON h.old_oid = p.old_oid AND h.new_oid = p.new_oid
+    UNION ALL SELECT commit::BIGINT, path, 1, len(l)::INTEGER, array_to_string(l, chr(10)) FROM (SELECT commit, path, {_LINES.format("text")} AS l FROM pairs JOIN txt ON oid = new_oid WHERE old_oid IS NULL) WHERE len(l) > 0""")
+def q_git_hunks(spark, d):
+    s = _scanner(spark, d, mode="hunks")
+    return s.hunks().join(F.broadcast(_versions(s)), "commit").select("ver", "path", "start_line", "end_line", F.decode("payload", "utf-8").alias("payload"))

@@ -8,12 +8,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.headers import HeaderError, when
+from ..functions.modes import shown
 from ..operators import dedup, graph, linediff, moves, treediff
 from ..operators.scan import apply_scanner
 from ..runtime import attach, cut
-from ..sources.gitsource import load
+from ..sources.gitsource import load, merged_index
+from ..sources.located import compared, contents
 
 MODES = ("blob", "hunks")
+PATH_LIMIT = 1 << 20
 
 
 def mode_name(mode) -> str:
@@ -23,14 +27,14 @@ def mode_name(mode) -> str:
 class HistoryScanner:
     """History of the repository at git_dir, which every executor must see at that path.
 
-    Options: skip_merges (hunks only), max_delta_depth, max_delta_object_size (0: no limit), verify_crc, mode.
+    Options: skip_merges (hunks only), max_delta_depth, max_delta_object_size (0: no limit), verify_crc, verify_trailers, mode.
     offset_cache_budget bounds the decoded bases that a task keeps. pair_cache_budget and delta_arena_budget are accepted and do nothing:
     distinct pairs are compared once by a shuffle, and buffers belong to Spark.
     """
 
-    def __init__(self, spark: SparkSession, git_dir: str, mode: str = "blob", skip_merges: bool = False, max_delta_depth: int = 100, max_delta_object_size: int = 512 << 20, verify_crc: bool = False, offset_cache_budget: int = 64 << 20, pair_cache_budget: int | None = None, delta_arena_budget: int | None = None):
+    def __init__(self, spark: SparkSession, git_dir: str, mode: str = "blob", skip_merges: bool = False, max_delta_depth: int = 100, max_delta_object_size: int = 512 << 20, verify_crc: bool = False, verify_trailers: bool = False, offset_cache_budget: int = 64 << 20, pair_cache_budget: int | None = None, delta_arena_budget: int | None = None):
         self.spark, self.dir, self.mode, self.skip_merges = attach(spark), git_dir, mode, skip_merges
-        self.options = {"maxDeltaDepth": max_delta_depth, "maxDeltaObjectSize": max_delta_object_size, "verifyCrc": verify_crc, "offsetCacheBudget": offset_cache_budget}
+        self.options = {"maxDeltaDepth": max_delta_depth, "maxDeltaObjectSize": max_delta_object_size, "verifyCrc": verify_crc, "verifyTrailers": verify_trailers, "offsetCacheBudget": offset_cache_budget}
         self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -71,32 +75,50 @@ class HistoryScanner:
     def tree_entries(self) -> DataFrame:
         return self._once("tree_entries", lambda: self.table("tree_entries"))
 
+    def _changes(self) -> DataFrame:
+        """Changes with paths as bytes: names that aren't UTF-8 stay apart and in their order. Paths beyond PATH_LIMIT fail."""
+        long = F.octet_length("path") > PATH_LIMIT
+        path = F.when(long, F.raise_error(F.concat(F.lit("path too long in "), F.col("commit")))).otherwise(F.col("path"))
+        return self._once("changes", lambda: treediff.tree_diff(self.commits().select(F.col("oid").alias("commit"), "old_tree", F.col("tree_oid").alias("new_tree")), self.tree_entries()).withColumn("path", path))
+
     def changes(self) -> DataFrame:
-        """All first-parent changes of reachable commits."""
-        return self._once("changes", lambda: treediff.tree_diff(self.commits().select(F.col("oid").alias("commit"), "old_tree", F.col("tree_oid").alias("new_tree")), self.tree_entries()))
+        """All first-parent changes of reachable commits. A path that isn't UTF-8 is shown quoted in hexadecimal."""
+        return self._changes().withColumn("path", shown(F.col("path")))
+
+    def index(self) -> DataFrame:
+        """Where each packed object lies, in the first pack that has it."""
+        return self._once("index", lambda: dedup.first_pack(self.table("object_index").select("oid", "pack_id", "offset")))
 
     def blobs(self, seen: DataFrame | None = None) -> DataFrame:
         """(blob, commit, path): each content once, with the first commit in visit order and the first path there that brings it; without those in seen (blob)."""
-        found = treediff.content_changes(self.changes()).join(self.commits().select(F.col("oid").alias("commit"), "visit_rank"), "commit")
+        found = treediff.content_changes(self._changes()).join(self.commits().select(F.col("oid").alias("commit"), "visit_rank"), "commit")
         first = dedup.first_wins(found.select(F.col("new_oid").alias("blob"), "visit_rank", "path", "commit"), "blob", "visit_rank", "path")
-        return dedup.unseen(first, seen).select("blob", "commit", "path")
+        return dedup.unseen(first, seen).select("blob", "commit", shown(F.col("path")).alias("path"))
 
     def blob_data(self, seen: DataFrame | None = None) -> DataFrame:
-        """blobs() with pack_id, offset and data, each pack's rows in a partition of their own in order of their offsets. Objects that aren't blobs are left out."""
-        objects = self.table("objects").where("type = 'blob'").select(F.col("oid").alias("blob"), "pack_id", "offset", "data")
-        return dedup.disk_order(self.blobs(seen).join(objects, "blob"), "blob")
+        """blobs() with pack_id, offset and data, in ranges of packs read forward. Contents are located first: those in seen are never inflated, and none is shuffled. Objects that aren't blobs are left out; a content that is nowhere fails."""
+        return contents(dedup.locate(self.blobs(seen), self.index()), self._reading())
 
-    def pairs(self) -> DataFrame:
-        """(commit, path, old_oid, new_oid) to compare, without exact moves."""
-        found = self.changes()
+    def _reading(self) -> dict:
+        return {"path": self.dir, **({"merged": m} if (m := merged_index(self.spark, self.dir)) else {}), **self.options}
+
+    def _pairs(self) -> DataFrame:
+        found = self._changes()
         if self.skip_merges:
             found = found.join(graph.without_merges(self.commits()).select(F.col("oid").alias("commit")), "commit", "left_semi")
         return moves.suppress_moves(found)
 
+    def pairs(self) -> DataFrame:
+        """(commit, path, old_oid, new_oid) to compare, without exact moves."""
+        return self._pairs().withColumn("path", shown(F.col("path")))
+
     def hunks(self) -> DataFrame:
-        """Blocks of added lines by commit and path, those of one path in order."""
-        blobs = self.table("objects").where("type = 'blob'")
-        return linediff.hunks(self.pairs(), blobs).repartition("commit", "path").sortWithinPartitions("commit", "path", "start_line")
+        """Blocks of added lines by commit and path, those of one path in order. Distinct pairs are located and compared where they are read."""
+        pairs = self._once("pairs", self._pairs)
+        at = lambda s: self.index().select(F.col("oid").alias(f"{s}_oid"), F.col("pack_id").alias(f"{s}_pack"), F.col("offset").alias(f"{s}_offset"))
+        todo = linediff.to_compare(pairs).join(at("new"), "new_oid", "left").join(at("old"), "old_oid", "left")
+        found = linediff.of_pairs(pairs, compared(todo, self._reading()))
+        return found.repartition("commit", "path").sortWithinPartitions("commit", "path", "start_line").withColumn("path", shown(F.col("path")))
 
     def payloads(self, seen: DataFrame | None = None) -> DataFrame:
         """What a scan hands over: (blob, commit, path, payload); blob is NULL for hunks."""
@@ -118,14 +140,12 @@ class HistoryScanner:
         return self.hunks().toLocalIterator()
 
     def metadata(self, oid: str, prefer_committer: bool = False) -> tuple[str, str, datetime]:
-        """Author name, email and time of one commit, read by its id alone. KeyError if it isn't there."""
-        from ..functions.headers import when
-
-        r = self.table("commits").where(F.col("oid") == oid).select("author_name", "author_email", "author_ts", "committer_ts").first()
+        """Author name, email and time of one commit, read by its id alone. KeyError if it isn't there, HeaderError with the kind of fault if its author line is no good."""
+        r = self.table("commits").where(F.col("oid") == oid).select("author_name", "author_email", "author_ts", "committer_ts", "author_error").first()
         if r is None:
             raise KeyError(oid)
-        if r[2] is None:
-            raise ValueError(f"{oid}: no well-formed author")
+        if r[4] is not None:
+            raise HeaderError(r[4])
         return r[0], r[1], when(r[3] if prefer_committer else r[2])
 
     def totals(self, seen: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.content import blob_oid
-from ..runtime import table
+from ..runtime import cut, table
 
 OID = "sha1('blob ' || strlen(text) || chr(0) || text)"
 ENTRIES_SQL = f"""v_entries AS (SELECT (doc_id // 20) % 4 AS ver,
@@ -60,7 +60,7 @@ def commits(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
     p1 = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     own = e.select("event_id", p1.alias("p1"), "event_type", "ts")
-    p = e.select("event_id", "ts").repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("part", F.spark_partition_id())
+    p = cut(e.select("event_id", "ts").repartitionByRange("ts", "event_id").withColumn("part", F.spark_partition_id()), "ranked")  # written, as two branches must see the same parts
     inner = Window.partitionBy("part").orderBy("ts", "event_id")
     p = p.withColumn("prev", F.lag("event_id").over(inner))
     ends = p.groupBy("part").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("end"))

@@ -9,12 +9,12 @@ import os
 import struct
 import zlib
 from bisect import bisect_right
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 
-from ..functions.headers import hash_token
+from ..functions.headers import LIMIT, hash_token
 
 CODES = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
 
@@ -23,10 +23,14 @@ class CorruptError(ValueError):
     pass
 
 
-def inflate(raw: memoryview, size: int) -> bytes:
-    """One zlib stream of exactly size bytes. The header is checked, the Adler-32 sum isn't."""
+def check_zlib(raw: memoryview) -> None:
     if len(raw) < 2 or raw[0] & 15 != 8 or (raw[0] << 8 | raw[1]) % 31 or raw[1] & 32:
         raise CorruptError("bad zlib header")
+
+
+def inflate(raw: memoryview, size: int) -> bytes:
+    """One zlib stream of exactly size bytes. The header is checked, the Adler-32 sum isn't."""
+    check_zlib(raw)
     d = zlib.decompressobj(-15)
     try:
         out = d.decompress(raw[2:], size + 1)
@@ -95,14 +99,14 @@ def apply_delta(base: bytes, delta: bytes, most: int = 512 << 20) -> bytes:
 
 
 class PackIndex:
-    """A version 2 index: ids in order, their CRCs and offsets."""
+    """A version 2 index: ids in order, their CRCs and offsets. The file is mapped; verify: its checksum is compared, which the driver does once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, verify: bool = True):
         with open(path, "rb") as f:
-            raw = f.read()
+            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         if raw[:8] != b"\xfftOc\0\0\0\2" or len(raw) < 8 + 1024 + 40:
             raise CorruptError(f"{path}: not an index of version 2")
-        if hashlib.sha1(raw[:-20]).digest() != raw[-20:]:
+        if verify and hashlib.sha1(memoryview(raw)[:-20]).digest() != raw[-20:]:
             raise CorruptError(f"{path}: checksum")
         fan = np.frombuffer(raw, ">u4", 256, 8)
         if (np.diff(fan.astype(np.int64)) < 0).any():
@@ -110,10 +114,11 @@ class PackIndex:
         n, at = int(fan[-1]), 8 + 1024
         if len(raw) < at + 28 * n + 40:
             raise CorruptError(f"{path}: ends early")
-        self.raw_ids = raw[at : at + 20 * n]
-        self.crcs = np.frombuffer(raw, ">u4", n, at + 20 * n).astype(np.int64)
+        self.ids = np.frombuffer(raw, "S20", n, at)
+        self.raw_ids = memoryview(raw)[at : at + 20 * n]
+        self.crcs = np.frombuffer(raw, ">u4", n, at + 20 * n)
         small = np.frombuffer(raw, ">u4", n, at + 24 * n).astype(np.int64)
-        wide = np.frombuffer(raw[at + 28 * n : -40], ">u8")
+        wide = np.frombuffer(raw, ">u8", (len(raw) - 40 - at - 28 * n) // 8, at + 28 * n)
         big = small >> 31 > 0
         if big.any():
             place = small[big] & 0x7FFFFFFF
@@ -131,17 +136,32 @@ class PackIndex:
         low, high = int(self.fan[key[0] - 1]) if key[0] else 0, int(self.fan[key[0]])
         while low < high:
             mid = (low + high) // 2
-            at = self.raw_ids[20 * mid : 20 * mid + 20]
+            at = bytes(self.raw_ids[20 * mid : 20 * mid + 20])
             if at == key:
                 return mid
             low, high = (mid + 1, high) if at < key else (low, mid)
         return None
 
 
+def merge_indexes(indexes: list[PackIndex]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all packs in order, each once, with the first pack that has it and the entry there."""
+    ids = np.concatenate([x.ids for x in indexes])
+    pack = np.repeat(np.arange(len(indexes), dtype=np.int32), [x.count for x in indexes])
+    entry = np.concatenate([np.arange(x.count, dtype=np.int32) for x in indexes])
+    o = np.argsort(ids, kind="stable")
+    ids = ids[o]
+    first = np.append(True, ids[1:] != ids[:-1]) if len(ids) else np.zeros(0, bool)
+    return ids[first], pack[o][first], entry[o][first]
+
+
 class Repository:
-    """Objects by id: packs in order of their names, first pack first, then loose files."""
+    """Objects by id: packs in order of their names, first pack first, then loose files.
+
+    Several packs have one merged index, made once or mapped from merged (see save_merged), so a lookup is one search however
+    many packs there are. inflated counts the objects of each type that were decompressed.
+    """
 
-    def __init__(self, path: str, max_depth: int = 100, max_delta: int = 512 << 20, verify_crc: bool = False, cache_bytes: int = 64 << 20):
+    def __init__(self, path: str, max_depth: int = 100, max_delta: int = 512 << 20, verify_crc: bool = False, cache_bytes: int = 64 << 20, verify_index: bool = True, verify_trailers: bool = False, merged: str | None = None):
         self.dir = path if os.path.isdir(os.path.join(path, "objects")) else os.path.join(path, ".git")
         if not os.path.isdir(os.path.join(self.dir, "objects")):
             raise FileNotFoundError(f"{path}: no repository")
@@ -153,12 +173,44 @@ class Repository:
         self._ends: dict[int, np.ndarray] = {}
         self._cache: OrderedDict[tuple[int, int], tuple[str, bytes]] = OrderedDict()
         self._cached, self.cache_bytes = 0, cache_bytes
+        self.verify_index, self.verify_trailers, self.inflated = verify_index, verify_trailers, Counter()
+        self._merged = tuple(np.load(f"{merged}-{k}.npy", mmap_mode="r") for k in ("ids", "pack", "entry")) if merged else None
+        self._order: dict[int, np.ndarray] = {}
+        self._kinds: dict[tuple[int, int], str] = {}
 
     def index(self, pack: int) -> PackIndex:
         if pack not in self._index:
-            self._index[pack] = PackIndex(self.packs[pack][:-5] + ".idx")
+            self._index[pack] = PackIndex(self.packs[pack][:-5] + ".idx", self.verify_index)
         return self._index[pack]
 
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self._merged is None:
+            self._merged = merge_indexes([self.index(p) for p in range(len(self.packs))])
+        return self._merged
+
+    def save_merged(self, path: str) -> str:
+        for name, a in zip(("ids", "pack", "entry"), self.merged()):
+            own = f"{path}-{name}-{os.getpid()}.npy"
+            np.save(own, a)
+            os.replace(own, f"{path}-{name}.npy")
+        return path
+
+    def order(self, pack: int) -> np.ndarray:
+        """Entries of a pack in order of their offsets: from its reverse index, or sorted where there is none that fits."""
+        if pack not in self._order:
+            index, got = self.index(pack), None
+            try:
+                with open(self.packs[pack][:-5] + ".rev", "rb") as f:
+                    raw = f.read()
+                if raw[:12] == b"RIDX\0\0\0\1\0\0\0\1" and len(raw) == 12 + 4 * index.count + 40 and hashlib.sha1(raw[:-20]).digest() == raw[-20:]:
+                    got = np.frombuffer(raw, ">u4", index.count, 12).astype(np.int64)
+                    at = index.offsets[got] if len(got) and got.max() < index.count else got[:0]
+                    got = got if len(at) == index.count and (at[1:] > at[:-1]).all() else None
+            except OSError:
+                pass
+            self._order[pack] = index.offsets.argsort(kind="stable") if got is None else got
+        return self._order[pack]
+
     def data(self, pack: int) -> memoryview:
         if pack not in self._map:
             with open(self.packs[pack], "rb") as f:
@@ -166,6 +218,9 @@ class Repository:
             if bytes(raw[:4]) != b"PACK" or struct.unpack(">I", raw[4:8])[0] not in (2, 3) or len(raw) < 32:
                 raise CorruptError(f"{self.packs[pack]}: not a pack")
             self._map[pack] = raw
+            if self.verify_trailers and not self.verify_trailer(pack):
+                del self._map[pack]
+                raise CorruptError(f"{self.packs[pack]}: checksum")
         return self._map[pack]
 
     def verify_trailer(self, pack: int) -> bool:
@@ -175,7 +230,7 @@ class Repository:
     def end(self, pack: int, offset: int) -> int:
         """Where the record at offset ends: the next offset, or the trailer."""
         if pack not in self._ends:
-            self._ends[pack] = np.append(np.sort(self.index(pack).offsets), len(self.data(pack)) - 20)
+            self._ends[pack] = np.append(self.index(pack).offsets[self.order(pack)], len(self.data(pack)) - 20)
         ends = self._ends[pack]
         return int(ends[min(bisect_right(ends, offset), len(ends) - 1)])
 
@@ -184,8 +239,8 @@ class Repository:
         if zlib.crc32(self.data(pack)[at : self.end(pack, at)]) != self.index(pack).crcs[i]:
             raise CorruptError(f"{self.index(pack).oid(i)}: CRC")
 
-    def record(self, pack: int, offset: int) -> tuple[int, object, bytes]:
-        """Type code, base (an offset or an id, for deltas) and inflated content."""
+    def header(self, pack: int, offset: int) -> tuple[int, object, int, int]:
+        """Type code, base (an offset or an id, for deltas), declared size and where the compressed bytes begin."""
         raw = self.data(pack)
         if not 12 <= offset < len(raw) - 20:
             raise CorruptError("offset outside the pack")
@@ -211,10 +266,55 @@ class Repository:
             base, at = bytes(raw[at : at + 20]).hex(), at + 20
         elif code not in CODES:
             raise CorruptError(f"object type {code}")
-        rest = len(raw) - 20 - at
-        if size > 1032 * rest + 64:
+        if size > 1032 * (len(raw) - 20 - at) + 64:
             raise CorruptError("declared size can't be true")
-        return code, base, inflate(raw[at : at + min(rest, self.end(pack, offset) - at + 64)], size)
+        if code not in CODES and self.max_delta and size > 8 * self.max_delta + 32:
+            raise CorruptError("delta too large")
+        return code, base, size, at
+
+    def record(self, pack: int, offset: int) -> tuple[int, object, bytes]:
+        """Type code, base and inflated content."""
+        code, base, size, at = self.header(pack, offset)
+        raw = self.data(pack)
+        self.inflated[CODES.get(code, "delta")] += 1
+        return code, base, inflate(raw[at : at + min(len(raw) - 20 - at, self.end(pack, offset) - at + 64)], size)
+
+    def kind_at(self, pack: int, offset: int) -> str:
+        """The type at an offset, from headers along the chain of deltas; nothing is inflated."""
+        key, visited, known = (pack, offset), [], self._kinds
+        while key not in known:
+            if len(visited) > self.max_depth:
+                raise CorruptError("delta chain too deep or in a circle")
+            visited.append(key)
+            code, base, _, _ = self.header(*key)
+            if code in CODES:
+                known[key] = CODES[code]
+            elif code == 6:
+                key = (key[0], base)
+            elif (at := self.find(base)) is None:
+                known[key] = self.loose(base)[0]
+            else:
+                key = (at[0], int(self.index(at[0]).offsets[at[1]]))
+        if len(known) > 2_000_000:
+            kind = known[key]
+            known.clear()
+            return kind
+        for k in visited:
+            known[k] = known[key]
+        return known[key]
+
+    def commit_head(self, pack: int, offset: int) -> bytes:
+        """The first bytes of a commit, enough for its header or to see that it is too long; a delta is applied first."""
+        code, _, size, at = self.header(pack, offset)
+        if code != 1 or size <= LIMIT:
+            return self.packed(pack, offset)[1]
+        raw = self.data(pack)
+        check_zlib(raw[at:])
+        self.inflated["head"] += 1
+        try:
+            return zlib.decompressobj(-15).decompress(raw[at + 2 : at + 2 + 2 * LIMIT], LIMIT + 1)
+        except zlib.error as e:
+            raise CorruptError(str(e)) from e
 
     def packed(self, pack: int, offset: int) -> tuple[str, bytes]:
         """Type and content at an offset, with deltas applied."""
@@ -254,10 +354,13 @@ class Repository:
             self._cached -= len(self._cache.popitem(last=False)[1][1])
 
     def find(self, oid: str) -> tuple[int, int] | None:
-        for p in range(len(self.packs)):
-            if (i := self.index(p).find(oid)) is not None:
-                return p, i
-        return None
+        if len(self.packs) < 2:
+            i = self.index(0).find(oid) if self.packs else None
+            return None if i is None else (0, i)
+        ids, pack, entry = self.merged()
+        key = bytes.fromhex(oid)
+        i = int(np.searchsorted(ids, np.array(key, "S20")))
+        return (int(pack[i]), int(entry[i])) if i < len(ids) and ids[i] == key.rstrip(b"\0") else None
 
     def loose_ids(self) -> list[str]:
         found = []
@@ -328,8 +431,22 @@ class Repository:
         return [r for r in out + loose + packed if r[1] != "0" * 40]
 
 
-def tree_entries(data: bytes) -> Iterator[tuple[str, int, str]]:
-    """(name, mode, id) of a tree's content."""
+_open: dict[tuple, Repository] = {}
+
+
+def opened(path: str, *how) -> Repository:
+    """A repository that this process keeps open from task to task, as long as its packs are the same."""
+    repo = Repository(path, *how)
+    key = (path, how, tuple((p, (s := os.stat(p)).st_size, s.st_mtime_ns) for p in repo.packs))
+    if key not in _open:
+        if len(_open) > 7:
+            _open.clear()
+        _open[key] = repo
+    return _open[key]
+
+
+def tree_entries(data: bytes) -> Iterator[tuple[bytes, int, str]]:
+    """(name, mode, id) of a tree's content; names are bytes, whatever they mean."""
     if data[:1] == b"\0":
         raise CorruptError("tree begins with NUL")
     at = 0
@@ -343,5 +460,5 @@ def tree_entries(data: bytes) -> Iterator[tuple[str, int, str]]:
         mode = data[at:sp]
         if not mode or not all(48 <= c < 56 for c in mode):
             raise CorruptError("tree mode isn't octal")
-        yield data[sp + 1 : nul].decode("utf-8", "surrogateescape"), int(mode, 8), data[nul + 1 : nul + 21].hex()
+        yield data[sp + 1 : nul], int(mode, 8), data[nul + 1 : nul + 21].hex()
         at = nul + 21

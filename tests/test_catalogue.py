@@ -7,6 +7,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 import pandas as pd
 
+from stratalog.operators import graph
 from stratalog.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -58,10 +59,21 @@ def test_entry_without_the_optional_part(monkeypatch):
 
 
 def test_ranks(spark):
-    dfs = catalogue.QUERIES["dfs_rank"](spark, DATA).toPandas()
-    assert dfs.visit_rank.tolist() == list(range(len(dfs)))
-    topo = catalogue.QUERIES["topo_order"](spark, DATA).toPandas()
-    assert sorted(topo.topo_rank) == list(range(len(topo)))
+    """The whole table's orders, by plain walks over dictionaries."""
+    from stratalog.plans.views import commits
+
+    rows = [(r.oid, list(r.parents), r.committer_ts) for r in commits(spark, DATA).select("oid", "parents", "committer_ts").collect()]
+    dfs = {r.oid: r.visit_rank for r in catalogue.QUERIES["dfs_rank"](spark, DATA).collect()}
+    assert dfs == {o: k for k, o in enumerate(graph.walk({o: p for o, p, _ in rows}, [max(o for o, _, _ in rows)]))}
+    topo = {r.oid: r.topo_rank for r in catalogue.QUERIES["topo_order"](spark, DATA).collect()}
+    left, done, want = {o: (set(p), t) for o, p, t in rows}, set(), []
+    known = set(left)
+    while left:
+        ready = min(((t, o) for o, (p, t) in left.items() if not (p & known) - done), default=None)
+        want.append(ready[1])
+        done.add(ready[1])
+        del left[ready[1]]
+    assert topo == {o: k for k, o in enumerate(want)}
 
 
 def test_crc(spark):

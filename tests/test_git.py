@@ -1,15 +1,21 @@
 """Repositories made with git, read without it, and compared with what git says."""
 
+import hashlib
 import os
+import random
 import shutil
 import struct
 import subprocess
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
+from stratalog.functions import headers
+from stratalog.plans import fixture
 from stratalog.plans.scanner import HistoryScanner
-from stratalog.sources import gitfiles, gitgraph
+from stratalog.sources import gitfiles, gitgraph, gitsource
 from stratalog.sources.gitsource import load
 
 pytestmark = pytest.mark.skipif(not shutil.which("git"), reason="git makes the fixtures")
@@ -263,10 +269,172 @@ def test_summaries_that_git_writes(spark, big, tmp_path):
         gitgraph.multi_pack_index(repo.objects)
 
 
+@pytest.mark.parametrize("table,allowed", [("commits", {"commit", "head", "delta"}), ("tree_entries", {"tree", "delta"}), ("tags", {"tag"}), ("object_index", set())])
+def test_only_what_a_table_needs_is_inflated(big, table, allowed):
+    reader = gitsource.GitReader({"path": big.path, "table": table, "objectsPerTask": "11"})
+    gitfiles._open.clear()
+    rows = [x for p in reader.partitions() for x in reader.read(p)]
+    inflated = reader.repo().inflated
+    assert rows and set(inflated) <= allowed and (table not in ("commits", "tree_entries") or inflated)
+
+
+def test_long_commits_are_read_by_their_heads(tmp_path):
+    r = Repo(tmp_path / "r")
+    oid = r.commit({"a": "1"}, "long message " * 5000)
+    r.git("repack", "-adq", "--depth=0")
+    repo = gitfiles.Repository(r.path)
+    p, i = repo.find(oid)
+    head = repo.commit_head(p, int(repo.index(p).offsets[i]))
+    assert len(head) == 4097 and headers.parse_commit(headers.commit_header(head))[1] == [] and set(repo.inflated) == {"head"}
+
+
+def test_a_type_filter_reaches_the_reader(spark, big):
+    assert [r.type for r in load(spark, big.path, "objects").where("type = 'tag'").collect()] == ["tag"]
+    reader = gitsource.GitReader({"path": big.path, "table": "objects"})
+    assert list(reader.pushFilters([EqualTo(("type",), "tag")])) == []
+    gitfiles._open.clear()
+    assert [x[1] for p in reader.partitions() for x in reader.read(p)] == ["tag"] and set(reader.repo().inflated) <= {"tag"}
+
+
+def test_one_pack_is_scanned_by_many_tasks_and_seen_contents_by_none(spark, big, tmp_path):
+    one = str(tmp_path / "one")
+    shutil.copytree(big.path, one)
+    subprocess.run(["git", "repack", "-adfq"], cwd=one, check=True, capture_output=True)
+    s = HistoryScanner(spark, one)
+    assert len(gitfiles.Repository(one).packs) == 1
+    found = s.blob_data()
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    want = {r.blob: bytes(r.data) for r in found.collect()}
+    assert all(hashlib.sha1(b"blob %d\0" % len(d) + d).hexdigest() == b for b, d in want.items())
+    # damage a content: a scan that has seen it doesn't notice
+    repo = gitfiles.Repository(one)
+    blob = next(b for b in want if repo.header(0, int(repo.index(0).offsets[repo.find(b)[1]]))[0] == 3)
+    at = repo.header(0, int(repo.index(0).offsets[repo.find(blob)[1]]))[3]
+    os.chmod(repo.packs[0], 0o644)
+    with open(repo.packs[0], "r+b") as f:
+        f.seek(at)
+        f.write(b"\xff\xff")
+    with pytest.raises(Exception, match="zlib header"):
+        s.blob_data().collect()
+    rest = {r.blob for r in s.blob_data(spark.createDataFrame([(blob,)], "blob string")).collect()} if not any(repo.record(0, int(repo.index(0).offsets[i]))[1] == repo.index(0).offsets[repo.find(blob)[1]] for i in range(repo.index(0).count) if i != repo.find(blob)[1]) else set(want) - {blob}
+    assert rest == set(want) - {blob}
+
+
+def test_names_are_bytes(spark, tmp_path):
+    r = Repo(tmp_path / "r")
+    names = [os.fsdecode(b"a\xfe"), os.fsdecode(b"a\xff"), "a\u00e9", "d/" + os.fsdecode(b"\xff\xfe")]
+    r.commit({n: "1\n" for n in names})
+    second = r.commit({n: f"2 {k}\n" for k, n in enumerate(names)})
+    s = HistoryScanner(spark, r.path)
+    got = sorted(x.path for x in s.changes().collect() if x.commit == second)
+    assert got == sorted(['"\\x61\\xFE"', '"\\x61\\xFF"', "a\u00e9", '"\\x64\\x2F\\xFF\\xFE"'])
+    hunks = sorted((x.path, x.lines[0]) for x in s.hunks().collect() if x.commit == second)
+    assert [h[1] for h in hunks] == ["2 0", "2 1", "2 3", "2 2"]
+    assert {x.path for x in s.blobs().collect() if x.commit == second} == set(got)
+    assert s.scan(lambda data, meta: [meta["path"]]).count() == s.blobs().count()
+
+
+def test_missing_trees_and_blobs_are_errors(spark, tmp_path):
+    r = Repo(tmp_path / "r")
+    r.commit({"d/f": "1\n"})
+    r.commit({"d/f": "2\n"})
+    blob = r.git("rev-parse", "HEAD:d/f").decode().strip()
+    os.remove(os.path.join(r.path, ".git/objects", blob[:2], blob[2:]))
+    with pytest.raises(Exception, match=f"missing blob {blob}"):
+        HistoryScanner(spark, r.path).blob_data().collect()
+    with pytest.raises(Exception, match=f"missing blob {blob}"):
+        HistoryScanner(spark, r.path).hunks().collect()
+    tree = r.git("rev-parse", "HEAD~1:d").decode().strip()
+    os.remove(os.path.join(r.path, ".git/objects", tree[:2], tree[2:]))
+    with pytest.raises(ValueError, match=f"missing tree {tree}"):
+        HistoryScanner(spark, r.path).changes()
+
+
+def test_empty_trees(spark, tmp_path):
+    r = Repo(tmp_path / "r")
+    r.commit({"f": "1\n"})
+    r.commit({"f": None})
+    r.commit({"g": "2\n"})
+    assert len(HistoryScanner(spark, r.path).changes().collect()) == 3
+
+
+def test_author_faults_are_told_apart(spark, tmp_path):
+    r = Repo(tmp_path / "r")
+    r.commit({"f": "1"})
+    tree = r.git("rev-parse", "HEAD^{tree}").decode().strip()
+    s = HistoryScanner(spark, r.path)
+    for line, kind in (("author A <a", "malformed"), ("author A a>", "no-email"), ("author A <a@b>", "no-timestamp"), ("author A <a@b> soon +0000", "bad-timestamp")):
+        oid = r.git("hash-object", "-t", "commit", "-w", "--stdin", "--literally", data=f"tree {tree}\n{line}\ncommitter C <c@d> 5 +0000\n\nm\n".encode()).decode().strip()
+        with pytest.raises(headers.HeaderError) as e:
+            s.metadata(oid)
+        assert e.value.kind == kind
+
+
+def test_merged_and_reverse_indexes(big, tmp_path):
+    repo = gitfiles.Repository(big.path)
+    at = repo.save_merged(str(tmp_path / "merged"))
+    mapped = gitfiles.Repository(big.path, merged=at)
+    for p in range(2):
+        index = repo.index(p)
+        assert (repo.order(p) == index.offsets.argsort(kind="stable")).all()
+        for i in range(index.count):
+            first = next((q, j) for q in range(2) if (j := repo.index(q).find(index.oid(i))) is not None)
+            assert repo.find(index.oid(i)) == mapped.find(index.oid(i)) == first
+    assert repo.find("0" * 40) is None and mapped.find("f" * 40) is None
+    copy = str(tmp_path / "copy")
+    shutil.copytree(big.path, copy)
+    for damaged in gitfiles.Repository(copy).packs:
+        subprocess.run(["git", "index-pack", "--rev-index", damaged], cwd=copy, capture_output=True)
+        if os.path.exists(rev := damaged[:-5] + ".rev"):
+            os.chmod(rev, 0o644)
+            with open(rev, "r+b") as f:
+                f.seek(14)
+                f.write(b"\x7f\x7f")
+    again = gitfiles.Repository(copy)
+    assert all((again.order(p) == repo.order(p)).all() for p in range(2))
+
+
+def test_trailers_and_large_deltas(spark, big, tmp_path):
+    copy = str(tmp_path / "copy")
+    shutil.copytree(big.path, copy)
+    pack = gitfiles.Repository(copy).packs[0]
+    os.chmod(pack, 0o644)
+    with open(pack, "r+b") as f:
+        f.seek(-20, 2)
+        f.write(bytes(20))
+    assert load(spark, copy, "objects").count()
+    with pytest.raises(Exception, match="checksum"):
+        load(spark, copy, "objects", verifyTrailers=True).count()
+    small = gitfiles.Repository(big.path, max_delta=1)
+    faults = set()
+    for i in range(small.index(0).count):
+        try:
+            small.header(0, int(small.index(0).offsets[i]))
+        except gitfiles.CorruptError as e:
+            faults.add(str(e))
+    assert faults == {"delta too large"}
+
+
+def test_deltas_of_the_fixture():
+    r = random.Random(3)
+    for _ in range(300):
+        base = bytes(r.choice(b"ab") for _ in range(r.randrange(300)))
+        data = base[: r.randrange(len(base) + 1)] + bytes(r.choice(b"abc") for _ in range(r.randrange(300))) + base[r.randrange(len(base) + 1) :]
+        assert gitfiles.apply_delta(base, fixture.delta(base, data)) == data
+
+
+def test_the_fixture_is_a_repository_for_git(spark):
+    rows = [(0, "a/x", 0o100644, "one\n" * 300), (0, "b", 0o120000, "a/x"), (1, "a/x", 0o100644, "one\n" * 299 + "two\n"), (1, "a.b", 0o100755, "")]
+    path = fixture.repository(spark.createDataFrame(rows, "ver long, path string, mode int, text string"))
+    run = lambda *a: subprocess.run(["git", "--git-dir", path, *a], capture_output=True, check=True).stdout.decode()
+    run("fsck", "--full", "--strict")
+    assert run("show", "main:a/x") == rows[2][3] and run("rev-list", "--count", "main").strip() == "2" and "a.b" in run("ls-tree", "-r", "--name-only", "main")
+
+
 def test_tree_parser():
     h = bytes(range(20))
     ok = b"100644 a\0" + h + b"40000 d\0" + h
-    assert list(gitfiles.tree_entries(ok)) == [("a", 0o100644, h.hex()), ("d", 0o40000, h.hex())]
+    assert list(gitfiles.tree_entries(ok)) == [(b"a", 0o100644, h.hex()), (b"d", 0o40000, h.hex())]
     for bad in (b"\0" + ok, ok[:-1], b"10x644 a\0" + h, b"100644a" + h, b"100644 a" + h[1:]):
         with pytest.raises(gitfiles.CorruptError):
             list(gitfiles.tree_entries(bad))
