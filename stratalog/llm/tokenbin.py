@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,7 +62,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
 
     A frame holds one document's ids as little-endian unsigned integers of token_bytes (2, or 4 for vocabularies beyond
     65,536). A shard ends at shard_bytes or with its task's rows. A NULL text or id has no place in a token file and is
-    left out; an empty text is an empty frame; repeated rows each get a frame; other columns don't matter; an empty
+    left out; an empty text is an empty frame; repeated rows each get a frame; a text of any length is one frame; other columns don't matter; an empty
     table gives no shards. No shuffle; the rows go through Spark's commit protocol, so a lost or repeated task leaves
     neither half shards nor doubles. save_shards() writes them as files.
     """
@@ -93,7 +94,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
 
 
 def save_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard to <folder>/<hash of its content>.bin.zst and returns (file, doc_ids, n_tokens). Names follow the content: writing again is harmless."""
+    """Writes each shard to <folder>/<hash of its content>.bin.zst and returns (file, doc_ids, n_tokens). Names follow the content: writing again is harmless. Shards that repeat are one file; no shards, no files; NULLs don't occur in shards; data of any size up to a cell's is written whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -104,9 +105,10 @@ def save_shards(shards: DataFrame, folder: str) -> DataFrame:
             names = []
             for data in b.column("data").to_pylist():
                 names.append(name := f"{xxhash.xxh3_128_hexdigest(data)}.bin.zst")
-                with store.open_output_stream(f"{root}/{name}.{xxhash.xxh32_hexdigest(data)}.part") as f:
+                own = f"{root}/{name}.{uuid.uuid4().hex}.part"  # two attempts of one task don't meet
+                with store.open_output_stream(own) as f:
                     f.write(data)
-                store.move(f"{root}/{name}.{xxhash.xxh32_hexdigest(data)}.part", f"{root}/{name}")
+                store.move(own, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), b.column("doc_ids"), b.column("n_tokens")], names=["file", "doc_ids", "n_tokens"])
 
     return shards.select("doc_ids", "n_tokens", F.col("data")).mapInArrow(lean(run), "file string, doc_ids array<long>, n_tokens array<long>")

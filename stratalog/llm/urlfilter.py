@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -113,9 +114,10 @@ _FITTED: dict[str, tuple[float, bool]] = {
     "win": (0.5, False),
 }
 
-#: term -> (weight, strict). Terms are lower-case ASCII; inside, anything may separate their words.
+#: term -> (weight, strict). Terms are lower-case ASCII letters, digits and hyphens; a hyphen stands for any of SEPARATORS, as they are or percent-encoded.
 VOCABULARY: dict[str, tuple[float, bool]] = {t: (1.0, False) for ts in _SOFT.values() for t in ts.split()} | {t: (5.0, True) for ts in _STRICT.values() for t in ts.split()} | _FITTED
 MIN_SOFT = 2
+SEPARATORS = "%(2d|2e|5f|20|2b|7e)|[_.+~ ]"
 
 _automata: dict = {}
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
@@ -135,9 +137,25 @@ def ascii_lower(url: str) -> str:
     return "".join(c.lower() if c.isascii() else c for c in url) if not url.isascii() else url.lower()
 
 
+def load_vocabulary(path: str) -> dict[str, tuple[float, bool]]:
+    """A vocabulary from a file of lines "term weight strict" or "term weight soft"; blank lines and those that begin with # are passed over."""
+    out = {}
+    with open(path) as f:
+        for line in f:
+            if line.strip() and not line.startswith("#"):
+                term, weight, kind = line.split()
+                if not re.fullmatch("[a-z0-9-]+", term) or kind not in ("strict", "soft"):
+                    raise ValueError(f"{path}: {line.strip()}")
+                out[term] = float(weight), kind == "strict"
+    return out
+
+
+_SEPARATOR = re.compile(SEPARATORS)
+
+
 def judge(url: str, terms: tuple[tuple[str, float, bool], ...]) -> tuple[int, int, int, float]:
     """Strict hits, soft hits, distinct soft terms, and the weight of all hits. A hit has no ASCII letter or digit on either side."""
-    u = ascii_lower(url)
+    u = _SEPARATOR.sub("-", ascii_lower(url))
     strict = soft = 0
     seen, weight = set(), 0.0
     for end, (i, n) in _automaton(terms).iter(u):
@@ -157,7 +175,7 @@ def url_filter(pages: DataFrame, vocabulary: dict[str, tuple[float, bool]] = VOC
 
     Rejected: one strict hit, or min_soft distinct soft terms. Only the two columns are read; others, whatever their
     names, don't matter. A NULL or empty URL has no hits and stays; a NULL id stays NULL; repeated rows are judged
-    one by one; overlapping hits all count; an empty table gives an empty result. The vocabulary travels with
+    one by one; overlapping hits all count; URLs of any length are read whole; an empty table gives an empty result. The vocabulary travels with
     the function: it is a configuration of kilobytes that doesn't grow with the data. No shuffle.
     """
     terms = tuple((t, float(w), bool(s)) for t, (w, s) in sorted(vocabulary.items()))
@@ -180,7 +198,7 @@ def oracle(vocabulary: dict[str, tuple[float, bool]] = VOCABULARY, min_soft: int
     """The same over pages in DuckDB SQL. Separators are doubled, so that neighbouring hits don't share one."""
     rows = ", ".join("('{}', {}, {})".format("".join(c if c in _ALNUM else "\\" + c * 2 if c != "-" else "--" for c in t), w, str(s).lower()) for t, (w, s) in sorted(vocabulary.items()))
     return f"""WITH v(term, weight, strict) AS (VALUES {rows}),
-    u AS (SELECT row_number() OVER () AS rid, page_id, url, regexp_replace(lower(coalesce(url, '')), '([^a-z0-9])', '\\1\\1', 'g') AS s FROM pages),
+    u AS (SELECT row_number() OVER () AS rid, page_id, url, regexp_replace(regexp_replace(lower(coalesce(url, '')), '{SEPARATORS}', '-', 'g'), '([^a-z0-9])', '\\1\\1', 'g') AS s FROM pages),
     h AS (SELECT rid, strict, term, weight, len(regexp_extract_all(s, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)')) AS n FROM u, v),
     g AS (SELECT rid, sum(CASE WHEN strict THEN n ELSE 0 END) AS a, sum(CASE WHEN strict THEN 0 ELSE n END) AS b,
                  sum(CASE WHEN NOT strict AND n > 0 THEN 1 ELSE 0 END) AS c, sum(n * weight) AS w FROM h GROUP BY rid)

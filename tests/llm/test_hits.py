@@ -20,6 +20,8 @@ duckdb = pytest.importorskip("duckdb")
 
 def brute_url(url, voc, min_soft):
     u = urlfilter.ascii_lower(url or "")
+    for x in ("%2d", "%2e", "%5f", "%20", "%2b", "%7e", "_", ".", "+", "~", " "):
+        u = u.replace(x, "-")
     n = {t: len(re.findall(rf"(?<![a-z0-9])(?={re.escape(t)}(?![a-z0-9]))", u)) for t in voc}
     strict = sum(k for t, k in n.items() if voc[t][1])
     soft = sum(k for t, k in n.items() if not voc[t][1])
@@ -40,6 +42,18 @@ def test_urls_against_regular_expressions(spark):
     assert urlfilter.url_filter(df.limit(0)).count() == 0
 
 
+def test_separators_and_a_vocabulary_from_a_file(spark, tmp_path):
+    (tmp_path / "v").write_text("# own terms\nadult-x 5 strict\n\nwin 0.5 soft\nbig 1 soft\n")
+    voc = urlfilter.load_vocabulary(str(tmp_path / "v"))
+    assert voc == {"adult-x": (5.0, True), "win": (0.5, False), "big": (1.0, False)}
+    urls = ["h/adult_x", "h/adult.x", "h/Adult%2Dx", "h/adultx", "h/win+big", "h/winbig", "h/win/win"]
+    got = urlfilter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), voc).collect()
+    assert [x.rejected for x in sorted(got)] == [True, True, True, False, True, False, False]
+    (tmp_path / "v").write_text("Bad! 1 soft\n")
+    with pytest.raises(ValueError):
+        urlfilter.load_vocabulary(str(tmp_path / "v"))
+
+
 def test_urls_against_sql(spark):
     con = duckdb.connect()
     path = f"{DATA}/pages.parquet"
