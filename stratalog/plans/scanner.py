@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -151,7 +152,13 @@ class HistoryScanner:
     def totals(self, seen: DataFrame | None = None) -> DataFrame:
         return dedup.totals(self.blob_data(seen), F.col("data"))
 
+    def report(self, seen: DataFrame | None = None, before: float | None = None) -> dict[str, float]:
+        """A scan's totals, the seconds that it took and what it did in one; with the seconds of another run (before), how many times as fast it was."""
+        began = time.monotonic()
+        r = self.totals(seen).first()
+        took = time.monotonic() - began
+        blobs, size = r["blobs"], r["bytes"] or 0
+        return {"blobs": blobs, "bytes": size, "seconds": took, "blobs_per_second": blobs / took, "bytes_per_second": size / took} | ({} if before is None else {"speed_up": before / took})
+
     def close(self) -> None:
         self._kept.clear()
-
-

@@ -133,6 +133,8 @@ def test_blobs_once_and_the_same_each_time(spark, big):
     data = s.blob_data().collect()
     assert len(data) == len(rows)
     assert s.totals().first().bytes == sum(len(r.data) for r in data)
+    report = s.report(before=1000.0)
+    assert report["blobs"] == len(rows) and report["bytes_per_second"] > 0 and report["speed_up"] > 1
     some = spark.createDataFrame([(b,) for b in list(rows)[:5]], "blob string")
     assert s.blobs(some).count() == len(rows) - 5
 

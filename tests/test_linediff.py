@@ -68,6 +68,22 @@ def test_native_form_agrees(spark):
         assert [i for i, f in enumerate(flags) if f] == slow(rows[k][1], rows[k][2])
 
 
+def test_common_start_changes_nothing():
+    r = random.Random(12)
+    for _ in range(3000):
+        voc = r.choice(["ab", "abc\n", "a\n"])
+        make = lambda n: "".join(r.choice(voc) for _ in range(r.randrange(n))).encode()
+        head = make(40) * r.choice([1, 1, 1, 4000])
+        old, new = head + make(9), head + make(9)
+        assert linediff.greedy_bytes(old, new) == linediff.greedy(linediff.byte_lines(old) if old else [], linediff.byte_lines(new) if new else [])
+    assert linediff.added_hunks(b"a\n" * 9, b"a\n" * 9 + b"b\n") == [(10, [b"b"], False)]
+
+
+def test_the_largest_tier_goes_by_hashes():
+    old, new = b"a\nb\nc\n", b"c\nx\na\ny\n"
+    assert linediff.added_hunks(old, new, small=0, large=1) == linediff.added_hunks(old, new, small=0) == [(2, [b"x"], False), (4, [b"y"], False)]
+
+
 def test_tiers_and_limits():
     old, new = b"a\nb\n" * 3, b"b\na\nc\n"
     assert [s for s, _, _ in linediff.added_hunks(old, new, small=0)] == [3]
