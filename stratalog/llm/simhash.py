@@ -78,35 +78,66 @@ def _anchors() -> tuple[np.ndarray, np.ndarray]:
     return _tables[0], _tables[1]
 
 
-def replicas(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block, (row, anchor, home): a fingerprint's own anchor, and all anchors within the covering radius plus one."""
+def replicas(lo: np.ndarray, hi: np.ndarray, wide: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block, (row, anchor, home): a fingerprint's own anchor, and all anchors within the covering radius plus one.
+
+    wide: half as many blocks of two words each, whose anchors are pairs of codewords; one difference is in one of the two
+    words, so the other keeps its own codeword.
+    """
     home, near = _anchors()
-    for k in range(BLOCKS):
-        part = ((lo if k < 4 else hi) >> (WIDTH * (k % 4)) & ((1 << WIDTH) - 1)).astype(np.int64)
+    words = [((lo if k < 4 else hi) >> (WIDTH * (k % 4)) & ((1 << WIDTH) - 1)).astype(np.int64) for k in range(BLOCKS)]
+
+    def around(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = near[part]
         new = np.ones(n.shape, bool)
         new[:, 1:] = n[:, 1:] != n[:, :-1]
         row, col = np.nonzero(new)
         anchor = n[row, col]
-        yield row, anchor.astype(np.int64) + (k << WIDTH), anchor == home[part[row]]
+        return row, anchor.astype(np.int64), anchor == home[part[row]]
+
+    if not wide:
+        for k, part in enumerate(words):
+            row, anchor, own = around(part)
+            yield row, anchor + (k << WIDTH), own
+        return
+    for k in range(0, BLOCKS, 2):
+        first, second = words[k], words[k + 1]
+        base = (k // 2) << 2 * WIDTH
+        row, anchor, own = around(first)
+        yield row, base + (anchor << WIDTH) + home[second[row]], own
+        row, anchor, own = around(second)
+        row, anchor = row[~own], anchor[~own]
+        yield row, base + (home[first[row]].astype(np.int64) << WIDTH) + anchor, np.zeros(len(row), bool)
+
+
+def _load(wide: bool):
+    """How many rows each anchor gets, and how many of them are at home there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, homes = np.zeros(BLOCKS << WIDTH, np.int64), np.zeros(BLOCKS << WIDTH, np.int64)
 
-def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many rows each anchor gets, and how many of them are at home there."""
-    all_, own = np.zeros(BLOCKS << WIDTH, np.int64), np.zeros(BLOCKS << WIDTH, np.int64)
-    for b in batches:
-        for _, anchor, home in replicas(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))):
-            all_ += np.bincount(anchor, minlength=len(all_))
-            own += np.bincount(anchor[home], minlength=len(own))
-    hit = np.flatnonzero(all_)
-    yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(all_[hit]), pa.array(own[hit])], names=["anchor", "rows", "homes"])
+        def out(anchor: np.ndarray, all_: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(all_), pa.array(own)], names=["anchor", "rows", "homes"])
 
+        for b in batches:
+            for _, anchor, home in replicas(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi")), wide):
+                if wide:
+                    names, at, n = np.unique(anchor, return_inverse=True, return_counts=True)
+                    yield out(names, n, np.bincount(at, weights=home, minlength=len(names)).astype(np.int64))
+                else:
+                    rows += np.bincount(anchor, minlength=len(rows))
+                    homes += np.bincount(anchor[home], minlength=len(rows))
+        hit = np.flatnonzero(rows)
+        yield out(hit, rows[hit], homes[hit])
+
+    return run
 
-def _spread(splits):
+
+def _spread(splits, wide: bool):
     """Rows at their anchors. An anchor that is split is a grid: those at home are told apart in one direction and stand in all cells of the other, all rows as visitors the other way round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splits.value
+        hot, parts = splits.value
         for b in batches:
             lo, hi, i = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "id"))
             salt = (np.bitwise_xor(lo, hi) * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(40)
@@ -115,15 +146,15 @@ def _spread(splits):
                 for s in range(0, len(row), 200_000):
                     x = slice(s, s + 200_000)
                     r = row[x]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[x].astype(np.int32)), pa.array(cell[x].astype(np.int32)), pa.array(home[x]), pa.array(lo[r]), pa.array(hi[r]), pa.array(i[r])], names=["anchor", "cell", "home", "lo", "hi", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[x]), pa.array(cell[x].astype(np.int32)), pa.array(home[x]), pa.array(lo[r]), pa.array(hi[r]), pa.array(i[r])], names=["anchor", "cell", "home", "lo", "hi", "id"])
 
-            for row, anchor, home in replicas(lo, hi):
-                s = split[anchor]
-                one = s == 1
+            for row, anchor, home in replicas(lo, hi, wide):
+                at = np.minimum(np.searchsorted(hot, anchor), max(0, len(hot) - 1))
+                one = hot[at] != anchor if len(hot) else np.ones(len(anchor), bool)
                 yield from out(row[one], anchor[one], home[one], np.zeros(int(one.sum()), np.int64))
                 for k in np.flatnonzero(~one):
-                    n, r = int(s[k]), np.full(int(s[k]), row[k])
-                    mine = int(salt[row[k]] % np.uint64(n))
+                    n = int(parts[at[k]])
+                    r, mine = np.full(n, row[k]), int(salt[row[k]] % np.uint64(n))
                     cells, a = np.arange(n), np.full(n, anchor[k])
                     yield from out(r, a, np.zeros(n, bool), cells * n + mine)
                     if home[k]:
@@ -207,14 +238,17 @@ def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, forest: bool = Fal
     so the two meet and nothing is missed. Rows of an anchor are counted first (two numbers an anchor): one with more
     than comparisons of them is split into a grid of cells, so a hot anchor is no single task. A cell's pairs are
     found and united in pieces, so memory is its rows of 33 bytes. forest: only enough pairs to keep the components.
+
+    A threshold below 8 goes by 4 blocks of 30 bits, of which one has at most one difference: as many replicas, but 2^24 anchors
+    instead of 2^14, so about 1 in 70,000 of all pairs is compared instead of 1 in 34. It is what billions of documents need.
     """
     if threshold >= 2 * BLOCKS:
         raise ValueError(f"anchors guarantee thresholds below {2 * BLOCKS}")
-    split = np.ones(BLOCKS << WIDTH, np.int64)
-    for r in prints.select("lo", "hi").mapInArrow(lean(_load), "anchor int, rows long, homes long").groupBy("anchor").agg((F.sum("rows").cast("double") * F.sum("homes")).alias("w")).where(F.col("w") > comparisons).collect():
-        split[r["anchor"]] = math.ceil(math.sqrt(r["w"] / comparisons))
-    splits = prints.sparkSession.sparkContext.broadcast(split)
-    spread = prints.select("id", "lo", "hi").mapInArrow(lean(_spread(splits)), "anchor int, cell int, home boolean, lo long, hi long, id long")
+    wide = threshold < BLOCKS
+    load = prints.select("lo", "hi").mapInArrow(lean(_load(wide)), "anchor long, rows long, homes long").groupBy("anchor").agg((F.sum("rows").cast("double") * F.sum("homes")).alias("w"))
+    hot = sorted((r["anchor"], math.ceil(math.sqrt(r["w"] / comparisons))) for r in load.where(F.col("w") > comparisons).collect())
+    splits = prints.sparkSession.sparkContext.broadcast((np.array([a for a, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)))
+    spread = prints.select("id", "lo", "hi").mapInArrow(lean(_spread(splits, wide)), "anchor long, cell int, home boolean, lo long, hi long, id long")
     return spread.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(lean(_compare(threshold, forest)), "a long, b long, distance int")
 
 

@@ -159,6 +159,23 @@ def test_near_pairs_miss_nothing(spark):
         simhash.near_pairs(df, threshold=16)
 
 
+def test_wide_blocks_miss_nothing(spark):
+    r = random.Random(12)
+    prints = []
+    for _ in range(25):
+        base = r.getrandbits(120)
+        prints += [base ^ sum(1 << b for b in r.sample(range(120), r.randrange(9))) for _ in range(12)]
+    prints = list(set(prints))
+    want = {(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 7}
+    df = spark.createDataFrame([(k, x & (1 << 60) - 1, x >> 60) for k, x in enumerate(prints)], "id long, lo long, hi long").repartition(3)
+    for how in ({}, {"comparisons": 40}):
+        got = simhash.near_pairs(df, threshold=7, **how).collect()
+        assert {(max(x.a, x.b), min(x.a, x.b)) for x in got} == want and len(want) > 300
+    lo, hi = np.array([x & (1 << 60) - 1 for x in prints]), np.array([x >> 60 for x in prints])
+    every = [(int(i), int(a), bool(h)) for row, anchor, home in simhash.replicas(lo, hi, True) for i, a, h in zip(row, anchor, home)]
+    assert len(every) == len({x[:2] for x in every}) and sum(x[2] for x in every) == 4 * len(prints)
+
+
 def test_a_hot_anchor_is_split_and_misses_nothing(spark):
     r = random.Random(8)
     base = r.getrandbits(120)
