@@ -355,7 +355,18 @@ def q_author_parse(spark, d):
     return a.select("name", F.col("a.name").alias("author_name"), "a.email", "a.epoch", "a.error")
 
 
-@query("crc_of_blob")
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+@query("crc_of_blob", f"""WITH t AS (SELECT {_crc_table()}::BIGINT[] AS tab), h AS (SELECT doc_id, hex(encode(text)) AS x, strlen(text) AS n FROM documents),
+    b AS (SELECT doc_id, [4294967295::BIGINT] || list_transform(range(n), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS l FROM h)
+    SELECT doc_id, xor(list_reduce(l, lambda c, v: xor(c >> 8, tab[(xor(c, v) & 255) + 1])), 4294967295) AS crc FROM b, t""")
 def q_crc(spark, d):
     return _docs(spark, d).select("doc_id", F.crc32(F.encode("text", "utf-8")).alias("crc"))
 
