@@ -75,6 +75,17 @@ def components(edges: DataFrame, one_task: int = 1_500_000) -> DataFrame:
     return e.select(F.col("b").alias("id"), F.col("a").alias("root")).union(e.select(F.col("a").alias("id"), F.col("a").alias("root"))).distinct()
 
 
+#: Bytes for each core below which a table's files may be too few to keep all cores busy.
+ROOMY_BYTES = 2 << 20
+
+
+def roomy(df: DataFrame) -> DataFrame:
+    """A small table spread over all cores, as its few files or row groups would leave most of them idle; larger ones as they are. Only the layout differs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * ROOMY_BYTES else df
+
+
 #: Bits of a sieve at most: 32 MB, whatever goes into it.
 SIEVE_BITS = 28
 
@@ -194,4 +205,4 @@ def word_codes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return idx[spread(start[code], each)], count, names
 
 
-__all__ = ["Memo", "chunks", "components", "cut", "labels_of", "lean", "pieces", "shared_dir", "sieve_of", "sieved", "slices", "spread", "strings", "word_codes", "words"]
+__all__ = ["Memo", "chunks", "components", "cut", "labels_of", "lean", "pieces", "roomy", "shared_dir", "sieve_of", "sieved", "slices", "spread", "strings", "word_codes", "words"]

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, lean, sieve_of, sieved, slices, spread, word_codes, words
+from .common import Memo, cut, lean, roomy, sieve_of, sieved, slices, spread, word_codes, words
 
 #: A tile has at least this many words; a seed has exactly as many. An item with fewer words is a seed of its own.
 MIN_MATCH = 5
@@ -242,7 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverag
     of documents that repeat are reported each; texts of any length are read whole, repetitive ones in time that grows with
     their length and not with the number of matches; other columns don't matter; empty tables give an empty result.
     """
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    src = roomy(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL"))
     tests = _items(benchmark, item_id, item_text).distinct()
     if tests.agg(F.coalesce(F.sum(F.octet_length("item_text") + 16), F.lit(0))).first()[0] <= broadcast_bytes:
         rows = sorted((r[0], r[1]) for r in tests.collect())

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, shared_dir, slices, word_codes
+from .common import cut, lean, roomy, shared_dir, slices, word_codes
 
 log = logging.getLogger(__name__)
 
@@ -407,7 +407,7 @@ def _folder(docs: DataFrame) -> str:
 
 def encoded(docs: DataFrame, text_col: str = "text", id_col: str | None = None) -> DataFrame:
     """All texts, tokenised once and written: a row for each piece of a task, with the hashes and numbers (c) of its words, the texts' words as places among these, each text's number of words, and which are NULL; names are the ids, if wanted."""
-    src = docs.select(docs[text_col].alias("text"), *([docs[id_col].alias("name")] if id_col else []))
+    src = roomy(docs.select(docs[text_col].alias("text"), *([docs[id_col].alias("name")] if id_col else [])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, slices
+from .common import cut, lean, roomy, slices
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -158,7 +158,7 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, bits: int = BITS, orders: tuple[int, ...] = ORDERS, text_col: str = "text", label_col: str = "lang") -> Model:
     """Document frequencies come from all documents. Weights and temperature are fitted to at most rows_per_language labelled rows of each language, those of different texts with the smallest hashes: four in five for the weights, the fifth for the temperature. Rows without a label or words are no examples; copies of one text are one example; a language is any label; texts of any length are read whole; other columns don't matter; without examples the model has one language without a name."""
-    src = docs.select(docs[text_col].alias("text"), docs[label_col].cast("string").alias("label"))
+    src = roomy(docs.select(docs[text_col].alias("text"), docs[label_col].cast("string").alias("label")))
     df = document_frequency(src.select("text"), bits, orders).toPandas()
     idf = np.zeros(1 << bits)
     total = int(df.loc[df.bucket == -1, "df"].sum())
@@ -213,9 +213,9 @@ def identify(docs: DataFrame, model: Model, min_confidence: float = MIN_CONFIDEN
     A NULL, empty or blank text has language NULL, confidence 0 and isn't accepted; otherwise accepted means a calibrated
     probability of at least min_confidence. Ties go to the language that sorts first. Ids may be NULL or repeat; other
     columns don't matter; whole texts are read; an empty table gives an empty result. The model (2^bits x languages
-    floats, a size of its own) is broadcast. No shuffle.
+    floats, a size of its own) is broadcast. No shuffle, but of tables too small for the cores.
     """
-    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    src = roomy(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, lean, sieve_of, sieved, slices
+from .common import chunks, components, cut, lean, roomy, sieve_of, sieved, slices
 
 SHINGLE = 6
 THRESHOLD = 0.8
@@ -276,7 +276,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     gives an empty result.
     """
     spark = docs.sparkSession
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    src = roomy(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL"))
 
     def sized(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= broadcast_rows else df

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, labels_of, lean, slices, spread, word_codes
+from .common import components, cut, labels_of, lean, roomy, slices, spread, word_codes
 
 #: A fingerprint is BLOCKS blocks of 15 bits, in two longs.
 BLOCKS, WIDTH = 8, 15
@@ -254,7 +254,7 @@ def near_pairs(prints: DataFrame, threshold: int = THRESHOLD, forest: bool = Fal
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lo, hi) of rows with an id and at least one word."""
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    src = roomy(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

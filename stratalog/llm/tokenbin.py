@@ -66,7 +66,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     table gives no shards. No shuffle; the rows go through Spark's commit protocol, so a lost or repeated task leaves
     neither half shards nor doubles. save_shards() writes them as files.
     """
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")  # in its order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, zstd = encoder(vocabulary, pattern), zstandard.ZstdCompressor(level=level, write_content_size=True)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, lean, pieces, slices, spread
+from .common import Memo, lean, pieces, roomy, slices, spread
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -159,9 +159,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     vocabulary: a file of base64 tokens and ranks, at the same path on every executor. NULL text counts NULL, empty
     text 0; ids may be NULL or repeat; other columns don't matter; an empty table gives an empty result. Whole texts
     of any length. The proof is made before the job, on the driver, and sent along: less than a megabyte for 50,000 tokens, and
-    no larger than the vocabulary file. No shuffle: each task reads two columns and writes two numbers a row.
+    no larger than the vocabulary file. No shuffle, but of tables too small for the cores: each task reads two columns and writes two numbers a row.
     """
-    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    src = roomy(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(proven(vocabulary, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
