@@ -390,9 +390,15 @@ def q_stream(spark, d):
     return spark.read.parquet(f"{at}/seen").select("blob")
 
 
+_repositories: dict[tuple[str, str], str] = {}
+
+
 def _scanner(spark: SparkSession, d: str, **how) -> HistoryScanner:
-    """Over a repository with the four versions of the listing, made for the query from the whole table."""
-    return HistoryScanner(spark, repository(entries(spark, d).select("ver", "path", "mode", "text")), **how)
+    """Over a repository with the four versions of the listing, made from the whole table, once for the session's queries."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _repositories:
+        _repositories[key] = repository(entries(spark, d).select("ver", "path", "mode", "text"))
+    return HistoryScanner(spark, _repositories[key], **how)
 
 
 def _versions(s: HistoryScanner) -> DataFrame:

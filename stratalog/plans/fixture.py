@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import struct
 import uuid
@@ -111,9 +112,10 @@ def repository(entries: DataFrame) -> str:
         raise ValueError("the repository is read as files: spark.checkpoint.dir must be a mounted folder (file://)")
     path = f"{root.removeprefix('file://')}/repository-{uuid.uuid4().hex}"
     pack, parent, last = Pack(), None, {}
-    for ver in [r[0] for r in entries.select("ver").distinct().orderBy("ver").collect()]:
+    rows = entries.select("ver", "path", "mode", "text").orderBy("ver", "path").toArrow()
+    for ver, group in itertools.groupby(zip(*(rows[c].to_pylist() for c in ("ver", "path", "mode", "text"))), key=lambda r: r[0]):
         files: dict = {}
-        for p, mode, text in entries.where(entries["ver"] == ver).select("path", "mode", "text").toLocalIterator():
+        for _, p, mode, text in group:
             data = text.encode()
             oid = pack.add("blob", data, last.get(p))
             last[p] = oid, data
