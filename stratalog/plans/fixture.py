@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import os
 import struct
 import uuid
@@ -70,60 +69,68 @@ def delta(base: bytes, data: bytes) -> bytes:
 
 
 class Pack:
-    def __init__(self):
-        self.body, self.at, self.crc = bytearray(b"PACK\0\0\0\2\0\0\0\0"), {}, {}
+    """Written to its folder as objects come; only ids, places and checksums stay in memory."""
+
+    def __init__(self, folder: str):
+        os.makedirs(folder, exist_ok=True)
+        self.folder, self.at, self.crc, self.size = folder, {}, {}, 12
+        self.body = open(f"{folder}/tmp_pack", "w+b")
+        self.body.write(b"PACK\0\0\0\2\0\0\0\0")
 
     def add(self, kind: str, data: bytes, base: tuple[str, bytes] | None = None) -> str:
         """The object's id; base: (id, content) of one of the pack to make a delta from."""
         oid = hashlib.sha1(b"%s %d\0" % (kind.encode(), len(data)) + data).hexdigest()
         if oid not in self.at:
-            start = len(self.body)
             if base and base[0] in self.at:
                 d = delta(base[1], data)
-                rec = _size(6, len(d)) + _back(start - self.at[base[0]]) + zlib.compress(d, 1)
+                rec = _size(6, len(d)) + _back(self.size - self.at[base[0]]) + zlib.compress(d, 1)
             else:
                 rec = _size(CODE[kind], len(data)) + zlib.compress(data, 1)
-            self.at[oid], self.crc[oid] = start, zlib.crc32(rec)
-            self.body += rec
+            self.at[oid], self.crc[oid] = self.size, zlib.crc32(rec)
+            self.size += self.body.write(rec)
         return oid
 
-    def write(self, folder: str) -> None:
-        os.makedirs(folder, exist_ok=True)
-        self.body[8:12] = struct.pack(">I", len(self.at))
-        total = hashlib.sha1(self.body).digest()
+    def close(self) -> None:
+        """Counts the objects, adds the trailer and writes the index."""
+        self.body.seek(8)
+        self.body.write(struct.pack(">I", len(self.at)))
+        self.body.seek(0)
+        total = hashlib.file_digest(self.body, "sha1").digest()
+        self.body.seek(0, os.SEEK_END)
+        self.body.write(total)
+        self.body.close()
         ids = sorted(self.at)
         first = np.array([int(i[:2], 16) for i in ids], np.int64)
         fan = np.cumsum(np.bincount(first, minlength=256)).astype(">u4").tobytes()
         index = b"\xfftOc\0\0\0\2" + fan + bytes.fromhex("".join(ids)) + b"".join(struct.pack(">I", self.crc[i]) for i in ids) + b"".join(struct.pack(">I", self.at[i]) for i in ids) + total
-        name = f"{folder}/pack-{total.hex()}"
-        for end, data in ((".pack", bytes(self.body) + total), (".idx", index + hashlib.sha1(index).digest())):
-            with open(name + end, "wb") as f:
-                f.write(data)
+        name = f"{self.folder}/pack-{total.hex()}"
+        os.rename(f"{self.folder}/tmp_pack", f"{name}.pack")
+        with open(f"{name}.idx", "wb") as f:
+            f.write(index + hashlib.sha1(index).digest())
 
 
 def repository(entries: DataFrame) -> str:
     """A repository with one commit for each version of entries (ver, path, mode, text), each the child of the one before; its committer time is the version.
 
-    Trees and contents go through the driver: it is meant for the tables at hand, not for large ones.
+    Contents go through the driver a path at a time, its versions in order, so that each is a delta of the one before; ids and
+    names of all stay in memory: it is meant for the tables at hand, not for large ones.
     """
     spark = entries.sparkSession
     root = shared_dir(spark)
     if "://" in root and not root.startswith("file://"):
         raise ValueError("the repository is read as files: spark.checkpoint.dir must be a mounted folder (file://)")
     path = f"{root.removeprefix('file://')}/repository-{uuid.uuid4().hex}"
-    pack, parent, last = Pack(), None, {}
-    rows = entries.select("ver", "path", "mode", "text").orderBy("ver", "path").toArrow()
-    for ver, group in itertools.groupby(zip(*(rows[c].to_pylist() for c in ("ver", "path", "mode", "text"))), key=lambda r: r[0]):
-        files: dict = {}
-        for _, p, mode, text in group:
-            data = text.encode()
-            oid = pack.add("blob", data, last.get(p))
-            last[p] = oid, data
-            at = files
-            *dirs, name = p.split("/")
-            for d in dirs:
-                at = at.setdefault(d, {})
-            at[name] = mode, oid
+    pack, parent, versions, base = Pack(f"{path}/objects/pack"), None, {}, (None, None)
+    for ver, p, mode, text in entries.select("ver", "path", "mode", "text").orderBy("path", "ver").toLocalIterator():
+        data = text.encode()
+        oid = pack.add("blob", data, base[1] if base[0] == p else None)
+        base = p, (oid, data)
+        at = versions.setdefault(ver, {})
+        *dirs, name = p.split("/")
+        for d in dirs:
+            at = at.setdefault(d, {})
+        at[name] = mode, oid
+    for ver, files in sorted(versions.items()):
 
         def tree(d: dict) -> str:
             rows = []
@@ -134,7 +141,7 @@ def repository(entries: DataFrame) -> str:
 
         head = f"tree {tree(files)}\n" + (f"parent {parent}\n" if parent else "")
         parent = pack.add("commit", f"{head}author A U Thor <a@example.org> {ver} +0000\ncommitter C <c@example.org> {ver} +0000\n\nversion {ver}\n".encode())
-    pack.write(f"{path}/objects/pack")
+    pack.close()
     os.makedirs(f"{path}/refs/heads")
     if parent:
         with open(f"{path}/refs/heads/main", "w") as f:
