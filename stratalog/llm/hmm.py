@@ -150,6 +150,10 @@ SCALED = 8
 LONG = 2048
 
 
+#: Rows of encoded() are of some MB: row groups end as soon as they have so many bytes, as writers and readers hold one whole.
+ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
+
+
 class Lanes:
     """Sequences (n symbols each, one after the other in obs) side by side: a column for each symbol, ordered by time, the longest sequences first."""
 
@@ -347,6 +351,37 @@ def _blobs(piece: np.ndarray, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(piece[cuts].astype(np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], names=["piece", "h", "c"])
 
 
+def _gather(folder: str, at: int, states: int):
+    """Adds up what tasks sent for the pieces of a partition, row by row, and saves each piece: memory is that of these pieces, however many tasks send. Round 0 brings each hash once. Rows (k, sums) are as in fit()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few, new, own = np.zeros((states + 4, states)), {}, {}
+        for b in batches:
+            for p, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                h, c = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer()).reshape(-1, states)
+                if p < 0:
+                    few[h] += c
+                elif not at:
+                    new.setdefault(p, []).append((h.copy(), c.copy()))
+                else:
+                    if p not in own:
+                        keys = np.load(f"{folder}/{p}.npy", mmap_mode="r")
+                        own[p] = keys, np.zeros((len(keys), states))
+                    keys, sums = own[p]
+                    sums[np.searchsorted(keys, h)] += c  # a row has each hash once
+        for p, got in new.items():
+            h = np.concatenate([x for x, _ in got])
+            order = np.argsort(h)
+            _save(f"{folder}/{p}.npy", h[order])
+            own[p] = None, np.concatenate([x for _, x in got])[order]
+        for p, (_, sums) in own.items():
+            _save(f"{folder}/{p}-{at}.npy", sums)
+            few[states + 3] += sums.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(states + 4)), *(pa.array(np.ascontiguousarray(few[:, i])) for i in range(states))], names=["k", *(f"c{i}" for i in range(states))])
+
+    return run
+
+
 def begun(texts: list[str], states: int, smooth: float, seeds: tuple[int, ...] = (11, 12, 13), tolerance: float = 1e-4, tried: int = 15, least: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """States from some texts, trained until they settle, from the best of some random beginnings: starts, moves, hashes of words seen twice (sorted), each one's shares of the states, and those of all other words."""
     code, n, names = word_codes(pa.array(texts, pa.string()))
@@ -422,7 +457,7 @@ def encoded(docs: DataFrame, text_col: str = "text", id_col: str | None = None)
                 yield pa.RecordBatch.from_arrays(lists, names=["h", "c", "obs", "n", "null", *(["names"] if id_col else [])])
 
     kind = f", names array<{src.schema['name'].dataType.simpleString()}>" if id_col else ""
-    return cut(src.mapInArrow(lean(run), f"h array<long>, c array<long>, obs array<int>, n array<int>, null array<boolean>{kind}"), "coded")
+    return cut(src.mapInArrow(lean(run), f"h array<long>, c array<long>, obs array<int>, n array<int>, null array<boolean>{kind}"), "coded", **ROW_GROUPS)
 
 
 def _hash_totals(coded: DataFrame) -> DataFrame:
@@ -499,23 +534,10 @@ def fit(coded: DataFrame, texts: DataFrame, states: int = STATES, rounds: int |
                 by = factors(h, states)
             yield _blobs(h & (pieces - 1), h, b.column(1).to_numpy()[:, None] * by)
 
-    def gather(at: int):
-        def run(group: pa.Table) -> pa.Table:
-            h, c = _added([np.frombuffer(x, np.int64) for x in group["h"].to_pylist()], [np.frombuffer(x).reshape(-1, states) for x in group["c"].to_pylist()])
-            p = group["piece"][0].as_py()
-            if p >= 0:
-                if not at:
-                    _save(f"{folder}/{p}.npy", h)
-                _save(f"{folder}/{p}-{at}.npy", c)
-                h, c = np.array([states + 3]), c.sum(0)[None]
-            return pa.table([pa.array(h), *(pa.array(c[:, i]) for i in range(states))], names=["k", *(f"c{i}" for i in range(states))])
-
-        return run
-
     def gathered(rows: DataFrame, at: int) -> np.ndarray:
         """By row: starts, moves, symbol 0, log-likelihood, all own symbols."""
         out = np.zeros((states + 4, states))
-        for x in rows.groupBy("piece").applyInArrow(gather(at), "k long, " + ", ".join(f"c{i} double" for i in range(states))).collect():
+        for x in rows.repartition("piece").mapInArrow(lean(_gather(folder, at, states)), "k long, " + ", ".join(f"c{i} double" for i in range(states))).collect():
             out[x.k] += x[1:]
         return out
 

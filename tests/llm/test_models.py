@@ -1,5 +1,6 @@
 """Language ID and the hidden Markov model."""
 
+import tracemalloc
 import itertools
 import math
 
@@ -256,3 +257,39 @@ def test_training_goes_on_until_rounds_gain_little(spark):
     m = hmm.train(df, states=2)
     got = hmm.score(df, m).agg({"log_likelihood": "sum"}).first()[0] / (400 * 60)
     assert got > -math.log(20) - 0.05  # word order counts: shares alone give -log(40)
+
+
+def test_counts_of_a_piece_are_added_up_row_by_row(tmp_path):
+    keys, tasks = np.arange(0, 6000, 2, dtype=np.int64), 400
+    got = {}
+
+    def sent(at):
+        for t in range(tasks if at else 1):
+            h = keys if not at else np.sort(np.random.default_rng(t).choice(keys, 1500, False))
+            c = np.full((len(h), 2), 1.0 + t)
+            if at:
+                np.add.at(got.setdefault("sum", np.zeros((6000, 2))), h, c)
+            few = np.arange(3), np.ones((3, 2))
+            yield pa.RecordBatch.from_arrays([pa.array([0, -1 - t % 3]), pa.array([h[::-1].tobytes() if not at else h.tobytes(), few[0].tobytes()], pa.binary()), pa.array([c.tobytes(), few[1].tobytes()], pa.binary())], names=["piece", "h", "c"])
+
+    for at in (0, 1):
+        tracemalloc.start()
+        base = pa.total_allocated_bytes()
+        most, rows = 0, []
+
+        def watched():
+            nonlocal most
+            for b in sent(at):
+                most = max(most, pa.total_allocated_bytes() - base)
+                yield b
+
+        for b in hmm._gather(str(tmp_path), at, 2)(watched()):
+            rows += b.to_pylist()
+        most += tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert not at or most < 1_500_000  # all rows of round 1 together have 14 MB; round 0 imports what is missing
+    assert (np.load(tmp_path / "0.npy") == keys).all() and np.allclose(np.load(tmp_path / "0-1.npy"), got["sum"][keys])
+    total = np.zeros((6, 2))
+    for x in rows:
+        total[x["k"]] += x["c0"], x["c1"]
+    assert (total[:3] == tasks).all() and np.allclose(total[5], got["sum"].sum(0)) and (total[3:5] == 0).all()
