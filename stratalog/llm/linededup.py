@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, components, cut, lean, roomy, sieve_of, sieved, slices
@@ -18,6 +18,8 @@ THRESHOLD = 0.8
 #: Lines with Jaccard 0.8 share one of 7 bands of 4 with probability 0.975, with 0.9 almost surely.
 BANDS, ROWS = 7, 4
 BROADCAST_ROWS = 1_000_000
+#: Share of the driver's heap that the rows of one broadcast may take there, and bytes of a row, which is collected, put into a relation and serialised; several broadcasts are there at once.
+BROADCAST_SHARE, BROADCAST_ROW = 1 / 16, 250
 #: Nodes of a bucket beyond which it is cut into blocks.
 BUCKET = 4096
 #: Lines of a bucket that are compared at once.
@@ -263,6 +265,11 @@ def cells_of(keyed: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return small.union(big.select(F.col("key").alias("c1"), F.lit(0).cast("long").alias("c2"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node"))
 
 
+def _light(spark: SparkSession, rows: int) -> bool:
+    """Whether the driver's heap can hold so many rows for a broadcast."""
+    return rows * BROADCAST_ROW <= spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() * BROADCAST_SHARE
+
+
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no) for each line that goes, with the line that stays for it.
 
@@ -271,7 +278,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     line with the smallest (doc_id, line_no) stays. Hashes and band keys are shuffled once a line and task, then once a
     node; only nodes that share a band have a text moved, that of their first line, found through a sieve of 32 MB at most.
     Comparison is by bucket, and large buckets by pairs of blocks; union-find joins what was found. Tables of up to broadcast_rows rows
-    are broadcast, others joined by shuffle. A NULL id or text gives no lines; rows that repeat an id are one document, the first of equal
+    that are small beside the driver's heap are broadcast, others joined by shuffle. A NULL id or text gives no lines; rows that repeat an id are one document, the first of equal
     (doc_id, line_no) lines stays as one; other columns don't matter; very long lines are compared whole; an empty table
     gives an empty result.
     """
@@ -279,7 +286,8 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     src = roomy(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL"))
 
     def sized(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= broadcast_rows else df
+        rows = df.count()
+        return F.broadcast(df) if rows <= broadcast_rows and _light(spark, rows) else df
 
     lines = cut(src.mapInArrow(lean(_list_lines), "h1 long, h2 long, doc_id long, line_no int, " + ", ".join(f"{c} long" for c in _BAND_NAMES)), "lines")
     one = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.max(c).alias(c) for c in _BAND_NAMES))

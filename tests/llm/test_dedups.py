@@ -291,3 +291,14 @@ def test_lines_on_documents(spark):
     want = brute_lines([(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()])
     got = {tuple(x) for x in linededup.repeated_lines(docs).collect()}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def test_line_dedup_broadcasts_only_what_the_drivers_heap_can_hold(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"the same line of words in {i % 7} places\nand another of document {i}") for i in range(40)], "doc_id long, text string")
+    broadcast = lambda out: "strategy=broadcast" in out._jdf.queryExecution().logical().toString()
+    a = linededup.repeated_lines(df)
+    assert broadcast(a)
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    monkeypatch.setattr(linededup, "BROADCAST_ROW", heap, raising=False)  # as if rows were many
+    b = linededup.repeated_lines(df)
+    assert not broadcast(b) and sorted(a.collect()) == sorted(b.collect()) and a.count() > 0
