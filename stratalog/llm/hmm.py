@@ -234,24 +234,21 @@ def expected_counts(model: Model, obs: np.ndarray, n: np.ndarray, held: int = HE
         a, c = lanes.forward(t0, t1, before, e)
         if one:
             total = float(np.log(c).sum())
-        b = np.ones_like(a)
         live = lanes.live[t0:t1]
-        if after is not None:
-            k = after.shape[1]
-            moves += a[:, a.shape[1] - int(live[-1]) :][:, :k] @ after.T
+        # backward values stay in a step's own lanes; a becomes a * b, and e what a step hands back
         for s, k, scale in zip((lanes.off[t0:t1] - lanes.off[t0]).tolist()[::-1], live.tolist()[::-1], lanes.scaled[t0:t1].tolist()[::-1]):
+            x = e[:, s : s + k]
             if after is not None:
-                np.matmul(model.move, after, out=b[:, s : s + after.shape[1]])
-            after = e[:, s : s + k]
-            after *= b[:, s : s + k]
+                here = a[:, s : s + after.shape[1]]
+                moves += here @ after.T
+                back = model.move @ after
+                here *= back
+                x[:, : after.shape[1]] *= back
             if scale:
-                after /= c[s : s + k]
-        first = int(live[0])
-        later = np.arange(first, a.shape[1])
-        moves += a[:, later - np.repeat(live[:-1], live[1:])] @ e[:, first:].T
-        a *= b
+                x /= c[s : s + k]
+            after = x
         if t0 == 0:
-            start = a[:, :first].sum(1)
+            start = a[:, : int(live[0])].sum(1)
         after = after.copy()
         for i in range(states):
             emit[i] += np.bincount(o, weights=a[i], minlength=emit.shape[1])

@@ -293,3 +293,15 @@ def test_counts_of_a_piece_are_added_up_row_by_row(tmp_path):
     for x in rows:
         total[x["k"]] += x["c0"], x["c1"]
     assert (total[:3] == tasks).all() and np.allclose(total[5], got["sum"].sum(0)) and (total[3:5] == 0).all()
+
+
+def test_expected_counts_hold_two_tables_of_values_at_most():
+    r = np.random.default_rng(4)
+    m, n = small(6, 50), np.full(1000, 200)
+    obs = r.integers(0, 50, n.sum())
+    hmm.expected_counts(m, obs[:400], n[:2])
+    tracemalloc.start()
+    hmm.expected_counts(m, obs, n)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * obs.size * 6 * 8  # forward values, emissions, and what is small beside them
