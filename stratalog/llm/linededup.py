@@ -24,6 +24,8 @@ BROADCAST_SHARE, BROADCAST_ROW = 1 / 16, 250
 BUCKET = 4096
 #: Lines of a bucket that are compared at once.
 BLOCK = 48
+#: Bits of a line's signature, by which pairs that can't be near are left out before texts move.
+SIGNED = 256
 
 _r = np.random.default_rng(23)
 _MUL = (_r.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -93,25 +95,31 @@ def _block(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> tuple[
     return np.nonzero(both >= threshold * (size[: len(a), None] + size[len(a) :] - both))
 
 
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of SHINGLE characters, line after line, and how many each line has. Lines aren't empty and hold no line end."""
+    code = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass") + b"\0" * 4 * SHINGLE, "<u4")
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    n = np.maximum(1, size - SHINGLE + 1)
+    start = np.cumsum(size + 1) - size - 1
+    h = np.zeros(len(code) - SHINGLE + 1, np.uint32)
+    for k in range(SHINGLE):
+        h = h * np.uint32(0x01000193) + code[k : k + len(h)]
+    # a short line's window also holds what follows: its hash is taken from the line alone
+    short = np.flatnonzero(size < SHINGLE)
+    h[start[short]] = [xxhash.xxh32_intdigest(lines[s].encode("utf-8", "surrogatepass")) for s in short]
+    first = np.cumsum(n) - n
+    h = h[np.arange(first[-1] + n[-1]) + np.repeat(start - first, n)]
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16)), n
+
+
 def bands(lines: list[str]) -> np.ndarray:
     """lines x BANDS keys. Lines aren't empty and hold no line end."""
     out = np.empty((len(lines), BANDS), np.int64)
     for i, j in chunks(lines, 150_000):
-        code = np.frombuffer("\n".join(lines[i:j]).encode("utf-32-le", "surrogatepass") + b"\0" * 4 * SHINGLE, "<u4")
-        size = np.fromiter(map(len, lines[i:j]), np.int64, j - i)
-        n = np.maximum(1, size - SHINGLE + 1)
-        start = np.cumsum(size + 1) - size - 1
-        h = np.zeros(len(code) - SHINGLE + 1, np.uint32)
-        for k in range(SHINGLE):
-            h = h * np.uint32(0x01000193) + code[k : k + len(h)]
-        # a short line's window also holds what follows: its hash is taken from the line alone
-        short = np.flatnonzero(size < SHINGLE)
-        h[start[short]] = [xxhash.xxh32_intdigest(lines[i + s].encode("utf-8", "surrogatepass")) for s in short]
+        h, n = _hashed(lines[i:j])
         first = np.cumsum(n) - n
-        h = h[np.arange(first[-1] + n[-1]) + np.repeat(start - first, n)]
-        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-        h ^= h >> np.uint32(16)
         key = np.zeros(j - i, np.uint64)
         for p in range(BANDS * ROWS):
             b, r = divmod(p, ROWS)
@@ -124,6 +132,52 @@ def bands(lines: list[str]) -> np.ndarray:
     return out
 
 
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line: an upper and a lower bound of the number of its shingles (runs, and different hashes), and SIGNED bits as longs, each the parity of the hashes that fall on it."""
+    most, least, bits = np.empty(len(lines), np.int32), np.empty(len(lines), np.int32), np.empty((len(lines), SIGNED // 64), np.int64)
+    for i, j in chunks(lines, 150_000):
+        h, n = _hashed(lines[i:j])
+        key = np.repeat(np.arange(j - i, dtype=np.uint64) << np.uint64(32), n) | h
+        key.sort()
+        key = key[np.append(True, key[1:] != key[:-1])]
+        first = np.searchsorted(key, np.arange(j - i, dtype=np.uint64) << np.uint64(32))
+        most[i:j], least[i:j] = n, np.diff(np.append(first, len(key)))
+        place = key & np.uint64(SIGNED - 1)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        for k in range(SIGNED // 64):
+            bits[i:j, k] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), first).view(np.int64)
+    return most, least, bits
+
+
+def possible(cell: np.ndarray, most: np.ndarray, least: np.ndarray, bits: np.ndarray, threshold: float) -> np.ndarray:
+    """Which lines may have Jaccard of threshold at least with another of their cell, by signatures(); cell: a number for each line, ascending.
+
+    Sets of a and b shingles with Jaccard t differ in at most (a + b) (1 - t) / (1 + t) of them, and neither is smaller than t
+    times the other. Signatures differ in no more bits than the sets in shingles, so no such pair is left out.
+    """
+    out, bits = np.zeros(len(cell), bool), bits.view(np.uint64)  # bitwise_count() takes absolute values
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(-1, dtype=np.int32)
+        return (differ <= (1 - threshold) / (1 + threshold) * (most[a] + most[b].astype(np.int64)) + 1e-6) & (most[a] >= threshold * least[b] - 1e-6) & (most[b] >= threshold * least[a] - 1e-6)
+
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(cell)))
+    a, k = np.flatnonzero(np.repeat(size <= BLOCK, size)), 0
+    while len(a):
+        k += 1
+        a = a[a + k < len(cell)]
+        a = a[cell[a] == cell[a + k]]
+        ok = a[near(a, a + k)]
+        out[ok] = out[ok + k] = True
+    for i, n in zip(first[size > BLOCK].tolist(), size[size > BLOCK].tolist()):
+        own = np.arange(i, i + n)
+        for j in range(0, n, BLOCK):
+            part = own[j : j + BLOCK]
+            out[part] = (near(part[:, None], own[None]) & (part[:, None] != own[None])).any(1)
+    return out
+
+
 def _lines(text: str) -> list[tuple[int, str]]:
     """Numbered lines, without white space around them; blank ones are left out."""
     return [(k, s) for k, x in enumerate(text.split("\n")) if (s := x.strip())]
@@ -226,8 +280,8 @@ def _verify(threshold: float):
     return run
 
 
-def _texts(wanted):
-    """(h1, h2, line) of the lines at wanted places, and of some others."""
+def _texts(places, known):
+    """(h1, h2, line) of the lines at places with known hashes, and of a few others, by two sieves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,14 +292,72 @@ def _texts(wanted):
                         doc.append(d)
                         no.append(k)
                         lines.append(s)
-                take = np.flatnonzero(sieved(wanted.value, place_hash(np.array(doc, np.int64), np.array(no, np.int64))))
+                take = np.flatnonzero(sieved(places.value, place_hash(np.array(doc, np.int64), np.array(no, np.int64))))
                 own = [lines[k] for k in take]
                 h = line_hashes(own)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(own, pa.string())], names=["h1", "h2", "line"])
+                take = np.flatnonzero(sieved(known.value, h[:, 0].copy()))
+                h = h[take]
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array([own[k] for k in take], pa.string())], names=["h1", "h2", "line"])
+
+    return run
+
+
+_BIT_NAMES = [f"s{i}" for i in range(SIGNED // 64)]
+
+
+def _signed(texts):
+    """(h1, h2) and signatures() of the lines of _texts()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in texts(batches):
+            most, least, bits = signatures(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(most), pa.array(least), *(pa.array(bits[:, k].copy()) for k in range(bits.shape[1]))], names=["h1", "h2", "most", "least", *_BIT_NAMES])
+
+    return run
+
+
+def _pruned(threshold: float):
+    """Rows (c1, c2, i, j, node, signature), sorted by cell and node, of lines for which another of the cell is possible(); each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[np.ndarray] = []
+
+        def out(cols: list[np.ndarray], cells: np.ndarray) -> pa.RecordBatch:
+            once = np.append(True, cells | (cols[4][1:] != cols[4][:-1]))[: len(cols[4])]  # rows that repeat an id bring a line twice
+            cell = np.append(0, np.cumsum(cells))[: len(once)][once]
+            cols = [c[once] for c in cols]
+            keep = possible(cell, cols[5], cols[6], np.stack(cols[7:], axis=1), threshold)
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols[:5]], names=["c1", "c2", "i", "j", "node"])
+
+        def bounds(cols: list[np.ndarray]) -> np.ndarray:
+            return np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])
+
+        for b in batches:
+            cols = [c.to_numpy() for c in b.columns]
+            wait = [np.concatenate(x) for x in zip(wait, cols)] if wait else cols
+            new = bounds(wait)
+            end = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0  # the last cell may go on
+            if end:
+                yield out([c[:end] for c in wait], new[: end - 1])
+                wait = [c[end:].copy() for c in wait]
+        if wait:
+            yield out(wait, bounds(wait))
 
     return run
 
 
+def sifted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows without most of those whose columns on aren't in keys, so that a join shuffles little else. The sieve has 32 MB at most; what it lets through by chance is left to the join."""
+    names = rows.columns
+    wanted = rows.sparkSession.sparkContext.broadcast(sieve_of(keys.select(F.xxhash64(*on).alias("x")), "x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(names).filter(pa.array(sieved(wanted.value, b.column("__x").to_numpy())))
+
+    return rows.withColumn("__x", F.xxhash64(*on)).mapInArrow(lean(run), rows.schema)
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array(place_hash(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["place"])
@@ -276,35 +388,50 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     Lines are compared without white space around them; blank ones always stay. Equal lines are one node, by 128 bits;
     nodes that share a band and whose shingle sets have Jaccard of threshold at least are joined; of each component the
     line with the smallest (doc_id, line_no) stays. Hashes and band keys are shuffled once a line and task, then once a
-    node; only nodes that share a band have a text moved, that of their first line, found through a sieve of 32 MB at most.
+    node. Nodes that share a band have signatures moved first, of 256 bits, and texts only if these don't rule out every partner; both are
+    those of their first line, found through two sieves of 32 MB at most.
     Comparison is by bucket, and large buckets by pairs of blocks; union-find joins what was found. Tables of up to broadcast_rows rows
-    that are small beside the driver's heap are broadcast, others joined by shuffle. A NULL id or text gives no lines; rows that repeat an id are one document, the first of equal
+    that are small beside the driver's heap are broadcast, others joined by shuffle, with rows that pass a sieve of their keys. A NULL id or text gives no lines; rows that repeat an id are one document, the first of equal
     (doc_id, line_no) lines stays as one; other columns don't matter; very long lines are compared whole; an empty table
     gives an empty result.
     """
     spark = docs.sparkSession
     src = roomy(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL"))
 
-    def sized(df: DataFrame) -> DataFrame:
+    def light(df: DataFrame) -> bool:
         rows = df.count()
-        return F.broadcast(df) if rows <= broadcast_rows and _light(spark, rows) else df
+        return rows <= broadcast_rows and _light(spark, rows)
+
+    def sized(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if light(df) else df
+
+    def met(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        return rows.join(F.broadcast(few), on, how) if light(few) else sifted(rows, few, on).join(few, on, how)
+
+    def texts_of(own: DataFrame):
+        sent = spark.sparkContext.broadcast
+        return _texts(sent(sieve_of(own.select("doc_id", "line_no").mapInArrow(lean(_places), "place long"), "place")), sent(sieve_of(own, "h1")))
 
     lines = cut(src.mapInArrow(lean(_list_lines), "h1 long, h2 long, doc_id long, line_no int, " + ", ".join(f"{c} long" for c in _BAND_NAMES)), "lines")
     one = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.max(c).alias(c) for c in _BAND_NAMES))
     nodes = cut(one.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), *_BAND_NAMES), "nodes")
     cells = cut(cells_of(nodes.select(F.explode(F.array(*_BAND_NAMES)).alias("key"), "node"), bucket), "cells")
-    own = cut(nodes.join(sized(cells.select("node").distinct()), "node", "left_semi").select("node", "h1", "h2", "doc_id", "line_no"), "candidates")
-    wanted = spark.sparkContext.broadcast(sieve_of(own.select("doc_id", "line_no").mapInArrow(lean(_places), "place long"), "place"))
-    texts = src.mapInArrow(lean(_texts(wanted)), "h1 long, h2 long, line string").join(sized(own.select("node", "h1", "h2")), ["h1", "h2"]).select("node", "line")
+    own = cut(met(nodes.select("node", "h1", "h2", "doc_id", "line_no"), cut(cells.select("node").distinct(), "met"), ["node"], "left_semi"), "candidates")
     order = ["c1", "c2", "i", "j"]
+    bits = ["most", "least", *_BIT_NAMES]
+    signed = src.mapInArrow(lean(_signed(texts_of(own))), "h1 long, h2 long, most int, least int, " + ", ".join(f"{c} long" for c in _BIT_NAMES))
+    signed = signed.join(sized(own.select("node", "h1", "h2")), ["h1", "h2"]).join(cells, "node").select(*order, "node", *bits)
+    cells = cut(signed.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(lean(_pruned(threshold)), cells.select(*order, "node").schema), "pruned")
+    own = cut(met(own, cut(cells.select("node").distinct(), "met"), ["node"], "left_semi"), "candidates")
+    texts = src.mapInArrow(lean(texts_of(own)), "h1 long, h2 long, line string").join(sized(own.select("node", "h1", "h2")), ["h1", "h2"]).select("node", "line")
     found = texts.join(cells, "node").repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(lean(_verify(threshold)), "a long, b long")
     comp = cut(components(found).select(F.col("id").alias("node"), F.col("root")), "joined")
-    near = nodes.join(sized(comp), "node").select("root", "h1", "h2", F.struct("doc_id", "line_no").alias("first"))
+    near = own.join(sized(comp), "node").select("root", "h1", "h2", F.struct("doc_id", "line_no").alias("first"))
     least = near.groupBy("root").agg(F.min("first").alias("kept"))
     near = near.join(least, "root").select("h1", "h2", "kept")
     alone = nodes.where("n > 1").join(sized(comp.select("node")), "node", "left_anti").select("h1", "h2", F.struct("doc_id", "line_no").alias("kept"))
     kept = cut(near.union(alone).select("h1", "h2", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")), "kept")
-    out = lines.select("h1", "h2", "doc_id", "line_no").join(sized(kept), ["h1", "h2"])
+    out = met(lines.select("h1", "h2", "doc_id", "line_no"), kept, ["h1", "h2"])
     return out.where("doc_id <> kept_doc_id OR line_no <> kept_line_no").select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
 
 

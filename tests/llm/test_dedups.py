@@ -302,3 +302,42 @@ def test_line_dedup_broadcasts_only_what_the_drivers_heap_can_hold(spark, monkey
     monkeypatch.setattr(linededup, "BROADCAST_ROW", heap, raising=False)  # as if rows were many
     b = linededup.repeated_lines(df)
     assert not broadcast(b) and sorted(a.collect()) == sorted(b.collect()) and a.count() > 0
+
+
+def test_signatures_rule_out_no_near_line():
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdeé日", k=r.randint(1, 9))) for _ in range(60)]
+    lines = [" ".join(r.choices(words, k=r.randint(1, 60))) for _ in range(40)]
+    for x in lines[:30]:  # copies with a few characters changed
+        for n in (1, 2, 4):
+            y = list(x)
+            for _ in range(n):
+                y[r.randrange(len(y))] = r.choice("xyz")
+            lines.append("".join(y))
+    lines = sorted({*lines, "a" * 300, "a" * 301, "ab", "b"})
+    cell = np.sort(np.array([r.randrange(4) for _ in lines]))
+    near = [any(cell[i] == cell[j] and i != j and linededup.jaccard(linededup.numbers(x), linededup.numbers(y)) >= 0.8 for j, y in enumerate(lines)) for i, x in enumerate(lines)]
+    for block in (linededup.BLOCK, 3):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(linededup, "BLOCK", block)
+            got = linededup.possible(cell, *linededup.signatures(lines), 0.8)
+        assert not (np.array(near) & ~got).any() and any(near)
+    assert not linededup.possible(np.zeros(40, int), *linededup.signatures(["%d " % k * 3 + "".join(r.choices("abcdefgh", k=90)) for k in range(40)]), 0.8).any()
+
+
+def test_line_dedup_joins_by_shuffle_bring_few_of_the_other_lines(spark):
+    df = spark.createDataFrame([(i, f"a line that every document has\nline {i * 7919} of one only") for i in range(300)], "doc_id long, text string")
+    out = linededup.repeated_lines(df, broadcast_rows=0)
+    assert out.count() == 299
+    names = []
+
+    def walk(p):
+        names.append(p.nodeName())
+        for k in range(p.children().size()):
+            walk(p.children().apply(k))
+
+    walk(out._jdf.queryExecution().optimizedPlan())
+    assert "MapInArrow" in names  # the sieve of the lines that stay, before their join
+    few = df.where("doc_id < 10").select("doc_id")
+    left = linededup.sifted(df, few, ["doc_id"])
+    assert left.columns == df.columns and {x.doc_id for x in left.collect()} >= set(range(10)) and left.count() < 100
