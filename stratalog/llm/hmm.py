@@ -27,6 +27,8 @@ STATES = 6
 TOLERANCE = 1e-3
 #: Characters of distinct texts, and of one text, from which the states begin; rounds then cover all documents.
 START_CHARS, START_TEXT = 1_000_000, 20_000
+#: From the second round on, shares go so many times as far as a round of Baum-Welch takes them, as long as the likelihood rises.
+STRIDE = 1.9
 #: A word that occurs as often in the corpus is a symbol of its own; all others are symbol 0.
 MIN_COUNT = 2
 SMOOTH = 0.1
@@ -348,8 +350,18 @@ def _blobs(piece: np.ndarray, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(piece[cuts].astype(np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], names=["piece", "h", "c"])
 
 
-def _gather(folder: str, at: int, states: int):
-    """Adds up what tasks sent for the pieces of a partition, row by row, and saves each piece: memory is that of these pieces, however many tasks send. Round 0 brings each hash once. Rows (k, sums) are as in fit()."""
+def _beyond(new: np.ndarray, old: np.ndarray, stride: float) -> np.ndarray:
+    """Rows of new whose shares go stride times as far from those of old, as logarithms (over-relaxed EM); their sums stay. A fixed point stays one."""
+    if stride == 1:
+        return new
+    n, m = new.sum(-1, keepdims=True), old.sum(-1, keepdims=True)
+    x = new * ((new / np.where(n > 0, n, 1) + 1e-9) / (old / np.where(m > 0, m, 1) + 1e-9)) ** (stride - 1)
+    y = x.sum(-1, keepdims=True)
+    return x * (n / np.where(y > 0, y, 1))
+
+
+def _gather(folder: str, at: int, states: int, stride: float = 1):
+    """Adds up what tasks sent for the pieces of a partition, row by row, and saves each piece, carried beyond that of the round before: memory is that of these pieces, however many tasks send. Round 0 brings each hash once. Rows (k, sums) are as in fit()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         few, new, own = np.zeros((states + 4, states)), {}, {}
@@ -372,6 +384,8 @@ def _gather(folder: str, at: int, states: int):
             _save(f"{folder}/{p}.npy", h[order])
             own[p] = None, np.concatenate([x for _, x in got])[order]
         for p, (_, sums) in own.items():
+            if stride != 1:
+                sums = _beyond(sums, np.load(f"{folder}/{p}-{at - 1}.npy", mmap_mode="r"), stride)
             _save(f"{folder}/{p}-{at}.npy", sums)
             few[states + 3] += sums.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(states + 4)), *(pa.array(np.ascontiguousarray(few[:, i])) for i in range(states))], names=["k", *(f"c{i}" for i in range(states))])
@@ -500,7 +514,8 @@ def fit(coded: DataFrame, texts: DataFrame, states: int = STATES, rounds: int |
     A word is a symbol of its own if it occurs min_count times (and has min_share of all words). Texts are encoded once;
     in a round each task adds up its own counts, which meet in a shuffle by piece of the table. Only sums over all
     symbols reach the driver. States begin from some texts, and rounds over all documents follow until one gains less than
-    tolerance in log-likelihood per word; with rounds, from nearly flat states, just as many. Two words with the same 64-bit hash would be one symbol.
+    tolerance in log-likelihood per word. These rounds go STRIDE times as far as plain ones and are to gain STRIDE times
+    as much; if one loses likelihood, all that follow are plain, and it doesn't end them. With rounds, from nearly flat states, just as many. Two words with the same 64-bit hash would be one symbol.
     """
     spark = coded.sparkSession
     folder = _folder(coded)
@@ -531,17 +546,17 @@ def fit(coded: DataFrame, texts: DataFrame, states: int = STATES, rounds: int |
                 by = factors(h, states)
             yield _blobs(h & (pieces - 1), h, b.column(1).to_numpy()[:, None] * by)
 
-    def gathered(rows: DataFrame, at: int) -> np.ndarray:
+    def gathered(rows: DataFrame, at: int, stride: float = 1) -> np.ndarray:
         """By row: starts, moves, symbol 0, log-likelihood, all own symbols."""
         out = np.zeros((states + 4, states))
-        for x in rows.repartition("piece").mapInArrow(lean(_gather(folder, at, states)), "k long, " + ", ".join(f"c{i} double" for i in range(states))).collect():
+        for x in rows.repartition("piece").mapInArrow(lean(_gather(folder, at, states, stride)), "k long, " + ", ".join(f"c{i} double" for i in range(states))).collect():
             out[x.k] += x[1:]
         return out
 
     model.sums = gathered(own.select("h", "n").mapInArrow(lean(begin), keyed), 0)[states + 3] + model.other + model.smooth * (symbols + 1)
     if rounds == 0 or not total:
         return model
-    at, before, more = 0, -math.inf, True
+    at, before, more, went, far = 0, -math.inf, True, 1, 1 if rounds is not None else STRIDE
     while more:
         at += 1
         shared = spark.sparkContext.broadcast(model)
@@ -567,16 +582,21 @@ def fit(coded: DataFrame, texts: DataFrame, states: int = STATES, rounds: int |
                 h, c = _added(hs, cs)
                 yield _blobs(h & (pieces - 1), h, c)
 
-        got = gathered(coded.select("h", "obs", "n").mapInArrow(lean(run), keyed), at)
-        s, a = got[0] + smooth, got[1 : states + 1] + smooth
-        model = Table(folder, pieces, s / s.sum(), a / a.sum(1, keepdims=True), got[states + 1], got[states + 1] + got[states + 3] + (symbols + 1) * smooth / states, smooth / states, model.rare, at, texts, least)
+        stride = far if at > 1 else 1
+        got = gathered(coded.select("h", "obs", "n").mapInArrow(lean(run), keyed), at, stride)
+        s, a, other = got[0] + smooth, _beyond(got[1 : states + 1] + smooth, model.move, stride), _beyond(got[states + 1], model.other, stride)
+        model = Table(folder, pieces, s / s.sum(), a / a.sum(1, keepdims=True), other, other + got[states + 3] + (symbols + 1) * smooth / states, smooth / states, model.rare, at, texts, least)
         shared.unpersist()
         for p in range(pieces):  # the round before is of no more use
             if os.path.exists(old := f"{folder}/{p}-{at - 1}.npy"):
                 os.remove(old)
         gc.collect()  # this round's frames first, as they hold its shuffle; then Spark drops the files
         spark.sparkContext._jvm.System.gc()
-        more = at < rounds if rounds is not None else (got[states + 2, 0] - before) / total >= tolerance
+        gain = got[states + 2, 0] - before
+        lost = gain < 0 and far > 1
+        far = 1 if lost else far
+        more = at < rounds if rounds is not None else lost or gain / total >= tolerance * went  # a plain round would gain about 1 / went of it
+        went = stride
         log.info("round %d: %.5f a word", at, got[states + 2, 0] / total)
         before = got[states + 2, 0]
     return model
