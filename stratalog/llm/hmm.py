@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, roomy, shared_dir, slices, word_codes
+from .common import cut, lean, roomy, shared_dir, slices, spread, word_codes
 
 log = logging.getLogger(__name__)
 
@@ -48,6 +48,12 @@ def word_totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(docs[text_col].alias("text")).mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def pieces_of(h: np.ndarray, pieces: int) -> np.ndarray:
+    """The piece of the table (a power of two of them) that a hash is in: ranges, in the hashes' order."""
+    bits = pieces.bit_length() - 1
+    return (h >> (64 - bits)) + (pieces >> 1) if bits else np.zeros(len(h), np.int64)
+
+
 def hashes(names: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in names), np.uint64, len(names)).view(np.int64)
 
@@ -96,30 +102,39 @@ class Table:
         return self.maps[p]
 
     def emissions(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are symbols, and what the states emit of each."""
-        known, rows, p = np.zeros(len(h), bool), np.zeros((len(h), len(self.start))), h & (self.pieces - 1)
-        for k in np.unique(p):
-            if (maps := self.piece(int(k))) is None:
+        """Which hashes (sorted) are symbols, and what the states emit of each that is."""
+        known, rows, p = np.zeros(len(h), bool), [np.zeros((0, len(self.start)))], pieces_of(h, self.pieces)
+        cuts = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(h) else []
+        for a, b in zip(cuts, [*cuts[1:], len(h)]):
+            if (maps := self.piece(int(p[a]))) is None:
                 continue
-            at = np.flatnonzero(p == k)
-            i = np.minimum(np.searchsorted(maps[0], h[at]), len(maps[0]) - 1)
-            ok = maps[0][i] == h[at]
-            known[at[ok]], rows[at[ok]] = True, maps[1][i[ok]]
-        return known, (rows + self.smooth) / self.sums
+            i = np.minimum(np.searchsorted(maps[0], h[a:b]), len(maps[0]) - 1)
+            known[a:b] = ok = maps[0][i] == h[a:b]
+            rows.append(maps[1][i[ok]])
+        return known, (np.concatenate(rows) + self.smooth) / self.sums
 
     def of(self, h: np.ndarray) -> Model:
         """The model of these symbols, in their order after 0."""
-        return Model({}, self.start, self.move, np.concatenate([((self.other + self.smooth) / self.sums)[None], self.emissions(h)[1]]), self.rare)
-
-    def known(self, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, Model, np.ndarray]:
-        """Of words with these hashes, those that are symbols, their model, and the codes as places among these from 1, or 0."""
-        ok, emit = self.emissions(h)
-        other = ((self.other + self.smooth) / self.sums)[None]
-        return h[ok], Model({}, self.start, self.move, np.concatenate([other, emit[ok]]), self.rare), np.where(ok, np.cumsum(ok), 0)[code]
+        order = np.argsort(h, kind="stable")
+        return self.known(h[order], order, np.zeros(0, np.int64))[1]
+
+    def known(self, h: np.ndarray, place: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, Model, np.ndarray]:
+        """Of words with these hashes (sorted; place has the code of each), those that are symbols, in the order of their codes, their model, and the codes as places among these from 1, or 0."""
+        ok, rows = self.emissions(h)
+        own = np.zeros(len(h), bool)
+        own[place] = ok
+        symbol = np.cumsum(own)
+        emit, names = np.empty((len(rows) + 1, len(self.start))), np.empty(len(rows), np.int64)
+        to = symbol[place[ok]]
+        emit[0], emit[to], names[to - 1] = (self.other + self.smooth) / self.sums, rows, h[ok]
+        symbol[~own] = 0
+        return names, Model({}, self.start, self.move, emit, self.rare), symbol[code]
 
     def local(self, part: pa.Array) -> tuple[np.ndarray, Model, np.ndarray, np.ndarray]:
         code, n, names = word_codes(part)
-        return *self.known(hashes(names), code), n
+        h = hashes(names)
+        order = np.argsort(h, kind="stable")
+        return *self.known(h[order], order, code), n
 
     @cached_property
     def vocabulary(self) -> dict[str, int]:
@@ -141,21 +156,42 @@ def factors(h: np.ndarray, states: int) -> np.ndarray:
 
 
 #: Symbols whose forward values are held at once; sequences beyond are gone through again from checkpoints.
-HELD = 900_000
-#: Symbols that advance together, about.
-TOGETHER = 500_000
-#: Steps after which forward values are scaled, if no sequence ends before.
+HELD = 1_300_000
+#: Symbols that advance together, about; of long sequences so many more.
+TOGETHER, LONGER = 500_000, 1.7
+#: Steps after which forward values are scaled; those of a sequence are at its end, too.
 SCALED = 8
 #: Sequences of more words are gathered from several pieces of a task, so that many advance together.
 LONG = 2048
+#: Up to so many lanes, calls cost more than values: steps with the same lanes are counted together, so many symbols at once.
+NARROW, BULK = 256, 20_000
 
 
 #: Rows of encoded() are of some MB: row groups end as soon as they have so many bytes, as writers and readers hold one whole.
-ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
+ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.enable.dictionary": False}
+
+
+class Scratch:
+    """Tables of values used again, as fresh memory costs a page fault for each 4 KB; a task drops them at its end."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def table(self, name: str, rows: int, columns: int) -> np.ndarray:
+        if self.held.get(name, np.zeros(0)).size < rows * columns:
+            self.held.pop(name, None)
+            self.held[name] = np.empty(rows * columns)
+        return self.held[name][: rows * columns].reshape(rows, columns)
+
+    def clear(self) -> None:
+        self.held.clear()
+
+
+SCRATCH = Scratch()
 
 
 class Lanes:
-    """Sequences (n symbols each, one after the other in obs) side by side: a column for each symbol, ordered by time, the longest sequences first."""
+    """Sequences (n symbols each, one after the other in obs) side by side: a row for each symbol, ordered by time, the longest sequences first, so that a step's values lie together."""
 
     def __init__(self, model: Model, obs: np.ndarray, n: np.ndarray, held: int = HELD):
         self.order = np.argsort(-n, kind="stable")
@@ -165,10 +201,9 @@ class Lanes:
         self.live = np.searchsorted(-size, -np.arange(self.steps), "left")  # sequences longer than t
         self.off = np.append(0, np.cumsum(self.live))
         self.obs, self.count = obs, len(n)
-        self.start, self.move = model.start[:, None], model.move
-        self.emit = np.ascontiguousarray(model.emit.T)
+        self.start, self.move, self.emit = model.start, np.ascontiguousarray(model.move), model.emit
+        self.on = np.append(self.live[1:], 0)[: self.steps]  # sequences that go on after t; the others are scaled
         self.scaled = np.arange(self.steps) % SCALED == SCALED - 1
-        self.scaled |= np.append(self.live[1:], 0)[: self.steps] < self.live
         # stretches of time of about held symbols
         self.cuts, t = [0], 0
         while t < self.steps:
@@ -182,21 +217,28 @@ class Lanes:
         lane = np.arange(self.off[t1] - self.off[t0]) - np.repeat(self.off[t0:t1] - self.off[t0], live)
         return self.obs[self.at[lane] + np.repeat(np.arange(t0, t1), live)], lane
 
+    def plan(self, t0: int, t1: int) -> list[tuple[int, int, int]]:
+        """For each step of a stretch: its first row, its lanes, and the first lane to be scaled."""
+        return list(zip((self.off[t0:t1] - self.off[t0]).tolist(), self.live[t0:t1].tolist(), np.where(self.scaled[t0:t1], 0, self.on[t0:t1]).tolist()))
+
+    def values(self, o: np.ndarray) -> np.ndarray:
+        """What the states emit of symbols, until values are asked for again."""
+        return np.take(self.emit, o, axis=0, out=SCRATCH.table("e", len(o), len(self.start)), mode="clip")
+
     def forward(self, t0: int, t1: int, before: np.ndarray | None, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward values of a stretch and the scales, from the values just before it."""
-        a, c = np.empty_like(e), np.ones(e.shape[1])
-        turn = np.ascontiguousarray(self.move.T)
-        base = int(self.off[t0])
-        for s, k, scale in zip((self.off[t0:t1] - base).tolist(), self.live[t0:t1].tolist(), self.scaled[t0:t1].tolist()):
-            x = a[:, s : s + k]
+        """Scaled forward values of a stretch, until these are asked for again, and the scales, from the values just before it."""
+        a, c, all_states = SCRATCH.table("a", *e.shape), np.ones(len(e)), np.ones(len(self.start))
+        for s, k, cold in self.plan(t0, t1):
+            x = a[s : s + k]
             if before is None:
-                np.multiply(e[:, s : s + k], self.start, out=x)
+                np.multiply(e[:k], self.start, out=x)
             else:
-                np.multiply(turn @ before[:, :k], e[:, s : s + k], out=x)
-            if scale:
-                y = c[s : s + k]
-                np.add.reduce(x, axis=0, out=y)
-                np.divide(x, y, out=x)
+                np.dot(before[:k], self.move, out=x)
+                np.multiply(x, e[s : s + k], out=x)
+            if cold < k:
+                y, z = c[s + cold : s + k], x[cold:]
+                np.dot(z, all_states, out=y)
+                np.divide(z, y[:, None], out=z)
             before = x
         return a, c
 
@@ -206,8 +248,8 @@ class Lanes:
         for t0, t1 in zip(self.cuts, self.cuts[1:]):
             starts.append(before)
             o, lane = self.symbols(t0, t1)
-            a, c = self.forward(t0, t1, before, self.emit.take(o, axis=1))
-            before = a[:, a.shape[1] - int(self.live[t1 - 1]) :].copy()
+            a, c = self.forward(t0, t1, before, self.values(o))
+            before = a[len(a) - int(self.live[t1 - 1]) :].copy()
             ll += np.bincount(lane, weights=np.log(c), minlength=self.count)
         return ll, starts
 
@@ -224,46 +266,65 @@ def expected_counts(model: Model, obs: np.ndarray, n: np.ndarray, held: int = HE
     """Expected starts, moves and emissions given the sequences, and their log-likelihood. Memory is that of held symbols, whatever the sequences' length."""
     lanes = Lanes(model, obs, n, held)
     states = len(model.start)
-    start, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(model.emit)))
+    turn = np.ascontiguousarray(lanes.move.T)
+    start, moves, emit, narrow = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.size), np.empty((NARROW, states))
     one = len(lanes.cuts) == 2  # a single stretch: its forward values are made once
     total, starts = (0.0, [None]) if one else (lambda x: (float(x[0].sum()), x[1]))(lanes.likelihoods())
     after: np.ndarray | None = None  # what the following step hands back
     for t0, t1, before in zip(lanes.cuts[-2::-1], lanes.cuts[:0:-1], starts[::-1]):
         o, _ = lanes.symbols(t0, t1)
-        e = lanes.emit.take(o, axis=1)
+        e = lanes.values(o)
         a, c = lanes.forward(t0, t1, before, e)
         if one:
             total = float(np.log(c).sum())
-        live = lanes.live[t0:t1]
+        plan = lanes.plan(t0, t1)
         # backward values stay in a step's own lanes; a becomes a * b, and e what a step hands back
-        for s, k, scale in zip((lanes.off[t0:t1] - lanes.off[t0]).tolist()[::-1], live.tolist()[::-1], lanes.scaled[t0:t1].tolist()[::-1]):
-            x = e[:, s : s + k]
+        end = len(plan)
+        while end:
+            s, k, cold = plan[end - 1]
+            x = e[s : s + k]
             if after is not None:
-                here = a[:, s : s + after.shape[1]]
-                moves += here @ after.T
-                back = model.move @ after
+                here, back = a[s : s + len(after)], after @ turn
+                moves += here.T @ after
                 here *= back
-                x[:, : after.shape[1]] *= back
-            if scale:
-                x /= c[s : s + k]
-            after = x
+                x[: len(after)] *= back
+            if cold < k:
+                x[cold:] /= c[s + cold : s + k, None]
+            after, last = x, end
+            end -= 1
+            if k > NARROW:
+                continue
+            back, least = narrow[:k], s - BULK
+            while end and plan[end - 1][1] == k and plan[end - 1][0] >= least:
+                end -= 1
+                s, _, cold = plan[end]
+                x = e[s : s + k]
+                np.dot(after, turn, out=back)
+                np.multiply(x, back, out=x)
+                if cold < k:
+                    x[cold:] /= c[s + cold : s + k, None]
+                after = x
+            if end < last - 1:
+                here, then = a[s : plan[last - 1][0]], e[s + k : plan[last - 1][0] + k]
+                moves += here.T @ then
+                here *= then @ turn
         if t0 == 0:
-            start = a[:, : int(live[0])].sum(1)
+            start = a[: plan[0][1]].sum(0)
         after = after.copy()
-        for i in range(states):
-            emit[i] += np.bincount(o, weights=a[i], minlength=emit.shape[1])
-    return start, moves * model.move, np.ascontiguousarray(emit.T), total
+        at = e.view(np.int64)  # e is of no more use
+        np.add((o * states)[:, None], np.arange(states), out=at)
+        emit += np.bincount(at.ravel(), weights=a.ravel(), minlength=len(emit))
+    return start, moves * model.move, emit.reshape(-1, states), total
 
 
 def _parts(obs: np.ndarray, n: np.ndarray, most: int = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Symbol sequences of whole texts, about most symbols at a time, one text at least."""
-    ends = np.cumsum(n)
-    i = 0
-    while i < len(n):
-        base = ends[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, base + most, "right")))
-        yield i, obs[base : ends[j - 1]], n[i:j]
-        i = j
+    """Symbol sequences of whole texts in even parts of most symbols at most, about, one text at least."""
+    ends = np.cumsum(n, dtype=np.int64)
+    parts = math.ceil(ends[-1] / most) if len(n) else 0
+    cuts = [0, *(int(np.searchsorted(ends, k * ends[-1] / parts, "left")) + 1 for k in range(1, parts)), len(n)]
+    for i, j in zip(cuts, cuts[1:]):
+        if i < j:
+            yield i, obs[ends[i] - n[i] : ends[j - 1]], n[i:j]
 
 
 def _runs(model: Model | Table, col: pa.Array, most: int = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -284,12 +345,15 @@ class Group:
     names: pa.Array | None
 
     def take(self, which: np.ndarray) -> Group:
-        """Some of the sequences, with their symbols only."""
-        obs = self.obs[np.repeat(which, self.n)]
-        used = np.zeros(len(self.model.emit), bool)
-        used[obs] = used[0] = True
-        m = self.model
-        return Group(self.h[used[1:]], Model({}, m.start, m.move, m.emit[used], m.rare), (np.cumsum(used) - 1)[obs], self.n[which], None if self.names is None else self.names.filter(pa.array(which)))
+        """The sequences at these places."""
+        at = np.cumsum(self.n, dtype=np.int64) - self.n
+        return Group(self.h, self.model, self.obs[spread(at[which], self.n[which])], self.n[which], None if self.names is None else self.names.take(pa.array(which)))
+
+    def lean(self) -> Group:
+        """The same sequences, with their symbols only."""
+        used, m = np.zeros(len(self.model.emit), bool), self.model
+        used[self.obs] = used[0] = True
+        return Group(self.h[used[1:]], Model({}, m.start, m.move, m.emit[used], m.rare), (np.cumsum(used) - 1)[self.obs], self.n, self.names)
 
 
 def _joined(groups: list[Group]) -> Group:
@@ -304,17 +368,19 @@ def _joined(groups: list[Group]) -> Group:
 
 
 def _side_by_side(groups: Iterator[Group], most: int = TOGETHER) -> Iterator[Group]:
-    """The same sequences, about most symbols at a time, long ones with long ones of other groups."""
+    """The same sequences, about most symbols at a time, those of a length together, long ones with long ones of other groups."""
     wait, size = [], 0
     for g in groups:
-        long = g.n > LONG
-        if long.any():
-            wait.append(g.take(long))
+        order = np.argsort(-g.n.astype(np.int64), kind="stable")
+        long = int((g.n > LONG).sum())
+        if long:
+            wait.append(g.take(order[:long]).lean())
             size += int(wait[-1].n.sum())
-            g = g.take(~long)
+        g = g.take(order[long:])
         for i, obs, n in _parts(g.obs, g.n, most):
             yield Group(g.h, g.model, obs, n, None if g.names is None else g.names.slice(i, len(n)))
-        if size > most:
+        del g
+        if size > most * LONGER:
             yield _joined(wait)
             wait, size = [], 0
     if wait:
@@ -341,8 +407,9 @@ FEW = 32
 
 def _blobs(piece: np.ndarray, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     """Hashes and counts as bytes, a row for each piece."""
-    o = np.argsort(piece, kind="stable")
-    piece, h, c = piece[o], h[o], c[o]
+    if (piece[1:] < piece[:-1]).any():
+        o = np.argsort(piece, kind="stable")
+        piece, h, c = piece[o], h[o], c[o]
     cuts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(piece) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(piece))
     return pa.RecordBatch.from_arrays([pa.array(piece[cuts].astype(np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], names=["piece", "h", "c"])
@@ -410,6 +477,7 @@ def begun(texts: list[str], states: int, smooth: float, seeds: tuple[int, ...] =
         if k >= least and (ll - before) / len(obs) < tolerance:
             break
         before = ll
+    SCRATCH.clear()
     h = hashes([x for x, o in zip(names, own) if o])
     shares = emit / emit.sum(1, keepdims=True)
     order = np.argsort(h)
@@ -437,8 +505,13 @@ def _folder(docs: DataFrame) -> str:
     return path
 
 
+def _bytes(x: np.ndarray) -> pa.Array:
+    """A row of an array's bytes."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, x.nbytes], np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
 def encoded(docs: DataFrame, text_col: str = "text", id_col: str | None = None) -> DataFrame:
-    """All texts, tokenised once and written: a row for each piece of a task, with the hashes and numbers (c) of its words, the texts' words as places among these, each text's number of words, and which are NULL; names are the ids, if wanted."""
+    """All texts, tokenised once and written: a row for each piece of a task, with the hashes (sorted) of its words, their numbers (c) and codes (place), the texts' words as codes, each text's number of words, and which are NULL; names are the ids, if wanted. The first four are bytes, as the JVM handles the elements of arrays one by one."""
     src = roomy(docs.select(docs[text_col].alias("text"), *([docs[id_col].alias("name")] if id_col else [])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,15 +519,16 @@ def encoded(docs: DataFrame, text_col: str = "text", id_col: str | None = None)
             for start, part in slices(b.column(0), 9_000_000):
                 code, n, names = word_codes(part)
                 c = np.bincount(code, minlength=len(names)).astype(np.int64)
-                cols = [hashes(names)[c > 0], c[c > 0], (np.cumsum(c > 0) - 1)[code].astype(np.int32), n.astype(np.int32), ~part.is_valid().to_numpy(zero_copy_only=False)]
-                lists = [pa.array([x]) for x in cols]
+                h, c, obs = hashes(names)[c > 0], c[c > 0], (np.cumsum(c > 0) - 1)[code].astype(np.int32)
+                order = np.argsort(h, kind="stable")
+                lists = [_bytes(x) for x in (h[order], c[order], order.astype(np.int32), obs)] + [pa.array([x]) for x in (n.astype(np.int32), ~part.is_valid().to_numpy(zero_copy_only=False))]
                 if id_col:
                     own = b.column(1).slice(start, len(part))
                     lists.append(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
-                yield pa.RecordBatch.from_arrays(lists, names=["h", "c", "obs", "n", "null", *(["names"] if id_col else [])])
+                yield pa.RecordBatch.from_arrays(lists, names=["h", "c", "place", "obs", "n", "null", *(["names"] if id_col else [])])
 
     kind = f", names array<{src.schema['name'].dataType.simpleString()}>" if id_col else ""
-    return cut(src.mapInArrow(lean(run), f"h array<long>, c array<long>, obs array<int>, n array<int>, null array<boolean>{kind}"), "coded", **ROW_GROUPS)
+    return cut(src.mapInArrow(lean(run), f"h binary, c binary, place binary, obs binary, n array<int>, null array<boolean>{kind}"), "coded", **ROW_GROUPS)
 
 
 def _hash_totals(coded: DataFrame) -> DataFrame:
@@ -469,8 +543,8 @@ def _hash_totals(coded: DataFrame) -> DataFrame:
 
         for b in batches:
             for i in range(len(b)):
-                hs.append(b.column(0)[i].values.to_numpy())
-                cs.append(b.column(1)[i].values.to_numpy()[:, None])
+                hs.append(np.frombuffer(b.column(0)[i].as_buffer(), np.int64))
+                cs.append(np.frombuffer(b.column(1)[i].as_buffer(), np.int64)[:, None])
             if sum(map(len, hs)) > 1_000_000:
                 yield out()
                 hs, cs = [], []
@@ -481,12 +555,12 @@ def _hash_totals(coded: DataFrame) -> DataFrame:
 
 
 def _coded_groups(batches: Iterator[pa.RecordBatch], m: Table, named: bool = False) -> Iterator[Group]:
-    """Columns h, obs, n and, if named, names and null."""
+    """Columns h, place, obs, n and, if named, names and null."""
     for b in batches:
         for i in range(len(b)):
-            h, obs, n = (b.column(k)[i].values.to_numpy() for k in range(3))
-            names = pa.StructArray.from_arrays([b.column(3)[i].values, b.column(4)[i].values], names=["name", "null"]) if named else None
-            yield Group(*m.known(h, obs), n, names)
+            h, place, obs = (np.frombuffer(b.column(k)[i].as_buffer(), kind) for k, kind in enumerate((np.int64, np.int32, np.int32)))
+            names = pa.StructArray.from_arrays([b.column(4)[i].values, b.column(5)[i].values], names=["name", "null"]) if named else None
+            yield Group(*m.known(h, place, obs), b.column(3)[i].values.to_numpy(), names)
 
 
 def train(docs: DataFrame, states: int = STATES, rounds: int | None = None, min_share: float = 0.0, smooth: float = SMOOTH, text_col: str = "text", min_count: int = MIN_COUNT, tolerance: float = TOLERANCE) -> Table:
@@ -529,7 +603,7 @@ def fit(coded: DataFrame, texts: DataFrame, states: int = STATES, rounds: int |
                 by = np.where((known[i] == h)[:, None], shares[i], rest) if len(known) else np.tile(rest, (len(h), 1))
             else:
                 by = factors(h, states)
-            yield _blobs(h & (pieces - 1), h, b.column(1).to_numpy()[:, None] * by)
+            yield _blobs(pieces_of(h, pieces), h, b.column(1).to_numpy()[:, None] * by)
 
     def gathered(rows: DataFrame, at: int) -> np.ndarray:
         """By row: starts, moves, symbol 0, log-likelihood, all own symbols."""
@@ -554,20 +628,24 @@ def fit(coded: DataFrame, texts: DataFrame, states: int = STATES, rounds: int |
                 few[1 : states + 1] += y
                 few[states + 1] += z[0]
                 few[states + 2, 0] += ll
+                if hs and hs[-1] is g.h:
+                    cs[-1] += z[1:]
+                    continue
                 hs.append(g.h)
                 cs.append(z[1:])
                 if sum(map(len, hs)) > 600_000:
                     hs, cs = ([x] for x in _added(hs, cs))
                     if len(hs[0]) > 300_000:
-                        yield _blobs(hs[0] & (pieces - 1), hs[0], cs[0])
+                        yield _blobs(pieces_of(hs[0], pieces), hs[0], cs[0])
                         hs, cs = [], []
+            SCRATCH.clear()
             k = np.arange(states + 3)
             yield _blobs(np.full(len(k), -1 - TaskContext.get().partitionId() % FEW), k, few)
             if hs:
                 h, c = _added(hs, cs)
-                yield _blobs(h & (pieces - 1), h, c)
+                yield _blobs(pieces_of(h, pieces), h, c)
 
-        got = gathered(coded.select("h", "obs", "n").mapInArrow(lean(run), keyed), at)
+        got = gathered(coded.select("h", "place", "obs", "n").mapInArrow(lean(run), keyed), at)
         s, a = got[0] + smooth, got[1 : states + 1] + smooth
         model = Table(folder, pieces, s / s.sum(), a / a.sum(1, keepdims=True), got[states + 1], got[states + 1] + got[states + 3] + (symbols + 1) * smooth / states, smooth / states, model.rare, at, texts, least)
         shared.unpersist()
@@ -615,6 +693,7 @@ def _scores(groups: Iterator[Group]) -> Iterator[pa.RecordBatch]:
         ll, size = forward(g.model, g.obs, g.n) - rare * math.log(g.model.rare), g.n.astype(np.int64)
         null = g.names.field(1).to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([g.names.field(0), pa.array(size, mask=null), pa.array(ll, mask=null), pa.array(ll / np.maximum(size, 1), mask=size == 0)], names=["doc_id", "n_words", "log_likelihood", "per_word"])
+    SCRATCH.clear()
 
 
 def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -626,4 +705,4 @@ def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _scores(_coded_groups(batches, shared.value, named=True))
 
-    return coded.select("h", "obs", "n", "names", "null").mapInArrow(lean(run), _score_schema(docs.schema[id_col].dataType.simpleString()))
+    return coded.select("h", "place", "obs", "n", "names", "null").mapInArrow(lean(run), _score_schema(docs.schema[id_col].dataType.simpleString()))

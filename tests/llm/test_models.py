@@ -305,3 +305,35 @@ def test_expected_counts_hold_two_tables_of_values_at_most():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 3 * obs.size * 6 * 8  # forward values, emissions, and what is small beside them
+
+
+def test_sequences_of_a_length_advance_together_in_few_steps():
+    m, r = small(3, 50), np.random.default_rng(8)
+    n = r.permutation(np.concatenate([np.full(1000, 10), np.full(8, 1250), [0, 0]]))
+    obs = r.integers(0, 50, n.sum())
+    ll, whole = hmm.forward(m, obs, n), hmm.expected_counts(m, obs, n)
+    got, steps, total = {}, 0, np.zeros((50, 3))
+    for g in hmm._side_by_side(iter([hmm.Group(np.arange(49), m, obs, n, pa.array(np.arange(len(n))))]), 5000):
+        steps += int(g.n.max())
+        got |= dict(zip(g.names.to_pylist(), hmm.forward(g.model, g.obs, g.n)))
+        total += hmm.expected_counts(g.model, g.obs, g.n)[2]
+    assert np.allclose([got[i] for i in range(len(n))], ll) and np.allclose(total, whole[2])
+    assert steps <= 2 * 1250 + 4 * 10  # in the order of the table nearly each part holds a long one
+
+
+def test_texts_are_bytes_and_pieces_of_the_table_ranges_of_hashes(spark):
+    coded = hmm.encoded(spark.createDataFrame([(1, "b a b"), (2, None), (3, "c")], "doc_id long, text string"), id_col="doc_id")
+    assert [coded.schema[c].dataType.typeName() for c in ("h", "c", "place", "obs")] == ["binary"] * 4  # the JVM would take arrays apart
+    back = {}
+    for x in coded.collect():
+        h, place, obs = np.frombuffer(x.h, np.int64), np.frombuffer(x.place, np.int32), np.frombuffer(x.obs, np.int32)
+        assert (np.diff(h) > 0).all() and np.frombuffer(x.c, np.int64).tolist() == np.bincount(obs, minlength=len(h))[place].tolist()
+        by_code = dict(zip(place.tolist(), h.tolist()))
+        for name, null, a, b in zip(x.names, x.null, np.cumsum(x.n) - x.n, np.cumsum(x.n)):
+            back[name] = None if null else [by_code[o] for o in obs[a:b].tolist()]
+    a, b, c = hmm.hashes(["a", "b", "c"]).tolist()
+    assert back == {1: [b, a, b], 2: None, 3: [c]}
+    h = np.sort(np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 5000))
+    for pieces in (1, 2, 64):
+        p = hmm.pieces_of(h, pieces)
+        assert (np.diff(p) >= 0).all() and set(p.tolist()) == set(range(pieces))
