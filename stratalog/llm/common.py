@@ -90,13 +90,24 @@ def roomy(df: DataFrame) -> DataFrame:
 SIEVE_BITS = 28
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each batch of words of a sieve: their places and their bits as bytes."""
+    for x in batches:
+        w, b = x.column(0).to_numpy().astype(np.int32), x.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["w", "b"])
+
+
 def sieve_of(df: DataFrame, column: str) -> np.ndarray:
-    """A bit for each value of a column of longs (its low bits, about 16 bits a value, up to 2^SIEVE_BITS in all), or-ed together by Spark; the driver gets 32 MB at most."""
+    """A bit for each value of a column of longs (its low bits, about 16 bits a value, up to 2^SIEVE_BITS in all), or-ed together by Spark.
+
+    The driver gets 12 bytes a word, a partition at a time, into the one array of 32 MB at most that it keeps; as rows, the words would take some 100 times that.
+    """
     bits = min(SIEVE_BITS, max(10, int(df.count() * 16).bit_length()))
     place = F.col(column).bitwiseAND((1 << bits) - 1)
-    got = df.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    got = df.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    for w, b in got.mapInArrow(lean(_packed), "w binary, b binary").toLocalIterator():
+        out[np.frombuffer(w, np.int32)] = np.frombuffer(b, np.int64)
     return out.view(np.uint64)
 
 

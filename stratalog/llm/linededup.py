@@ -346,10 +346,26 @@ def _pruned(threshold: float):
     return run
 
 
-def sifted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+class Sent:
+    """Broadcasts of sieves, which the driver holds until they are given up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def __call__(self, sieve: np.ndarray):
+        self.held.append(self.spark.sparkContext.broadcast(sieve))
+        return self.held[-1]
+
+    def free(self) -> None:
+        """To be called when what was made with them is written; no later read asks for them."""
+        while self.held:
+            self.held.pop().destroy()
+
+
+def sifted(rows: DataFrame, keys: DataFrame, on: list[str], send: Sent | None = None) -> DataFrame:
     """rows without most of those whose columns on aren't in keys, so that a join shuffles little else. The sieve has 32 MB at most; what it lets through by chance is left to the join."""
     names = rows.columns
-    wanted = rows.sparkSession.sparkContext.broadcast(sieve_of(keys.select(F.xxhash64(*on).alias("x")), "x"))
+    wanted = (send or Sent(rows.sparkSession))(sieve_of(keys.select(F.xxhash64(*on).alias("x")), "x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -398,6 +414,13 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     spark = docs.sparkSession
     src = roomy(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL"))
 
+    sent = Sent(spark)
+
+    def written(df: DataFrame, tag: str) -> DataFrame:
+        out = cut(df, tag)
+        sent.free()
+        return out
+
     def light(df: DataFrame) -> bool:
         rows = df.count()
         return rows <= broadcast_rows and _light(spark, rows)
@@ -406,26 +429,25 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         return F.broadcast(df) if light(df) else df
 
     def met(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-        return rows.join(F.broadcast(few), on, how) if light(few) else sifted(rows, few, on).join(few, on, how)
+        return rows.join(F.broadcast(few), on, how) if light(few) else sifted(rows, few, on, sent).join(few, on, how)
 
     def texts_of(own: DataFrame):
-        sent = spark.sparkContext.broadcast
         return _texts(sent(sieve_of(own.select("doc_id", "line_no").mapInArrow(lean(_places), "place long"), "place")), sent(sieve_of(own, "h1")))
 
     lines = cut(src.mapInArrow(lean(_list_lines), "h1 long, h2 long, doc_id long, line_no int, " + ", ".join(f"{c} long" for c in _BAND_NAMES)), "lines")
     one = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.max(c).alias(c) for c in _BAND_NAMES))
     nodes = cut(one.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), *_BAND_NAMES), "nodes")
     cells = cut(cells_of(nodes.select(F.explode(F.array(*_BAND_NAMES)).alias("key"), "node"), bucket), "cells")
-    own = cut(met(nodes.select("node", "h1", "h2", "doc_id", "line_no"), cut(cells.select("node").distinct(), "met"), ["node"], "left_semi"), "candidates")
+    own = written(met(nodes.select("node", "h1", "h2", "doc_id", "line_no"), cut(cells.select("node").distinct(), "met"), ["node"], "left_semi"), "candidates")
     order = ["c1", "c2", "i", "j"]
     bits = ["most", "least", *_BIT_NAMES]
     signed = src.mapInArrow(lean(_signed(texts_of(own))), "h1 long, h2 long, most int, least int, " + ", ".join(f"{c} long" for c in _BIT_NAMES))
     signed = signed.join(sized(own.select("node", "h1", "h2")), ["h1", "h2"]).join(cells, "node").select(*order, "node", *bits)
-    cells = cut(signed.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(lean(_pruned(threshold)), cells.select(*order, "node").schema), "pruned")
-    own = cut(met(own, cut(cells.select("node").distinct(), "met"), ["node"], "left_semi"), "candidates")
+    cells = written(signed.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(lean(_pruned(threshold)), cells.select(*order, "node").schema), "pruned")
+    own = written(met(own, cut(cells.select("node").distinct(), "met"), ["node"], "left_semi"), "candidates")
     texts = src.mapInArrow(lean(texts_of(own)), "h1 long, h2 long, line string").join(sized(own.select("node", "h1", "h2")), ["h1", "h2"]).select("node", "line")
     found = texts.join(cells, "node").repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(lean(_verify(threshold)), "a long, b long")
-    comp = cut(components(found).select(F.col("id").alias("node"), F.col("root")), "joined")
+    comp = written(components(found).select(F.col("id").alias("node"), F.col("root")), "joined")
     near = own.join(sized(comp), "node").select("root", "h1", "h2", F.struct("doc_id", "line_no").alias("first"))
     least = near.groupBy("root").agg(F.min("first").alias("kept"))
     near = near.join(least, "root").select("h1", "h2", "kept")

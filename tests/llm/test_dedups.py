@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from stratalog.llm import exactdedup, linededup, simhash
-from stratalog.llm.common import components, labels_of, words
+from stratalog.llm.common import components, labels_of, sieve_of, sieved, words
 
 DATA = "/root/testdata/sf0.001"
 
@@ -341,3 +342,27 @@ def test_line_dedup_joins_by_shuffle_bring_few_of_the_other_lines(spark):
     few = df.where("doc_id < 10").select("doc_id")
     left = linededup.sifted(df, few, ["doc_id"])
     assert left.columns == df.columns and {x.doc_id for x in left.collect()} >= set(range(10)) and left.count() < 100
+
+
+def test_a_sieve_takes_little_of_the_driver(spark):
+    """As rows, the words of the largest one took 1,973 MB of the driver's Python."""
+    values = spark.range(1_000_000).select(F.xxhash64("id").alias("x"))
+    own = np.array([r.x for r in values.limit(1000).collect()])
+    tracemalloc.start()
+    try:
+        sieve = sieve_of(values, "x")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sieved(sieve, own).all() and peak < 16e6
+    few = sieve_of(spark.createDataFrame([(5,), (64,), (-1,)], "x long"), "x")
+    assert np.flatnonzero(sieved(few, np.arange(1024))).tolist() == [5, 64, 1023]
+
+
+def test_line_dedup_gives_up_sieves_that_nothing_reads_again(spark, monkeypatch):
+    held = []
+    free = linededup.Sent.free
+    monkeypatch.setattr(linededup.Sent, "free", lambda self: (held.append(len(self.held)), free(self)))
+    rows = [(i, f"a line that is long enough to have shingles, no. {i // 2}{'!' * (i % 2)}") for i in range(40)]
+    got = linededup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_rows=0)
+    assert max(held) == 2 and len(got.collect()) >= 20
