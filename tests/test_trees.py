@@ -1,6 +1,11 @@
 import random
+import tracemalloc
+from array import array
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from stratalog.operators import graph, moves, treediff
 from stratalog.plans.views import nested
 
@@ -102,3 +107,34 @@ def test_first_parent_tree_of_shallow_commit(spark):
     c = spark.createDataFrame([("a", "ta", ["gone"]), ("b", "tb", ["a", "x"]), ("r", "tr", [])], "oid string, tree_oid string, parents array<string>")
     assert {r.oid: r.old_tree for r in graph.first_parent_trees(c).collect()} == {"a": None, "b": "ta", "r": None}
     assert {r.oid for r in graph.without_merges(c).collect()} == {"a", "r"}
+
+
+def test_parents_first_takes_few_bytes_a_commit():
+    """Dictionaries of parents, children and times took several hundred."""
+    n = 200_000
+    kids = array("i", [k for i in range(n - 2) for k in (i + 1, i + 2)])
+    starts = np.minimum(np.arange(n + 1) * 2, len(kids)).astype(np.int32)
+    tracemalloc.start()
+    try:
+        rank = graph.ranks_of_places(starts, kids, n)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rank.tolist() == list(range(n)) and peak < 50 * n
+
+
+def test_topological_over_several_partitions(spark):
+    """Times that tie, parents that are younger, outside or named twice, a cycle and no parents at all."""
+    r = random.Random(5)
+    rows = [(k, [r.randrange(k + 1, 260) for _ in range(r.randrange(3))] if k % 3 else None, r.randrange(40)) for k in range(250)]
+    rows += [(300, [301], 1), (301, [300, 300], 0), (302, [7, 7], 0)]
+    c = spark.createDataFrame(rows, "oid long, parents array<long>, committer_ts long").repartition(6)
+    got = {x.oid: x.topo_rank for x in graph.topological(c).collect()}
+    assert len(got) == len(rows)
+    assert [o for o, _ in sorted(got.items(), key=lambda x: x[1])] == graph.parents_first((o, p or [], t) for o, p, t in rows)
+    place, known = got, set(got)
+    assert all(place[p] < place[o] for o, ps, _ in rows if o < 300 for p in ps or [] if p in known)
+    assert {place[300], place[301]} == {len(rows) - 2, len(rows) - 1} and place[301] < place[300]
+    assert graph.topological(c.where("oid < 0")).count() == 0
+    with pytest.raises(ValueError):
+        graph.topological(c, 10)
