@@ -433,6 +433,31 @@ def test_the_fixture_is_a_repository_for_git(spark):
     assert run("show", "main:a/x") == rows[2][3] and run("rev-list", "--count", "main").strip() == "2" and "a.b" in run("ls-tree", "-r", "--name-only", "main")
 
 
+def test_the_fixture_is_written_by_tasks(spark, monkeypatch):
+    """Several packs, folders at several depths, an object in two packs; the driver gets a row a version and no content."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    got = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *a: pytest.fail("contents go through the driver"))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    monkeypatch.setattr(fixture, "_packs", lambda rows, cores: 3)
+    rows = [(v, p, 0o100644, f"{p if k % 3 else 'same'} {v if k % 2 else ''}\n" * 50) for v in range(3) for k, p in enumerate(["top", "a.b", "a/x", "a/é", "a/b/c/d", "a0", *(f"deep/{i % 5}/{i}" for i in range(60))])]
+    path = fixture.repository(spark.createDataFrame(rows, "ver long, path string, mode int, text string").repartition(5))
+    assert len(max(got, key=len)) == 3
+    run = lambda *a: subprocess.run(["git", "--git-dir", path, *a], capture_output=True, check=True).stdout.decode()
+    run("fsck", "--full", "--strict")
+    for v in range(3):
+        want = {p: t for x, p, _, t in rows if x == v}
+        assert set(run("ls-tree", "-rz", "--name-only", f"main~{2 - v}").split("\0")[:-1]) == set(want)
+        assert all(run("show", f"main~{2 - v}:{p}") == want[p] for p in ("top", "a/é", "a/b/c/d", "deep/3/8"))
+    repo = gitfiles.Repository(path)
+    ids = [repo.index(p).oid(i) for p in range(len(repo.packs)) for i in range(repo.index(p).count)]
+    assert len(repo.packs) > 4 and len(set(ids)) < len(ids)
+    found = load(spark, path, "objects").select("oid", "type").collect()
+    assert sorted(r.oid for r in found) == sorted(set(ids))
+
+
 def test_tree_parser():
     h = bytes(range(20))
     ok = b"100644 a\0" + h + b"40000 d\0" + h
