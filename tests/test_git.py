@@ -458,6 +458,34 @@ def test_the_fixture_is_written_by_tasks(spark, monkeypatch):
     assert sorted(r.oid for r in found) == sorted(set(ids))
 
 
+def test_tasks_keep_to_their_memory(tmp_path, monkeypatch):
+    """Batches of objects go by their bytes; maps and orders are kept of so many entries only."""
+    monkeypatch.setattr(gitfiles, "ENTRIES", 20)
+    many = 40
+    for k in range(many):
+        p = fixture.Pack(str(tmp_path / "objects/pack"))
+        for i in range(3):
+            p.add("blob", bytes([k, i]) * 1_000_000)
+        p.close()
+    reader = gitsource.GitReader({"path": str(tmp_path), "table": "objects", "verifyTrailers": "true", "verifyCrc": "true"})
+    rows = 0
+    for part in reader.partitions():
+        for b in reader.read(part):
+            rows += len(b)
+            assert b.nbytes < 12e6
+    assert rows == 3 * many
+    repo = gitsource.open_with(reader.options)
+    assert 0 < len(repo._map) <= 6 and len(repo._index) <= 7 and len(repo._order) <= 7
+    one = fixture.Pack(str(tmp_path / "large/objects/pack"))
+    for i in range(30):
+        one.add("blob", bytes([i]) * 2_000_000)
+    one.close()
+    reader = gitsource.GitReader({"path": str(tmp_path / "large"), "table": "objects"})
+    sizes = [len(b) for part in reader.partitions() for b in reader.read(part)]
+    assert sum(sizes) == 30 and max(sizes) < 8
+    assert not repo._map and not repo._cache
+
+
 def test_tree_parser():
     h = bytes(range(20))
     ok = b"100644 a\0" + h + b"40000 d\0" + h
